@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, secrets, warc
+from . import bagminhash, decontaminate, exact_dedup, mixing, quality, secrets, sentence_spans, toxicity, warc
 from ._work import table
 
 
@@ -27,6 +27,34 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.drop_repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def fold(column: str, parts: int) -> Column:
+    """The remainder of the checksum of an id written as text."""
+    return F.crc32(F.col(column).cast("string")) % parts
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    return toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels"), fold("id", 5) != 0))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity_model(spark, sf_dir, docs), fold("doc_id", 5) == 0)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(quality.labelled(docs, table(spark, sf_dir, "labels"), "quality", fold("id", 3) != 1))
+    return quality.scores(docs, model, fold("doc_id", 3) == 1)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,7 +67,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
     "op4_mixing": op4_mixing,
+    "op5_bagminhash": op5_bagminhash,
+    "op6_sentence_spans": op6_sentence_spans,
+    "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
+    "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
