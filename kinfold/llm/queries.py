@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, decontaminate, exact_dedup, mixing, quality, secrets, sentence_spans, toxicity, warc
+from . import bagminhash, decontaminate, exact_dedup, html_extract, mixing, quality, secrets, sentence_spans, toxicity, warc
 from ._work import table
 
 
@@ -22,6 +22,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), model))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_extract.train(html_extract.training_pages())
+    return html_extract.extract(table(spark, sf_dir, "pages"), model)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
@@ -66,6 +71,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
+    "op3_html_extract": op3_html_extract,
     "op4_mixing": op4_mixing,
     "op5_bagminhash": op5_bagminhash,
     "op6_sentence_spans": op6_sentence_spans,
