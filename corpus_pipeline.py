@@ -4,25 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import decontaminate, exact_dedup, mixing
+from kinfold.llm import bagminhash, decontaminate, exact_dedup, mixing, queries, toxicity
 from kinfold.llm._work import table, written
 
 
+def clean_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject. Learned from the labelled rows among ``docs``."""
+    return toxicity.drop_toxic(docs, queries.toxicity_model(spark, sf_dir, docs))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return exact_dedup.drop_exact(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return bagminhash.drop_near(docs)
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with how often each is repeated in ``copies``."""
     return mixing.mixed(docs)
 
 
-STAGES = [("exact dedup", exact), ("benchmark decontamination", benchmark), ("mixing", mix)]
+STAGES = [("toxicity", clean_toxic), ("exact dedup", exact), ("near dedup", near), ("decontamination", benchmark), ("mixing", mix)]
 
-#: The stages hold trained models and sketches, which SQL can't express.
+#: The stages hold a trained model and sketches, which SQL can't express.
 ORACLE_SQL = None
 
 
