@@ -10,11 +10,16 @@ with the probability of the weighted Jaccard similarity. Points are generated
 in order of time and only until all registers must be settled.
 
 Texts are made distinct first. Bands of equal registers give buckets; within a
-bucket each text is compared with the bucket's first and last text, connected
-components are formed, and then whatever pairs of a bucket still lie in
-different components are compared as well, so no candidate is dropped and no
-bucket of one group of copies is expanded into all its pairs. Links are decided by the exact
-similarity ``THRESHOLD`` of the multisets of 64-bit shingle hashes; classes are the connected components.
+bucket each text is compared with the bucket's first text and with its hub,
+the text with most company over all its buckets. Links make connected
+components, and only buckets that still hold several components are looked at
+again, block of ``BLOCK`` texts by block, each pair in the first band that it
+shares: pairs of different components that agree in ``LEAST_AGREE`` registers
+(four standard deviations below what the threshold expects) are compared by
+their shingles, and only links leave the task. So a group of copies is never
+expanded into pairs, and no candidate is dropped for being one of many. Links
+are decided by the exact similarity ``THRESHOLD`` of the multisets of 64-bit
+shingle hashes; classes are the connected components.
 
 Defined cases: a null text counts as empty; all empty texts are one class;
 texts of fewer than five words have one shingle of all of them. The class id is the smallest id in the class, which is also
@@ -37,6 +42,8 @@ from ._work import checkpointed, small_side, written
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
+BLOCK = 512
+LEAST_AGREE = 78
 _U = np.uint64
 
 
@@ -108,9 +115,10 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for first, held in _text.chunks(b["text"].tolist()):
             s, offsets = _text.shingles(*_text.words(held)[:2])
             n = np.diff(offsets)
-            rows = band_hashes(signatures(s, offsets))
+            least = signatures(s, offsets)
+            rows, small = band_hashes(least), (_text.mix64(np.ascontiguousarray(least).view(_U)) & _U(255)).astype(np.uint8)
             part = b.iloc[first : first + len(held)]
-            yield pd.DataFrame({"id": part["id"].array, "key": part["key"].array, "n": n, "bands": [r if k else None for r, k in zip(rows, n, strict=True)]})
+            yield pd.DataFrame({"id": part["id"].array, "key": part["key"].array, "n": n, "bands": [r if k else None for r, k in zip(rows, n, strict=True)], "regs": [r.tobytes() for r in small]})
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,6 +148,42 @@ def _verified(threshold: float):  # noqa: ANN202
     return run
 
 
+def _blocks(threshold: float):  # noqa: ANN202
+    """Links between two blocks of one bucket."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for band, i, j, x, y in zip(b["band"], b["i"], b["j"], b["x"], b["y"], strict=True):
+                left, right = _side(x), _side(y)
+                for k in range(len(left["node"])):
+                    ok = right["comp"] != left["comp"][k]
+                    if i == j:
+                        ok[: k + 1] = False
+                    ok &= np.minimum(right["n"], left["n"][k]) >= threshold * np.maximum(right["n"], left["n"][k])
+                    ok &= ~(right["bands"][:, :band] == left["bands"][k, :band]).any(axis=1)
+                    where = np.flatnonzero(ok)
+                    where = where[(right["regs"][where] == left["regs"][k]).sum(axis=1) >= LEAST_AGREE]
+                    found += [(left["node"][k], right["node"][m]) for m in where if overlap(left["bag"][k], right["bag"][m]) >= threshold]
+            yield pd.DataFrame({"a": [min(p) for p in found], "b": [max(p) for p in found]}, dtype="int64")
+
+    return run
+
+
+def _side(rows: list[dict]) -> dict:
+    rows = sorted(rows, key=lambda r: r["node"])
+    return {
+        "node": [int(r["node"]) for r in rows], "comp": np.array([r["comp"] for r in rows], np.int64), "n": np.array([r["n"] for r in rows], np.int64),
+        "bands": np.array([list(r["bands"]) for r in rows], np.int64), "regs": np.frombuffer(b"".join(r["regs"] for r in rows), np.uint8).reshape(len(rows), -1), "bag": [np.frombuffer(r["bag"], np.uint32) for r in rows],
+    }
+
+
+def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Bags of 32-bit hashes: their overlap is never less than that of the bags they stand for."""
+    for b in batches:
+        yield pd.DataFrame({"node": b["node"], "bag": [np.sort((np.frombuffer(x, _U) >> _U(32)).astype(np.uint32)).tobytes() for x in b["bag"]]})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the least node of its component) for all nodes with an edge (a, b). Rounds of least neighbour and pointer jumping."""
     both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -159,20 +203,24 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row per distinct text: key (MD5 of the text), class_id, class_size (documents), stays (whether it is the class's first text), min_id, n (its rows)."""
     own = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = own.mapInPandas(_signed, f"id {docs.schema[id_col].dataType.simpleString()}, key string, n long, bands array<bigint>")
-    nodes = signed.groupBy("key").agg(F.min("id").alias("min_id"), F.count(F.lit(1)).alias("n_rows"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    signed = own.mapInPandas(_signed, f"id {docs.schema[id_col].dataType.simpleString()}, key string, n long, bands array<bigint>, regs binary")
+    nodes = signed.groupBy("key").agg(F.min("id").alias("min_id"), F.count(F.lit(1)).alias("n_rows"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("regs").alias("regs"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     laid = nodes.select("node", "n", F.posexplode("bands").alias("band", "h"))
-    buckets = laid.groupBy("band", "h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("c > 1").drop("c")
-    buckets = written(buckets, "buckets")
+    buckets = written(laid.groupBy("band", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets")
     members = written(laid.join(small_side(buckets, 40 * buckets.count()), ["band", "h"]), "members")
-    ends = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
-    star = members.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
-    star = star.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
-    sized = star.join(ends, "b").join(ends.select(F.col("b").alias("a"), F.col("n_b").alias("n_a")), "a").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).select("a", "b")
-    pairs = written(sized, "pairs")
+    company = checkpointed(members.groupBy("node").agg(F.sum("c").alias("company")))
+    n_nodes = company.count()
+    tops = members.join(small_side(company, 32 * n_nodes), "node").groupBy("band", "h").agg(F.min("node").alias("lo"), F.max(F.struct("company", "node")).alias("hub"))
+    tops = written(tops.select("band", "h", "lo", F.col("hub.node").alias("hub")), "tops")
+    sizes = members.select("node", "n").distinct()
+    star = members.join(small_side(tops, 48 * buckets.count()), ["band", "h"]).select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("lo", "hub"))).alias("b")).where("a <> b")
+    star = star.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    side = lambda c, n: small_side(sizes.select(F.col("node").alias(c), F.col("n").alias(n)), 32 * n_nodes)
+    pairs = star.join(side("x", "n_x"), "x").join(side("y", "n_y"), "y").where(F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y"))
+    pairs = written(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), "pairs")
     wanted = checkpointed(members.select("node").distinct().join(nodes.select("node", "key"), "node"))
-    texts = own.select("key", "text").join(small_side(wanted, 80 * wanted.count()), "key").groupBy("node").agg(F.first("text").alias("text"))
+    texts = own.select("key", "text").join(small_side(wanted, 80 * n_nodes), "key").groupBy("node").agg(F.first("text").alias("text"))
     bags = written(texts.mapInPandas(_packed, "node long, bag binary"), "bags")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -182,18 +230,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = linked(pairs)
     comps = checkpointed(components(links))
-    # Pairs of a bucket that are still apart. A bucket of one component, however large, adds none.
+    # Buckets of more than one component: what is in them is compared block by block.
     told = members.select("band", "h", "node", "n").join(small_side(comps, 32 * comps.count()), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = checkpointed(told.groupBy("band", "h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("k")).where("c0 <> c1 and k > 2").select("band", "h"))
-    apart = told.join(small_side(mixed, 24 * mixed.count()), ["band", "h"])
-    apart = checkpointed(apart)
-    other = apart.select("band", "h", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    rest = apart.withColumnRenamed("node", "a").join(other, ["band", "h"]).where("a < b and comp <> comp_b").where(F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")).select("a", "b").distinct()
-    rest = checkpointed(rest.join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = linked(rest)
-        if not more.isEmpty():
-            comps = checkpointed(components(links.union(more)))
+    mixed = told.groupBy("band", "h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("k")).where("c0 <> c1 and k > 2")
+    mixed = checkpointed(mixed.select("band", "h", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts")))
+    apart = told.join(small_side(mixed, 32 * mixed.count()), ["band", "h"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    apart = written(apart, "apart")
+    load = bags.join(apart.select("node").distinct(), "node", "left_semi").mapInPandas(_folded, "node long, bag binary").join(nodes.select("node", "bands", "regs"), "node")
+    blocks = apart.join(load, "node").groupBy("band", "h", "i", "parts").agg(F.collect_list(F.struct("node", "comp", "n", "bands", "regs", "bag")).alias("x"))
+    blocks = written(blocks, "blocks")
+    left = blocks.select("band", "h", "i", F.explode(F.expr("sequence(i, parts - 1)")).alias("j"), "x")
+    right = blocks.select("band", "h", F.explode(F.expr("sequence(0, i)")).alias("i"), F.col("i").alias("j"), F.col("x").alias("y"))
+    more = left.join(right, ["band", "h", "i", "j"]).mapInPandas(_blocks(threshold), "a long, b long").distinct()
+    more = linked(checkpointed(more))
+    if not more.isEmpty():
+        comps = checkpointed(components(links.union(more)))
     whole = nodes.select("node", "key", "min_id", "n_rows").join(small_side(comps, 32 * comps.count()), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     whole = written(whole, "classes")
     heads = whole.groupBy("comp").agg(F.min("min_id").alias("class_id"), F.sum("n_rows").alias("class_size"), F.min(F.struct(F.col("min_id").isNull().alias("no_id"), F.col("min_id").alias("id"), F.col("node").alias("node"))).alias("head"))
