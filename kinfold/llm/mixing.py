@@ -27,6 +27,7 @@ from ._work import checkpointed, small_side
 BOUND = 3.0
 SHIFTS = 64
 STEPS = 60
+CELLS_PER_TASK = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,15 +60,20 @@ def source_targets(cells: DataFrame, bound: float = BOUND) -> DataFrame:
     return ranked.withColumn("target", F.when(full, most).otherwise(F.lit(level) * F.col("weight")))
 
 
-def balanced(cells: DataFrame, targets: DataFrame, bound: float = BOUND, steps: int = STEPS, tolerance: float = 1e-9) -> DataFrame:
-    """source, mean, multiplier: the solution of the dual. A source at its stop has the multiplier infinity."""
+def balanced(cells: DataFrame, targets: DataFrame, bound: float = BOUND, steps: int = STEPS, tolerance: float = 1e-6) -> DataFrame:
+    """source, mean, multiplier: the solution of the dual. A source at its stop has the multiplier infinity.
+
+    A step is one aggregation of the cells and one update of the sources, in
+    one job; the first steps guess that rates barely depend on size.
+    """
     stats = cells.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     dual = targets.alias("t").join(stats.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source"))).select("t.source", "target", "source_size", "mean")
     at_stop = F.col("target") >= bound * F.col("source_size") * (1 - 1e-12)
-    dual = checkpointed(dual.select("*", F.lit(0.0).alias("x"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), (at_stop | (F.col("source_size") == 0)).alias("done")))
-    sources = dual.count()
+    guess = F.coalesce(F.log(F.greatest(F.try_divide(F.col("target"), "source_size"), F.lit(1e-9))), F.lit(0.0))
+    dual = checkpointed(dual.select("*", guess.alias("x"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), (at_stop | (F.col("source_size") == 0)).alias("done")))
+    sources, left = dual.agg(F.count(F.lit(1)), F.count_if(~F.col("done"))).first()
     for _ in range(steps):
-        if dual.where("not done").isEmpty():
+        if not left:
             break
         c, d = cells.alias("c"), small_side(dual.where("not done").select(F.col("source").alias("d_source"), "x", "mean"), 64 * sources).alias("d")
         tilt = F.col("x") * F.col("size") / F.col("mean")
@@ -83,6 +89,7 @@ def balanced(cells: DataFrame, targets: DataFrame, bound: float = BOUND, steps:
         step = F.when(newton.isNotNull() & (newton > F.col("lo2")) & (newton < F.col("hi2")) & (F.abs(newton - F.col("x")) <= 4 + F.abs("x")), newton).otherwise(middle)
         near = F.abs("gap") <= tolerance * F.col("target")
         dual = checkpointed(both.select("source", "target", "source_size", "mean", F.when(F.col("done") | near, F.col("x")).otherwise(step).alias("x"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), (F.col("done") | F.coalesce(near, F.lit(False))).alias("done")))
+        left = dual.agg(F.count_if(~F.col("done"))).first()[0]
     return dual.withColumn("multiplier", F.when(at_stop, F.lit(float("inf"))).otherwise(F.col("x"))).select("source", "mean", "multiplier", "target", "source_size")
 
 
@@ -90,6 +97,7 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, bound
     """``docs`` with a struct ``_kf`` of source, size, source_size, target, rate and copies. Only tables of sources are joined to it."""
     own = F.struct(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), (F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("point"))
     cells = checkpointed(docs.select(own.alias("_kf")).groupBy("_kf.source", "_kf.size").agg(F.count(F.lit(1)).alias("n")))
+    cells = cells.coalesce(1 + cells.count() // CELLS_PER_TASK)
     dual = checkpointed(balanced(cells, source_targets(cells, bound), bound))
     sources = dual.count()
 
