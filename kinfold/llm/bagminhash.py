@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
@@ -110,6 +110,11 @@ def band_hashes(least: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.n
     return out.view(np.int64)
 
 
+def _key(text: Column) -> Column:
+    """MD5 of the text; texts without a word share one."""
+    return F.md5(F.when(text.rlike(r"[^\x09-\x0D\x20]"), text).otherwise(F.lit("")))
+
+
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for first, held in _text.chunks(b["text"].tolist()):
@@ -202,7 +207,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row per distinct text: key (MD5 of the text), class_id, class_size (documents), stays (whether it is the class's first text), min_id, n (its rows)."""
-    own = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), _key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = own.mapInPandas(_signed, f"id {docs.schema[id_col].dataType.simpleString()}, key string, n long, bands array<bigint>, regs binary")
     nodes = signed.groupBy("key").agg(F.min("id").alias("min_id"), F.count(F.lit(1)).alias("n_rows"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("regs").alias("regs"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -255,18 +260,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     """One row per document: id, class_id, class_size, kept. Rows that repeat the id and text that stay are all kept here."""
     found = near_duplicates(docs, id_col, text_col, threshold).where("class_size > 1")
     found = checkpointed(found)
-    keyed = docs.select(id_col, F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+    keyed = docs.select(id_col, _key(F.col(text_col)).alias("key"))
     out = keyed.join(small_side(found, 96 * found.count()), "key", "left")
-    return out.select(id_col, F.when(F.col("class_size").isNull(), F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("stays") & F.col(id_col).eqNullSafe(F.col("min_id")), F.lit(True)).alias("kept"))
+    return out.select(id_col, F.when(F.col("class_size").isNull(), F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), (F.col("stays").isNull() | (F.col("stays") & F.col(id_col).eqNullSafe(F.col("min_id")))).alias("kept"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each class. All columns stay as they are."""
     found = near_duplicates(docs, id_col, text_col, threshold).where("class_size > 1")
     found = checkpointed(found.select(F.col("key").alias("_kf_key"), F.col("stays").alias("_kf_stays"), F.col("min_id").alias("_kf_min"), F.col("n").alias("_kf_n")))
-    keyed = docs.withColumn("_kf_own", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = docs.withColumn("_kf_own", _key(F.col(text_col)))
     marked = keyed.join(small_side(found, 96 * found.count()), F.col("_kf_own") == F.col("_kf_key"), "left")
-    kept = marked.where(F.coalesce(F.col("_kf_stays") & F.col(id_col).eqNullSafe(F.col("_kf_min")), F.lit(True)))
+    kept = marked.where(F.col("_kf_stays").isNull() | (F.col("_kf_stays") & F.col(id_col).eqNullSafe(F.col("_kf_min"))))
     single = kept.where(F.coalesce(F.col("_kf_n"), F.lit(1)) == 1)
     many = kept.where(F.col("_kf_n") > 1).dropDuplicates([id_col, "_kf_own"])
     return single.unionByName(many).drop("_kf_own", "_kf_key", "_kf_stays", "_kf_min", "_kf_n")
