@@ -25,6 +25,8 @@ half; empty tables give empty results.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +38,10 @@ from . import _text
 from .quality import sigmoid_fit
 
 ORDER, DECAY, FLOOR = 3, 0.7, 0.45
-LANDMARKS, LEAST_DOCS = 24, 5
+LANDMARKS, LEAST_DOCS = 16, 5
 WINDOW = 16
 SAMPLE, ROUNDS = 3_000, 3
-REMEMBERED = 1 << 20
+REMEMBERED = 3 << 20
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
@@ -57,20 +59,37 @@ def codes(words: list[bytes]) -> np.ndarray:
     return out
 
 
-def kernel(x: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Subsequence kernel of each row of ``x`` with the word ``t`` (or, if ``t`` has rows, with the row of the same number)."""
-    n, m = x.shape[0], t.shape[-1]
-    lag = np.where(np.arange(m)[:, None] <= np.arange(m)[None, :], float(decay) ** (np.arange(m)[None, :] - np.arange(m)[:, None]), 0.0).astype(np.float32)
-    # states[i][:, j]: K'_i of the part of x read so far and the first j characters of t
-    states = [np.ones((n, m + 1), np.float32)] + [np.zeros((n, m + 1), np.float32) for _ in range(order - 1)]
-    total = np.zeros(n, np.float32)
-    for at in range(x.shape[1]):
-        c = x[:, at : at + 1]
-        same = ((c == t) & (c > 0) & (t > 0)).astype(np.float32) * np.float32(decay * decay)
-        total += (same * states[order - 1][:, :m]).sum(axis=1)
-        for i in range(order - 1, 0, -1):
-            states[i] *= np.float32(decay)
-            states[i][:, 1:] += (same * states[i - 1][:, :m]) @ lag
+def kernel(x: np.ndarray, t: np.ndarray, decay: float = DECAY) -> np.ndarray:
+    """Kernel of order 3 of each row of ``x`` with the word ``t`` (or, if ``t`` has rows, with the row of the same number).
+
+    One and two hold, for each prefix of ``t``, the discounted sums over
+    common subsequences of that many characters of what was read of ``x``.
+    """
+    n, m, a = x.shape[0], t.shape[-1], np.float32(decay)
+    one, two, total = np.zeros((m, n), np.float32), np.zeros((m, n), np.float32), np.zeros(n, np.float32)
+    columns, targets = np.ascontiguousarray(x.T), t.T if t.ndim == 2 else t
+    early = held = total
+    for c in columns:
+        run1, run2 = np.zeros(n, np.float32), np.zeros(n, np.float32)
+        for j in range(m):
+            same = ((c == targets[j]) & (c > 0)).astype(np.float32)
+            same *= a * a
+            if j >= 2:
+                total += same * two[j - 1]
+            if j >= 1:
+                run2 *= a
+                run2 += same * one[j - 1]
+                late = run2.copy()
+            run1 *= a
+            run1 += same
+            if j >= 2:
+                two[j - 1] *= a
+                two[j - 1] += held
+            if j >= 1:
+                one[j - 1] *= a
+                one[j - 1] += early
+                held = late
+            early = run1.copy()
     return total
 
 
@@ -81,6 +100,7 @@ def own_kernel(x: np.ndarray) -> np.ndarray:
 
 class Landmarks:
     def __init__(self, words: list[bytes]) -> None:
+        self.words = tuple(words)
         self.rows = [codes([w])[0] for w in words]
         self.self_kernel = np.array([own_kernel(r[None, :])[0] for r in self.rows])
         gram = np.stack([kernel(codes(words), r) for r in self.rows], axis=1) / np.sqrt(np.maximum(np.outer(self.self_kernel, self.self_kernel), 1e-30))
@@ -115,7 +135,30 @@ class Reader:
     """Finds the words near a landmark in many texts; remembers words that are near none, and those that are."""
 
     def __init__(self, marks: Landmarks) -> None:
-        self.marks, self.far, self.near = marks, np.zeros(0, np.uint64), {}
+        self.marks = marks
+        # Kept for the tasks that this worker process runs after this one.
+        store = sys.modules.setdefault("_kinfold_words", types.ModuleType("_kinfold_words")).__dict__
+        self.known = store.setdefault(marks.words, {"far": np.zeros(0, np.uint64), "new": [], "near": {}})
+
+    @property
+    def near(self) -> dict[int, np.ndarray]:
+        return self.known["near"]
+
+    def unknown(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the sorted hashes aren't known to be far from all landmarks."""
+        out = np.ones(len(hashes), bool)
+        for far in (self.known["far"], *self.known["new"]):
+            if len(far):
+                at = np.minimum(np.searchsorted(far, hashes), len(far) - 1)
+                out &= far[at] != hashes
+        return out
+
+    def remember(self, hashes: np.ndarray) -> None:
+        k = self.known
+        k["new"].append(hashes)
+        if len(k["new"]) >= 16:
+            whole = np.concatenate([k["far"], *k["new"]])
+            k["far"], k["new"] = (np.sort(whole) if len(whole) < REMEMBERED else np.zeros(0, np.uint64)), []
 
     def sentences(self, held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Texts and similarity rows of all sentences that have a word near a landmark."""
@@ -127,7 +170,7 @@ class Reader:
         stop = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
         sentence = np.concatenate(([0], np.cumsum(stop)[:-1])) + doc
         where, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        new = ~np.isin(where, self.far)
+        new = self.unknown(where)
         raw = data.tobytes()
         fresh = [i for i in np.flatnonzero(new) if int(where[i]) not in self.near]
         parts, owner = [], []
@@ -141,10 +184,9 @@ class Reader:
             for k in np.flatnonzero(hot):
                 key = int(where[owner[k]])
                 self.near[key] = np.maximum(self.near[key], rows[k]) if key in self.near else rows[k]
-            cold = [i for i in fresh if int(where[i]) not in self.near]
-            self.far = np.union1d(self.far if len(self.far) < REMEMBERED else np.zeros(0, np.uint64), where[cold])
+            self.remember(where[[i for i in fresh if int(where[i]) not in self.near]])
             if len(self.near) > REMEMBERED // 16:
-                self.near = {int(x): self.near[int(x)] for x in where if int(x) in self.near}
+                self.known["near"] = {int(x): self.near[int(x)] for x in where if int(x) in self.near}
         table = {i: self.near[int(where[i])] for i in np.flatnonzero(new) if int(where[i]) in self.near}
         hits = np.flatnonzero(np.isin(inverse, np.fromiter(table, np.int64, len(table))))
         found_doc, found_sentence, found = [doc[hits]], [sentence[hits]], [np.stack([table[i] for i in inverse[hits]])] if len(hits) else [empty[1]]
