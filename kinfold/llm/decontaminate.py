@@ -33,11 +33,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x09-\x0D\x20]+"), lambda w: w != "")
 
 
-def shingles_of(words: Column) -> Column:
-    """Hashes of each five words in a row; of all words if they are fewer."""
+def shingles_of(words: Column, size: int = WORDS) -> Column:
+    """Hashes of each ``size`` words in a row; of all words if they are fewer."""
     n = F.size(words)
     at = lambda i, k: F.get(words, i + k)
-    many = F.transform(F.sequence(F.lit(0), F.greatest(n - WORDS, F.lit(0))), lambda i: F.xxhash64(*(at(i, k) for k in range(WORDS))))
+    many = F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.xxhash64(*(at(i, k) for k in range(size))))
     return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(many)
 
 
@@ -81,7 +81,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     n_items, n_shingles = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("item_shingles")), F.lit(0))).first()
     anchors = known.select(F.posexplode_outer("item_shingles").alias("item_at", "h"), "n_words").groupBy("h").agg(F.collect_set(F.struct("item_at", "n_words")).alias("laid"))
     words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), words_of(F.col(text_col)).alias("w"))
+    few = [r[0] for r in known.where(F.col("n_words") < WORDS).select("n_words").distinct().collect()]  # four numbers at most
     shingles = words.select("id", "key", shingles_of(F.col("w")).alias("s"))
+    for size in few:  # items too short for a whole shingle are looked for by runs of their own length
+        shingles = shingles.union(words.select("id", "key", shingles_of(F.col("w"), size)))
     # outer: of an inner one the optimizer infers a filter that repeats the whole expression, once for each word
     placed = shingles.select("id", "key", F.posexplode_outer("s").alias("at", "h")).join(small_side(anchors, 64 * n_shingles), "h")
     starts = placed.select("id", "key", F.explode("laid").alias("l"), "at").select("id", "key", F.greatest(F.col("at") - F.col("l.item_at"), F.lit(0)).alias("start"), F.col("l.n_words").alias("n_words")).distinct()
@@ -91,9 +94,14 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     with_text = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(text_col).alias("d_key"), F.col(text_col).alias("d_text"))
     same = F.col("id").eqNullSafe(F.col("d_id")) & (F.col("key") == F.col("d_key"))
     cut = with_text.join(small_side(windows, 64 * n_windows), same).dropDuplicates(["d_id", "d_key"])
-    cut = cut.select("id", "key", words_of(F.col("d_text")).alias("w"), "windows").select("id", "key", shingles_of(F.col("w")).alias("s"), F.size("w").alias("n"), "windows")
-    per_window = F.when(F.col("win.n_words") < WORDS, F.lit(1)).otherwise(F.col("win.n_words") - WORDS + 1)
-    cut = cut.select("id", "key", "s", F.explode("windows").alias("win")).select("id", "key", F.col("win.start").alias("start"), F.col("win.n_words").alias("n_words"), F.slice("s", F.col("win.start") + 1, per_window).alias("shingles"))
+    inside = F.transform("windows", lambda x: F.struct(F.least(x["start"], F.greatest(F.size("w") - x["n_words"], F.lit(0))).alias("start"), x["n_words"].alias("n_words")))
+    cut = cut.select("id", "key", words_of(F.col("d_text")).alias("w"), "windows")
+    cut = cut.select("id", "key", shingles_of(F.col("w")).alias("s"), *(shingles_of(F.col("w"), k).alias(f"s{k}") for k in few), F.array_distinct(inside).alias("windows"))
+    cut = cut.select("id", "key", "s", *(f"s{k}" for k in few), F.explode_outer("windows").alias("win"))
+    own = F.slice("s", F.col("win.start") + 1, F.greatest(F.col("win.n_words") - WORDS + 1, F.lit(1)))
+    for k in few:
+        own = F.when(F.col("win.n_words") == k, F.slice(f"s{k}", F.col("win.start") + 1, F.lit(1))).otherwise(own)
+    cut = cut.select("id", "key", F.col("win.start").alias("start"), F.col("win.n_words").alias("n_words"), own.alias("shingles"))
     cut = checkpointed(cut.withColumn("print", simhash(F.col("shingles"))))
     blocked = cut.select("*", F.explode(blocks_of(F.col("print"))).alias("block"))
     sides = known.select("item", F.col("n_words").alias("item_words"), "item_shingles", "item_print", F.explode(blocks_of(F.col("item_print"))).alias("item_block"))
