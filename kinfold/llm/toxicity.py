@@ -7,8 +7,9 @@ the plain ones. Landmarks are the words of toxic training texts that tell the
 classes apart best. A sentence's similarity to a landmark is that of its
 closest word (under ``FLOOR``: none); similarities are mapped by the inverse
 square root of the landmarks' own kernel matrix, and a linear support vector
-machine is fitted on sentences. A toxic text lends its label to its most toxic
-sentence, found in ``ROUNDS`` rounds; a text scores as its most toxic sentence.
+machine is fitted on sentences. A text lends its label to its sentences: a
+toxic one to those with a word near a landmark, or to an empty sentence if it
+has none, and a clean one to all; a text scores as its most toxic sentence.
 
 Single letters with blanks between them are read as one word. Words are
 compared in lower case without signs at their ends; words beyond ``WINDOW``
@@ -40,7 +41,7 @@ from .quality import sigmoid_fit
 ORDER, DECAY, FLOOR = 3, 0.7, 0.45
 LANDMARKS, LEAST_DOCS = 16, 5
 WINDOW = 16
-SAMPLE, ROUNDS = 3_000, 3
+SAMPLE = 3_000
 REMEMBERED = 3 << 20
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
@@ -266,13 +267,11 @@ def train(rows: DataFrame) -> Model:
     k = len(marks.rows)
     zero = np.zeros((1, k))
     bags = [np.concatenate((np.asarray(s, np.float64).reshape(-1, k), zero)) @ marks.root for s in got["sims"]]
-    pick = [int(np.argmax(b @ (marks.root.T @ np.ones(k)))) for b in bags]
     fold = np.arange(len(bags)) % 5 == 0
     fit = ~fold if len({*y[~fold]}) == 2 and len({*y[fold]}) == 2 else np.ones(len(bags), bool)
-    for _ in range(ROUNDS):
-        w, bias = _fit_dense(np.stack([b[i] for b, i, f in zip(bags, pick, fit, strict=True) if f]), y[fit])
-        pick = [int(np.argmax(b @ w)) for b in bags]
-    margins = np.array([b[i] @ w + bias for b, i in zip(bags, pick, strict=True)])
+    lent = [(b[:-1] if len(b) > 1 and one > 0 else b, one) for b, one, f in zip(bags, y, fit, strict=True) if f]
+    w, bias = _fit_dense(np.concatenate([b for b, _ in lent]), np.concatenate([np.full(len(b), one) for b, one in lent]))
+    margins = np.array([(b @ w).max() + bias for b in bags])
     check = fold if not fit.all() else fit
     slope, offset = sigmoid_fit(margins[check], y[check])
     return Model(marks, marks.root @ w, bias, slope, offset)
