@@ -2,9 +2,10 @@
 
 The kernel of two words counts their common subsequences of ``ORDER``
 characters, each discounted by ``DECAY`` for every character it spans, and is
-normalised, so that insults with inserted or missing characters stay close to
-the plain ones. Landmarks are the words of toxic training texts that tell the
-classes apart best. A sentence's similarity to a landmark is that of its
+normalised and raised to ``POWER``, so that insults with inserted or missing
+characters stay close to the plain ones and other words don't. Landmarks are the words of toxic training texts that tell the
+classes apart best, and for each the commonest words of clean ones near it.
+A sentence's similarity to a landmark is that of its
 closest word (under ``FLOOR``: none); similarities are mapped by the inverse
 square root of the landmarks' own kernel matrix, and a linear support vector
 machine is fitted on sentences. A text lends its label to its sentences: a
@@ -32,14 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
+from ._work import checkpointed
 from .quality import sigmoid_fit
 
-ORDER, DECAY, FLOOR = 3, 0.7, 0.45
-LANDMARKS, LEAST_DOCS = 16, 5
+ORDER, DECAY, FLOOR, POWER = 3, 0.85, 0.45, 3
+LANDMARKS, CLEAN, LEAST_DOCS = 12, 2, 5
 WINDOW = 16
 SAMPLE = 3_000
 REMEMBERED = 3 << 20
@@ -105,6 +107,7 @@ class Landmarks:
         self.rows = [codes([w])[0] for w in words]
         self.self_kernel = np.array([own_kernel(r[None, :])[0] for r in self.rows])
         gram = np.stack([kernel(codes(words), r) for r in self.rows], axis=1) / np.sqrt(np.maximum(np.outer(self.self_kernel, self.self_kernel), 1e-30))
+        gram = gram**POWER
         value, vector = np.linalg.eigh((gram + gram.T) / 2)
         self.root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
 
@@ -120,7 +123,7 @@ class Landmarks:
                 norm = np.sqrt(np.maximum(own_kernel(x), 1e-30))
                 for j, r in enumerate(self.rows):
                     k = kernel(x, r) / (norm * np.sqrt(self.self_kernel[j]))
-                    out[some, j] = np.where(k >= FLOOR, k, 0)
+                    out[some, j] = np.where(k >= FLOOR, k, 0) ** POWER
         return out
 
 
@@ -233,20 +236,33 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "
     return rows.dropDuplicates(["y", "text"])
 
 
-def telling_words(rows: DataFrame, count: int = LANDMARKS, least: int = LEAST_DOCS) -> list[bytes]:
-    """Words of toxic texts by the signed likelihood-ratio statistic of their documents' labels."""
+def landmark_words(rows: DataFrame, count: int = LANDMARKS, least: int = LEAST_DOCS) -> list[bytes]:
+    """Words of toxic texts by the likelihood-ratio statistic of their texts' labels, and for each ``CLEAN`` words of clean texts that are near it, by their texts."""
     word = F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))))
     n1, n0 = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
     seen = rows.select("id", "y", word.alias("w")).where((F.char_length("w") >= ORDER) & (F.char_length("w") <= WINDOW)).distinct()
-    seen = seen.groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(f"a >= {least} and a * {max(n0, 1)} > 2 * b * {max(n1, 1)}")
+    seen = checkpointed(seen.groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")))
     share = (F.col("a") + F.col("b")) / float(max(n1 + n0, 1))
     gain = F.col("a") * F.log((F.col("a") + 1e-9) / (n1 * share)) + F.col("b") * F.log((F.col("b") + 1e-9) / (n0 * share))
-    return [r["w"].encode() for r in seen.orderBy(gain.desc(), "w").select("w").limit(count).collect()]
+    telling = seen.where(f"a >= {max(least, n1 // 50)} and a * {max(n0, 1)} > 2 * b * {max(n1, 1)}").orderBy(gain.desc(), "w").select("w").limit(count)
+    first = [r["w"].encode() for r in telling.collect()]
+    if not first:
+        return []
+    marks = Landmarks(first)
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            near = marks.similar([w.encode() for w in b["w"]])
+            yield b.assign(mark=near.argmax(axis=1).astype(np.int32))[near.any(axis=1)]
+
+    clean = seen.where(f"b > 0 and a * {max(n0, 1)} <= b * {max(n1, 1)}").select("w", "b").mapInPandas(close, "w string, b long, mark int")
+    rank = F.row_number().over(Window.partitionBy("mark").orderBy(F.col("b").desc(), "w"))
+    return first + [r["w"].encode() for r in clean.withColumn("rank", rank).where(f"rank <= {CLEAN}").orderBy("mark", "rank").collect()]
 
 
 def train(rows: DataFrame) -> Model:
     """Fit on rows of id, text, y."""
-    words = telling_words(rows)
+    words = landmark_words(rows)
     marks = Landmarks(words) if words else None
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
