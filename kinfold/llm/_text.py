@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 SHINGLE = 5
 _U = np.uint64
 
