@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 
-SAMPLE = 8_000
+SAMPLE = 5_000
 BUCKET_BITS = 18
 BETA, COST, EPOCHS = 0.25, 1.0, 20
 _U = np.uint64
