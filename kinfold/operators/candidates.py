@@ -2,26 +2,64 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
 
+TILE = 4096
+
+
 def nearest(prints: DataFrame, k: int = 5, max_distance: float = 0.5, block: str | None = None) -> DataFrame:
     """prints: id, vec. id, other, distance, rank of the ``k`` nearest others within ``max_distance``.
 
-    Without ``block`` every pair is measured, as few functions as there are;
-    with it only pairs that agree in that column.
+    Without ``block`` every pair is measured, in pairs of blocks of about
+    ``TILE`` rows of which only each row's best ``k`` leave the task; with it
+    only pairs that agree in that column are. Distances that agree to nine
+    decimals count as equal, and ``other`` decides.
     """
-    left = prints.select("id", "vec", *([block] if block else []))
-    right = prints.select(F.col("id").alias("other"), F.col("vec").alias("o_vec"), *([block] if block else []))
-    pairs = left.join(right, block) if block else left.crossJoin(right)
-    near = pairs.where("id <> other").select("id", "other", S.cosine_distance(F.col("vec"), F.col("o_vec")).alias("distance"))
+    if block:
+        left = prints.select("id", "vec", block)
+        right = prints.select(F.col("id").alias("other"), F.col("vec").alias("o_vec"), block)
+        near = left.join(right, block).where("id <> other").select("id", "other", S.cosine_distance(F.col("vec"), F.col("o_vec")).alias("distance"))
+    else:
+        near = _all_pairs(prints.select("id", "vec"), k, max_distance)
     w = Window.partitionBy("id").orderBy("distance", "other")
     return near.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("distance") <= max_distance))
 
 
+def _all_pairs(prints: DataFrame, k: int, max_distance: float) -> DataFrame:
+    """id, other, distance of each row's ``k`` nearest in every block of the other rows."""
+    kind = prints.schema["id"].dataType.simpleString()
+    n = -(-prints.count() // TILE) or 1
+    tiled = prints.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(n)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = tiled.select("id", "vec", F.col("tile").alias("i"), every.alias("j"))
+    right = tiled.select(F.col("id").alias("other"), "vec", every.alias("i"), F.col("tile").alias("j"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            x, y = (np.stack(t["vec"].to_numpy()).astype(np.float64) for t in (a, b))
+            own, others = a["id"].to_numpy(), b["other"].to_numpy()
+            lengths = np.sqrt((y * y).sum(axis=1))
+            for at in range(0, len(x), 256):
+                some = x[at : at + 256]
+                norm = np.sqrt((some * some).sum(axis=1))[:, None] * lengths
+                d = np.round(np.where(norm == 0, 1.0, np.clip(1 - some @ y.T / np.where(norm == 0, 1.0, norm), 0, 2)), 9)
+                d[own[at : at + 256, None] == others] = np.inf
+                last = np.partition(d, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1 : min(k, len(y))]
+                r, c = np.nonzero((d <= last) & (d <= max_distance))
+                near = pd.DataFrame({"id": own[at + r], "other": others[c], "distance": d[r, c]})
+                out.append(near.sort_values(["id", "distance", "other"]).groupby("id").head(k))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "distance": []})
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"id {kind}, other {kind}, distance double")
+
+
 def same_family(views: DataFrame) -> DataFrame:
     """views: id, family."""
     other = views.select(F.col("id").alias("b"), "family")

@@ -122,6 +122,23 @@ def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return candidates.candidate_pairs(e.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 97).alias("family")), prints, 3, 0.9, block="label")
 
 
+_NEAR_ALL = f"n AS (SELECT x.vec_id AS id, y.vec_id AS other, round({I.cosine_sql('x.embedding', 'y.embedding')}, 9) AS distance FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM n)"
+
+
+@query("fingerprint_knn_all", f"WITH {_NEAR_ALL} SELECT id, other, rank FROM k WHERE rank <= 5 AND distance <= 0.9")
+def fingerprint_knn_all(spark: SparkSession, d: str) -> DataFrame:
+    """As fingerprint_knn, among all rows instead of those with the same label."""
+    prints = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return candidates.nearest(prints, 5, 0.9).select("id", "other", F.col("rank").cast("long").alias("rank"))
+
+
+@query("candidate_pairs_all", f"WITH {_NEAR_ALL} SELECT least(id, other) AS a, greatest(id, other) AS b FROM k WHERE rank <= 3 AND distance <= 0.9 UNION SELECT x.vec_id, y.vec_id FROM embeddings x JOIN embeddings y ON x.vec_id % 97 = y.vec_id % 97 AND x.vec_id < y.vec_id")
+def candidate_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """As candidate_pairs, with the nearest among all rows."""
+    e = table(spark, d, "embeddings")
+    return candidates.candidate_pairs(e.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 97).alias("family")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 3, 0.9)
+
+
 @query("content_hash_dups", "SELECT sha256(coalesce(text, '')) AS sha, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
 def content_hash_dups(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
