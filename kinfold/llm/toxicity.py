@@ -3,8 +3,10 @@
 The kernel of two words counts their common subsequences of ``ORDER``
 characters, each discounted by ``DECAY`` for every character it spans, and is
 normalised and raised to ``POWER``, so that insults with inserted or missing
-characters stay close to the plain ones and other words don't. Landmarks are the words of toxic training texts that tell the
-classes apart best, and for each the commonest words of clean ones near it.
+characters stay close to the plain ones and other words don't. Landmarks are
+all words of at least ``LEAST_DOCS`` toxic training texts whose likelihood-ratio
+statistic is one that chance would give to one word of the vocabulary, and for
+each the commonest words of clean texts near it.
 A sentence's similarity to a landmark is that of its
 closest word (under ``FLOOR``: none); similarities are mapped by the inverse
 square root of the landmarks' own kernel matrix, and a linear support vector
@@ -27,9 +29,11 @@ half; empty tables give empty results.
 
 from __future__ import annotations
 
+import itertools
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -41,7 +45,7 @@ from ._work import checkpointed
 from .quality import sigmoid_fit
 
 ORDER, DECAY, FLOOR, POWER = 3, 0.85, 0.45, 3
-LANDMARKS, CLEAN, LEAST_DOCS = 12, 2, 5
+LANDMARKS, CLEAN, LEAST_DOCS = 1_000, 2, 5  # the first is a bound for memory, far above the words that tell in 3,000 texts
 WINDOW = 16
 SAMPLE = 3_000
 REMEMBERED = 1 << 20
@@ -101,10 +105,32 @@ def own_kernel(x: np.ndarray) -> np.ndarray:
     return kernel(x, x)
 
 
+def sequences(x: np.ndarray, decay: float = DECAY) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and weights of the character sequences of all places of words of one length: a row per word, a column per choice of places."""
+    at = np.array(list(itertools.combinations(range(x.shape[1]), ORDER)), np.int64).reshape(-1, ORDER)
+    weight = (decay ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
+    code = np.zeros((len(x), len(at)), np.int32)
+    for column in at.T:
+        code = code * 38 + x[:, column]
+    return code, weight
+
+
 class Landmarks:
     def __init__(self, words: list[bytes]) -> None:
         self.words = tuple(words)
         self.rows = [codes([w])[0] for w in words]
+        # The landmarks and weights of each character sequence, from ``begin`` of its code on.
+        of, codes_, weights = [], [], []
+        for j, r in enumerate(self.rows):
+            code, weight = sequences(r[None, :])
+            own, inverse = np.unique(code[0], return_inverse=True)
+            of.append(np.full(len(own), j, np.int64))
+            codes_.append(own)
+            weights.append(np.bincount(inverse, weight, len(own)))
+        code = np.concatenate(codes_)
+        by = np.argsort(code, kind="stable")
+        self.of, self.weight = np.concatenate(of)[by], np.concatenate(weights)[by]
+        self.begin = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=38**ORDER))))
         self.self_kernel = np.array([own_kernel(r[None, :])[0] for r in self.rows])
         gram = np.stack([kernel(codes(words), r) for r in self.rows], axis=1) / np.sqrt(np.maximum(np.outer(self.self_kernel, self.self_kernel), 1e-30))
         gram = gram**POWER
@@ -113,17 +139,28 @@ class Landmarks:
 
     def similar(self, words: list[bytes]) -> np.ndarray:
         """Normalised kernels of ``words`` (longest ``WINDOW``) with all landmarks; under ``FLOOR``: 0."""
-        out = np.zeros((len(words), len(self.rows)), np.float32)
+        k = len(self.rows)
+        out = np.zeros((len(words), k), np.float32)
         size = np.fromiter((len(w) for w in words), np.int64, len(words))
-        order = np.argsort(size, kind="stable")
-        for some in np.array_split(order, max(1, len(order) // 4096)):
-            some = some[size[some] >= ORDER]
-            if len(some):
+        for width in np.unique(size[size >= ORDER]):
+            same = np.flatnonzero(size == width)
+            choices = width * (width - 1) * (width - 2) // 6
+            for some in np.array_split(same, -(-len(same) * max(int(choices), k) // (1 << 17))):
+                if not len(some):
+                    continue
                 x = codes([words[i] for i in some])
-                norm = np.sqrt(np.maximum(own_kernel(x), 1e-30))
-                for j, r in enumerate(self.rows):
-                    k = kernel(x, r) / (norm * np.sqrt(self.self_kernel[j]))
-                    out[some, j] = np.where(k >= FLOOR, k, 0) ** POWER
+                code, weight = sequences(x)
+                count = (self.begin[code + 1] - self.begin[code]).ravel()
+                held = np.flatnonzero(count)
+                n = count[held]
+                entry = np.repeat(self.begin[code.ravel()[held]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                row = np.repeat(held // len(weight), n)
+                total = np.bincount(row * k + self.of[entry], np.repeat(weight[held % len(weight)], n) * self.weight[entry], len(some) * k).reshape(-1, k) / np.sqrt(self.self_kernel)
+                # The squares of the single weights are at most the word's own kernel.
+                can = np.flatnonzero((total >= (FLOOR - 1e-3) * np.sqrt((weight.astype(np.float64) ** 2).sum())).any(axis=1))
+                if len(can):
+                    near = total[can] / np.sqrt(np.maximum(own_kernel(x[can]), 1e-30))[:, None]
+                    out[some[can]] = np.where(near >= FLOOR, near, 0) ** POWER
         return out
 
 
@@ -164,10 +201,10 @@ class Reader:
             whole = np.concatenate([k["far"], *k["new"]])
             k["far"], k["new"] = (np.sort(whole) if len(whole) < REMEMBERED else np.zeros(0, np.uint64)), []
 
-    def sentences(self, held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Texts and similarity rows of all sentences that have a word near a landmark."""
+    def sentences(self, held: list[bytes], value: Callable[[np.ndarray], np.ndarray] = lambda r: r) -> tuple[np.ndarray, np.ndarray]:
+        """Texts and similarity rows of all sentences that have a word near a landmark, or what ``value`` makes of the rows."""
         h, offsets, starts, ends, data = _text.words(held)
-        empty = np.zeros(0, np.int64), np.zeros((0, len(self.marks.rows)), np.float32)
+        empty = np.zeros(0, np.int64), value(np.zeros((0, len(self.marks.rows)), np.float32))
         if not len(h):
             return empty
         doc = np.repeat(np.arange(len(held)), np.diff(offsets))
@@ -183,33 +220,44 @@ class Reader:
                 parts.append(p)
                 owner.append(i)
         if parts:
-            rows = self.marks.similar(parts)
-            hot = rows.any(axis=1)
-            for k in np.flatnonzero(hot):
-                key = int(where[owner[k]])
-                self.near[key] = np.maximum(self.near[key], rows[k]) if key in self.near else rows[k]
+            for first_part in range(0, len(parts), 1 << 12):
+                rows = self.marks.similar(parts[first_part : first_part + (1 << 12)])
+                for k in np.flatnonzero(rows.any(axis=1)):
+                    key = int(where[owner[first_part + k]])
+                    self.near[key] = np.maximum(self.near[key], rows[k]) if key in self.near else rows[k].copy()
             self.remember(where[[i for i in fresh if int(where[i]) not in self.near]])
-            if len(self.near) > REMEMBERED // 16:
+            if len(self.near) * len(self.marks.rows) > REMEMBERED:
                 self.known["near"] = {int(x): self.near[int(x)] for x in where if int(x) in self.near}
         table = {i: self.near[int(where[i])] for i in np.flatnonzero(new) if int(where[i]) in self.near}
         hits = np.flatnonzero(np.isin(inverse, np.fromiter(table, np.int64, len(table))))
-        found_doc, found_sentence, found = [doc[hits]], [sentence[hits]], [np.stack([table[i] for i in inverse[hits]])] if len(hits) else [empty[1]]
+        spelled: list[tuple[int, np.ndarray]] = []
         letter = (ends - starts == 1) & (data[starts] >= 97) & (data[starts] <= 122)
         edge = np.flatnonzero(np.diff(np.concatenate(([0], letter.astype(np.int8), [0]))))
         for a, b in zip(edge[::2], edge[1::2], strict=True):
             if b - a >= ORDER and doc[a] == doc[b - 1]:
                 rows = self.marks.similar(pieces(data[starts[a:b]].tobytes()))
                 if rows.any():
-                    found_doc.append(doc[a : a + 1])
-                    found_sentence.append(sentence[a : a + 1])
-                    found.append(rows.max(axis=0, keepdims=True))
-        d, s, r = np.concatenate(found_doc), np.concatenate(found_sentence), np.concatenate(found)
-        if not len(d):
+                    spelled.append((a, rows.max(axis=0)))
+        # A word of the text or a run of letters by its place, and the row of its similarities.
+        keys, own = list(table), {k: i for i, k in enumerate(table)}
+        known = [table[k] for k in keys] + [r for _, r in spelled]
+        place = np.concatenate([hits, np.array([a for a, _ in spelled], np.int64)]).astype(np.int64)
+        if not len(place):
             return empty
-        by = np.argsort(s, kind="stable")
-        d, s, r = d[by], s[by], r[by]
+        row = np.concatenate([np.array([own[i] for i in inverse[hits]], np.int64), len(keys) + np.arange(len(spelled))]).astype(np.int64)
+        by = np.argsort(place, kind="stable")
+        place, row = place[by], row[by]
+        s = sentence[place]
         begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        return d[begin], np.maximum.reduceat(r, begin, axis=0)
+        most, out, at = max(1, REMEMBERED // 4 // len(self.marks.rows)), [], 0
+        while at < len(begin):
+            # As many sentences as fit into a few MB of rows, one at least.
+            stop = max(at + 1, int(np.searchsorted(begin, begin[at] + most, side="right")) - 1) if begin[at] + most < len(place) else len(begin)
+            last = begin[stop] if stop < len(begin) else len(place)
+            r = np.stack([known[i] for i in row[begin[at] : last]])
+            out.append(value(np.maximum.reduceat(r, begin[at:stop] - begin[at], axis=0)))
+            at = stop
+        return doc[place[begin]], np.concatenate(out)
 
 
 class Model:
@@ -222,8 +270,8 @@ class Model:
     def margins(self, reader: Reader | None, held: list[bytes]) -> np.ndarray:
         out = np.full(len(held), self.bias)
         if reader is not None:
-            d, r = reader.sentences(held)
-            np.maximum.at(out, d, r.astype(np.float64) @ self.weights + self.bias)
+            d, m = reader.sentences(held, lambda r: r.astype(np.float64) @ self.weights + self.bias)
+            np.maximum.at(out, d, m)
         return out
 
 
@@ -237,14 +285,17 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "
 
 
 def landmark_words(rows: DataFrame, count: int = LANDMARKS, least: int = LEAST_DOCS) -> list[bytes]:
-    """Words of toxic texts by the likelihood-ratio statistic of their texts' labels, and for each ``CLEAN`` words of clean texts that are near it, by their texts."""
+    """Words of toxic texts by the likelihood-ratio statistic of their texts' labels, as far as it is significant, and for each ``CLEAN`` words of clean texts that are near it, by their texts."""
     word = F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))))
     n1, n0 = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
     seen = rows.select("id", "y", word.alias("w")).where((F.char_length("w") >= ORDER) & (F.char_length("w") <= WINDOW)).distinct()
     seen = checkpointed(seen.groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")))
     share = (F.col("a") + F.col("b")) / float(max(n1 + n0, 1))
-    gain = F.col("a") * F.log((F.col("a") + 1e-9) / (n1 * share)) + F.col("b") * F.log((F.col("b") + 1e-9) / (n0 * share))
-    telling = seen.where(f"a >= {max(least, n1 // 50)} and a * {max(n0, 1)} > 2 * b * {max(n1, 1)}").orderBy(gain.desc(), "w").select("w").limit(count)
+    cell = lambda seen, of, p: F.when(seen > 0, seen * F.log(seen / (of * p))).otherwise(0.0)
+    gain = cell(F.col("a"), n1, share) + cell(F.col("b"), n0, share) + cell(n1 - F.col("a"), n1, 1 - share) + cell(n0 - F.col("b"), n0, 1 - share)
+    # By chance one word of those in enough texts is expected to pass.
+    bound = NormalDist().inv_cdf(1 - 0.5 / max(2, seen.where(f"a + b >= {least}").count())) ** 2 / 2
+    telling = seen.where(f"a >= {least} and a * {max(n0, 1)} > 2 * b * {max(n1, 1)}").where(gain >= bound).orderBy(gain.desc(), "w").select("w").limit(count)
     first = [r["w"].encode() for r in telling.collect()]
     if not first:
         return []
