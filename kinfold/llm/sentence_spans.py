@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-From each sentence on, the shortest run of consecutive sentences with at least
-two sentences and ``MIN_WORDS`` words is hashed; one sentence of ``LONG_WORDS``
-or more is a run of its own. Hashes are joined over the whole table, and a
+A run is consecutive sentences, at least two with ``MIN_WORDS`` words or one of
+``LONG_WORDS``. The shortest run from each sentence on and the shortest up to
+each sentence are hashed. No others are needed: in any run that is repeated,
+each sentence begins or ends a shortest run that lies in it, or is covered by
+the shortest from the first sentence or up to the last. Hashes are joined over the whole table, and a
 sentence goes if any run that covers it occurs earlier, by id and then by
 place. A sentence ends after ``.``, ``!`` or ``?`` before white space, at a
 line break, or before a capital after white space, so that a passage pasted
@@ -45,18 +47,22 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def runs(text: str) -> list[tuple[int, int, int]]:
-    """Hash, first sentence and last sentence of each run."""
+    """Hash, first sentence and last sentence of the shortest run from each sentence on and up to each sentence."""
     parts = [text[a:b].lower().split() for a, b in sentences(text)]
-    out = []
-    for i in range(len(parts)):
-        n = len(parts[i])
-        j = i
-        while (n < MIN_WORDS or j == i) and n < LONG_WORDS and j + 1 < len(parts):
-            j += 1
-            n += len(parts[j])
-        if n >= LONG_WORDS or (n >= MIN_WORDS and j > i):
-            h = xxhash.xxh64_intdigest("\n".join(" ".join(p) for p in parts[i : j + 1]).encode("utf-8", "surrogatepass"))
-            out.append((h - (1 << 64) if h >> 63 else h, i, j))
+    size = [len(p) for p in parts]
+    spans = {}
+    for step, last in ((1, len(parts) - 1), (-1, 0)):
+        for i in range(len(parts)):
+            n, j = size[i], i
+            while (n < MIN_WORDS or j == i) and n < LONG_WORDS and j != last:
+                j += step
+                n += size[j]
+            if n >= LONG_WORDS or (n >= MIN_WORDS and j != i):
+                spans[min(i, j), max(i, j)] = None
+    out, lines = [], [" ".join(p) for p in parts]
+    for i, j in spans:
+        h = xxhash.xxh64_intdigest("\n".join(lines[i : j + 1]).encode("utf-8", "surrogatepass"))
+        out.append((h - (1 << 64) if h >> 63 else h, i, j))
     return out
 
 
