@@ -8,7 +8,12 @@ for members below 16 MiB, and larger records end in an empty member to make
 it so. :func:`read_warc` reads such archives, and also plain ones. A member or
 record that fails its checks (gzip CRC, version line, length, end mark, block
 digest) is not believed: the reader looks for the next member or version line
-that passes, goes on from there, and logs the bytes in between as a gap.
+that passes, goes on from there, and logs the bytes in between as a gap. In a
+member of several records those that pass are kept: after a failure the reader
+looks for the next version line in the decompressed bytes, and a member that is
+cut off or damaged is decompressed as far as it goes; its records count only
+with a block digest that agrees. Records of one member share its place, and
+gaps inside it are logged at that place.
 
 Defined cases: a null payload counts as empty. Of records with equal payloads
 the smallest id is the response and others revisit it; rows that repeat the
@@ -85,43 +90,85 @@ def parsed(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
     return fields, block, stop + 4
 
 
-def _member_at(data: bytes, at: int) -> tuple[bytes, int] | str:
+STEP = 64
+
+
+def _member_at(data: bytes, at: int) -> tuple[bytes, int, str, list[tuple[int, int]]]:
+    """Decompressed bytes, end, what is wrong with the member, and for a damaged one how many bytes were out at which place."""
     gz = zlib.decompressobj(31)
     try:
-        start = gz.decompress(data[at : at + 4096], 16)
-        if start[:7] != b"WARC/1."[: len(start)]:
-            return "not a record"
-        gz = zlib.decompressobj(31)
         out = gz.decompress(memoryview(data)[at:])
+        if gz.eof:
+            return out, len(data) - len(gz.unused_data), "", []
+        why = "member is cut off"
     except zlib.error as e:
-        return str(e)[:80]
-    return (out, len(data) - len(gz.unused_data)) if gz.eof else "member is cut off"
+        why = str(e)[:80]
+    # Once more in small steps, and the step that fails byte by byte.
+    gz, parts, n, places, view = zlib.decompressobj(31), [], 0, [(0, at)], memoryview(data)
+    pos, step = at, STEP
+    before = gz.copy()
+    while pos < len(data) and not gz.eof:
+        try:
+            some = gz.decompress(view[pos : pos + step])
+        except zlib.error:
+            if step == 1:
+                break
+            gz, step = before, 1
+            continue
+        if some:
+            parts.append(some)
+            n += len(some)
+        pos = min(pos + step, len(data))
+        places.append((n, pos))
+        if step > 1 and pos < len(data):
+            before = gz.copy()
+    return b"".join(parts), pos, why, places
+
+
+def _inside(inner: bytes, whole: bool) -> list[tuple[int, int, str, dict[str, str], bytes]]:
+    """Start, end, reason (none for a record), header fields and block of all records and gaps of a member."""
+    out: list[tuple[int, int, str, dict[str, str], bytes]] = []
+    pos, bad, why = 0, None, ""
+    while pos < len(inner):
+        one = parsed(inner, pos)
+        if not isinstance(one, str) and not whole and not one[0].get("warc-block-digest", "").startswith("sha1:"):
+            one = "no digest in a damaged member"
+        if isinstance(one, str):
+            if bad is None:
+                bad, why = pos, one
+            pos = inner.find(b"WARC/1.", pos + 1)
+            pos = len(inner) if pos < 0 else pos
+            continue
+        if bad is not None:
+            out.append((bad, pos, why, {}, b""))
+            bad = None
+        out.append((pos, one[2], "", one[0], one[1]))
+        pos = one[2]
+    return out + ([(bad, len(inner), why, {}, b"")] if bad is not None else [])
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, str, dict[str, str], bytes]]:
-    """kind (record or gap), offset, length, reason, header fields, block; in order and covering all bytes."""
+    """kind (record or gap), offset, length, reason, header fields, block; in order and covering all bytes. All of a member have its offset and length."""
     at, bad, why = 0, None, ""
     while at < len(data):
-        found: list[tuple[dict[str, str], bytes]] = []
+        damaged = ""
+        found: list[tuple[int, int, str, dict[str, str], bytes]] = []
         if data[at : at + 3] == b"\x1f\x8b\x08":
-            got = _member_at(data, at)
-            if isinstance(got, str):
-                failed, stop = got, at
-            else:
-                inner, stop = got
-                pos, failed = 0, ""
-                while pos < len(inner) and not failed:
-                    one = parsed(inner, pos)
-                    if isinstance(one, str):
-                        failed = one
-                    else:
-                        found.append(one[:2])
-                        pos = one[2]
+            inner, stop, failed, places = _member_at(data, at)
+            found = _inside(inner, not failed)
+            kept = [x for x in found if not x[2]]
+            if kept and failed:
+                # The rest of the member, where the next one may begin, counts from the last record on.
+                stop = max(p for n, p in places if n <= kept[-1][1])
+                found, damaged = found[: found.index(kept[-1]) + 1], failed
+                failed = ""
+            elif found and not kept:
+                failed = failed or found[0][2]
         else:
             one = parsed(data, at)
             failed, stop = (one, at) if isinstance(one, str) else ("", one[2])
             if not failed:
-                found = [one[:2]]
+                found = [(0, 0, "", *one[:2])]
         if failed:
             if bad is None:
                 bad, why = at, failed
@@ -131,9 +178,14 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, str, dict[str, str], b
         if bad is not None:
             yield "gap", bad, at - bad, why, {}, b""
             bad = None
-        for fields, block in found:
-            yield "record", at, stop - at, "", fields, block
+        for first, last, reason, fields, block in found:
+            yield ("gap", at, stop - at, f"bytes {first} to {last} of the member: {reason}", {}, b"") if reason else ("record", at, stop - at, "", fields, block)
         at = stop
+        if damaged and at < len(data):
+            bad, why = at, damaged
+            after = [x for x in (data.find(b"\x1f\x8b\x08", at), data.find(b"WARC/1.", at)) if x >= 0]
+            at = min(after, default=len(data))
+            bad = bad if at > bad else None
     if bad is not None:
         yield "gap", bad, len(data) - bad, why, {}, b""
 
