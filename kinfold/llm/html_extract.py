@@ -55,11 +55,16 @@ class Block:
         return " ".join(htmllib.unescape("".join(self.parts)).split())
 
 
-@lru_cache(maxsize=4096)
 def _names(tag: str, attributes: str) -> tuple[str, ...]:
+    # Long values, as of style or data attributes, rarely come again and would fill the memory.
+    return (_known_names if len(attributes) <= 2000 else _known_names.__wrapped__)(tag, attributes)
+
+
+@lru_cache(maxsize=4096)
+def _known_names(tag: str, attributes: str) -> tuple[str, ...]:
     """What an element tells of itself: its tag and the words of its class, id and role."""
     out = [f"tag:{tag}"]
-    for _, value in ATTRIBUTE.findall(attributes[:2000]):
+    for _, value in ATTRIBUTE.findall(attributes):
         out += [f"name:{w.lower()}" for w in WORD.findall(CAMEL.sub(" ", value)) if len(w) > 1]
     return tuple(dict.fromkeys(out))
 
@@ -69,8 +74,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     out: list[Block] = []
     now: Block | None = None
-    at, skip = 0, ""
-    link = 0
+    at, pos, link = 0, 0, 0
 
     def add(text: str) -> None:
         nonlocal now
@@ -89,14 +93,10 @@ def blocks(page: str) -> list[Block]:
         if link:
             now.anchors += len(text)
 
-    for m in TOKEN.finditer(page):
-        if skip:
-            if m[1] == "/" and (m[2] or "").lower() == skip:
-                skip, at = "", m.end()
-            continue
+    while m := TOKEN.search(page, pos):
         if m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
+        at = pos = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
@@ -106,9 +106,7 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW:
             if not closing and not (m[3] or "").endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                skip, at = (tag, at) if end is None else (tag, end.start())
-                if end is None:
-                    at = len(page)
+                at = pos = len(page) if end is None else end.end()
             continue
         if tag in INLINE:
             if tag == "br" and now is not None:
@@ -128,7 +126,7 @@ def blocks(page: str) -> list[Block]:
             elif stack and stack[-1][0] == "p":
                 stack.pop()
             stack.append((tag, _names(tag, m[3] or m[6] or "")))
-    if not skip and at < len(page):
+    if at < len(page):
         add(page[at:])
     return [b for b in out if b.text]
 
