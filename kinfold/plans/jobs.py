@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import images
 from ..operators import execute
 from ..sources import probes
 from . import curation, downstream, inputs
@@ -28,8 +27,8 @@ def _grey_probes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("oracle_freeze")
 def oracle_freeze(spark: SparkSession, d: str) -> DataFrame:
-    """Hashes of 20 functions on every probe, each run twice."""
-    return execute.freeze_oracle(_grey_probes(spark, d).repartition(8), sorted(images.LIBRARY)[::5])
+    """Hashes of all functions of the library on every probe, each run twice."""
+    return execute.freeze_oracle(_grey_probes(spark, d).repartition(8))
 
 
 @query("function_library_status")
