@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import images
 from ..functions import scalars as S
 from ..operators import calibrate, candidates, compare, gating, graph, judges, metrics, planning, studies
 from . import inputs as I
@@ -428,8 +429,9 @@ def relation_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("corruption_grid")
 def corruption_grid(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part").orderBy("p_partkey").limit(100).select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("id"), (F.col("p_size") % 3).alias("n_params"), (F.col("p_size") % 2).alias("numeric_params"))
-    library: pd.DataFrame = parts.toPandas()  # a library is a driver table of a hundred functions
+    """Plans over the package's own library of 100 functions."""
+    numeric = lambda x: sum(p.type in ("int", "float") for p in x.params)
+    library = pd.DataFrame([(k, len(x.params), numeric(x)) for k, x in images.LIBRARY.items()], columns=["id", "n_params", "numeric_params"])
     return planning.corruption_grid(spark, library, [round(0.1 * k, 1) for k in range(1, 11)], list(planning.COMPOSITIONS), [0, 1, 2, 3, 4])
 
 
