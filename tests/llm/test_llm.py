@@ -4,6 +4,7 @@ import base64
 import collections
 import gzip
 import hashlib
+import itertools
 import random
 import re
 
@@ -279,26 +280,36 @@ def test_sentence_spans(spark):
 # ---- classifiers ---------------------------------------------------------------------------------------------------
 
 
-def slow_kernel(s, t, n=toxicity.ORDER, lam=toxicity.DECAY):
-    import itertools
+def slow_features(word):
+    """Weights of all subsequences of three characters, one choice of places after the other."""
+    out = collections.Counter()
+    for at in itertools.combinations(range(len(word)), toxicity.ORDER):
+        out["".join(word[i] for i in at)] += toxicity.DECAY ** (at[-1] - at[0] + 1)
+    norm = sum(toxicity.DECAY ** (2 * (at[-1] - at[0] + 1)) for at in itertools.combinations(range(len(word)), toxicity.ORDER)) ** 0.5
+    return {k: v / norm for k, v in out.items()}
 
-    def weights(x):
-        out = collections.Counter()
-        for at in itertools.combinations(range(len(x)), n):
-            out["".join(x[i] for i in at)] += lam ** (at[-1] - at[0] + 1)
-        return out
 
-    a, b = weights(s), weights(t)
-    return sum(v * b[k] for k, v in a.items())
+def slow_kernel(s, t):
+    b = slow_features(t)
+    return sum(v * b.get(k, 0.0) for k, v in slow_features(s).items())
 
 
 def test_string_kernel():
-    words = ["idiot", "idxiot", "id1iot", "thshern", "aaaa", "ab"]
-    x = toxicity.codes([w.encode() for w in words])
-    for t in ("idiot", "aaa", "thsh"):
-        k = toxicity.kernel(x, toxicity.codes([t.encode()])[0])
-        assert np.allclose(k, [slow_kernel(w, t) for w in words], rtol=1e-4)
-    assert np.allclose(toxicity.own_kernel(x), [slow_kernel(w, w) for w in words], rtol=1e-4)
+    words = ["idiot", "idxiot", "id1iot", "thshern", "aaaa", "m\u00e9chant"]
+    marks = toxicity.Landmarks([toxicity._spelling(w) for w in words])
+    got = marks.kernel([toxicity._spelling(w) for w in words[:5]] + [toxicity._spelling("ab")])
+    assert np.allclose(got[:5, :5], [[slow_kernel(x, y) for y in words[:5]] for x in words[:5]], rtol=1e-4) and not got[5].any()
+    # The folded table gives what mapping by the landmarks gives, here for a whole text.
+    w = np.random.default_rng(3).normal(size=len(words))
+    text = "An id-iot, thsh ab aaaab; xx " + "h" * 5 + "idiot" * 6 + " i d i o t"
+    alpha = marks.root @ w
+    spelled = [re.sub(r"[^a-z0-9]", "", x) for x in text.lower().split()[:7]] + ["idiot"]
+    pieces = [x[i : i + 16] for x in spelled for i in ([0] if len(x) <= 16 else sorted({*range(0, len(x) - 16, 8), len(x) - 16}))]
+    f = {k: sum(a * v.get(k, 0.0) for a, v in zip(alpha, map(slow_features, words[:5]), strict=False)) for x in words[:5] for k in slow_features(x)}
+    table = np.bincount(marks.code, marks.weight * np.append(alpha[:5], 0.0)[marks.of], toxicity.SYMBOLS**3).astype(np.float32)
+    want = max(sum(v * f.get(k, 0.0) for k, v in slow_features(x).items()) for x in pieces if len(x) >= 3)
+    assert toxicity.Model(table, 0.25, (1.0, 0.0, 0.0)).seen([text.lower().encode()])[0, 0] == pytest.approx(want + 0.25, abs=1e-4)
+    assert np.allclose(marks.folded(w), np.bincount(marks.code, marks.weight * alpha[marks.of], toxicity.SYMBOLS**3), atol=1e-5)
 
 
 def test_toxicity(spark):
@@ -324,6 +335,32 @@ def test_toxicity(spark):
     assert toxicity.scores(tricks.limit(0), model, held).count() == 0
     blank = toxicity.train(toxicity.labelled(table, labels.limit(0), F.lit(True)))
     assert {x["score"] for x in toxicity.scores(tricks, blank, held).collect()} == {0.5}
+    # Reruns agree however the rows are dealt, equal texts under several ids too.
+    twice = docs(spark, [(i, t) for i, t, _ in rows] + [(i + 1000, t) for i, t, _ in rows[:50]])
+    more = labels.union(spark.createDataFrame([(i + 1000, 1, y) for i, _, y in rows[:50]], labels.schema))
+    train = lambda n: toxicity.train(toxicity.labelled(twice.repartition(n, "text"), more, F.lit(True)))
+    first, again = train(2), train(7)
+    assert np.array_equal(first.weights, again.weights) and first.logistic == again.logistic
+
+
+def test_toxicity_rare_words(spark):
+    """60 insults, each in some 2 of 100 toxic texts: those of held-out texts are found too, and with changed endings."""
+    r = random.Random(8)
+    insults = ["".join(r.choice("klmnopqrstuvwxyz") for _ in range(7)) for _ in range(60)]
+    rows = []
+    for i in range(2400):
+        bad = i % 2 == 0
+        words = prose(i + 40_000, 40).split()
+        if bad:
+            words[r.randrange(40)] = insults[i // 2 % 60]
+        rows.append((i, " ".join(words), int(bad)))
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    table = docs(spark, [(i, t) for i, t, _ in rows])
+    model = toxicity.train(toxicity.labelled(table, labels, F.col("id") % 7 != 0))
+    out = {x["doc_id"]: x["predicted"] for x in toxicity.scores(table, model, F.col("doc_id") % 7 == 0).collect()}
+    assert np.mean([out[i] for i, _, y in rows if y and i % 7 == 0]) > 0.97 and np.mean([out[i] for i, _, y in rows if not y and i % 7 == 0]) < 0.03
+    told = toxicity.scores(docs(spark, [(k, f"{prose(k, 9)} {w[:3]}-{w[3:]} {prose(k + 1, 9)}") for k, w in enumerate(insults)]), model, F.lit(True))
+    assert told.where("predicted = 1").count() >= 57
 
 
 def test_quality(spark):
