@@ -13,8 +13,8 @@ Texts are made distinct first. Bands of equal registers give buckets; within a
 bucket each text is compared with the bucket's first text and with its hub,
 the text with most company over all its buckets. Links make connected
 components, and only buckets that still hold several components are looked at
-again, block of ``BLOCK`` texts by block, each pair in the first band that it
-shares: pairs of different components that agree in ``LEAST_AGREE`` registers
+again, in blocks of about ``BLOCK`` texts or ``BLOCK_BYTES`` of hashes (one
+text at least), block by block, each pair in the first band that it shares: pairs of different components that agree in ``LEAST_AGREE`` registers
 (four standard deviations below what the threshold expects) are compared by
 their shingles, and only links leave the task. So a group of copies is never
 expanded into pairs, and no candidate is dropped for being one of many. Links
@@ -37,12 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._work import checkpointed, small_side, written
+from ._work import checkpointed, small_side, trimmed, written
 
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 LEAST_AGREE = 78
 _U = np.uint64
 
@@ -208,7 +208,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row per distinct text: key (MD5 of the text), class_id, class_size (documents), stays (whether it is the class's first text), min_id, n (its rows)."""
     own = docs.select(F.col(id_col).alias("id"), _key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = own.mapInPandas(_signed, f"id {docs.schema[id_col].dataType.simpleString()}, key string, n long, bands array<bigint>, regs binary")
+    signed = own.mapInPandas(trimmed(_signed), f"id {docs.schema[id_col].dataType.simpleString()}, key string, n long, bands array<bigint>, regs binary")
     nodes = signed.groupBy("key").agg(F.min("id").alias("min_id"), F.count(F.lit(1)).alias("n_rows"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("regs").alias("regs"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     laid = nodes.select("node", "n", F.posexplode("bands").alias("band", "h"))
@@ -226,27 +226,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = written(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), "pairs")
     wanted = checkpointed(members.select("node").distinct().join(nodes.select("node", "key"), "node"))
     texts = own.select("key", "text").join(small_side(wanted, 80 * n_nodes), "key").groupBy("node").agg(F.first("text").alias("text"))
-    bags = written(texts.mapInPandas(_packed, "node long, bag binary"), "bags")
+    bags = written(texts.mapInPandas(trimmed(_packed), "node long, bag binary"), "bags")
 
     def linked(pairs: DataFrame) -> DataFrame:
         left = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
         both = left.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
-        return written(both.mapInPandas(_verified(threshold), "a long, b long"), "links")
+        return written(both.mapInPandas(trimmed(_verified(threshold)), "a long, b long"), "links")
 
     links = linked(pairs)
     comps = checkpointed(components(links))
     # Buckets of more than one component: what is in them is compared block by block.
     told = members.select("band", "h", "node", "n").join(small_side(comps, 32 * comps.count()), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = told.groupBy("band", "h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("k")).where("c0 <> c1 and k > 2")
-    mixed = checkpointed(mixed.select("band", "h", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts")))
+    mixed = told.groupBy("band", "h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("words")).where("c0 <> c1 and k > 2")
+    mixed = checkpointed(mixed.select("band", "h", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("words") * 4 / BLOCK_BYTES)).cast("int").alias("parts")))
     apart = told.join(small_side(mixed, 32 * mixed.count()), ["band", "h"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     apart = written(apart, "apart")
-    load = bags.join(apart.select("node").distinct(), "node", "left_semi").mapInPandas(_folded, "node long, bag binary").join(nodes.select("node", "bands", "regs"), "node")
+    load = bags.join(apart.select("node").distinct(), "node", "left_semi").mapInPandas(trimmed(_folded), "node long, bag binary").join(nodes.select("node", "bands", "regs"), "node")
     blocks = apart.join(load, "node").groupBy("band", "h", "i", "parts").agg(F.collect_list(F.struct("node", "comp", "n", "bands", "regs", "bag")).alias("x"))
     blocks = written(blocks, "blocks")
     left = blocks.select("band", "h", "i", F.explode(F.expr("sequence(i, parts - 1)")).alias("j"), "x")
     right = blocks.select("band", "h", F.explode(F.expr("sequence(0, i)")).alias("i"), F.col("i").alias("j"), F.col("x").alias("y"))
-    more = left.join(right, ["band", "h", "i", "j"]).mapInPandas(_blocks(threshold), "a long, b long").distinct()
+    more = left.join(right, ["band", "h", "i", "j"]).mapInPandas(trimmed(_blocks(threshold)), "a long, b long").distinct()
     more = linked(checkpointed(more))
     if not more.isEmpty():
         comps = checkpointed(components(links.union(more)))
@@ -268,10 +268,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each class. All columns stay as they are."""
     found = near_duplicates(docs, id_col, text_col, threshold).where("class_size > 1")
-    found = checkpointed(found.select(F.col("key").alias("_kf_key"), F.col("stays").alias("_kf_stays"), F.col("min_id").alias("_kf_min"), F.col("n").alias("_kf_n")))
-    keyed = docs.withColumn("_kf_own", _key(F.col(text_col)))
-    marked = keyed.join(small_side(found, 96 * found.count()), F.col("_kf_own") == F.col("_kf_key"), "left")
-    kept = marked.where(F.col("_kf_stays").isNull() | (F.col("_kf_stays") & F.col(id_col).eqNullSafe(F.col("_kf_min"))))
-    single = kept.where(F.coalesce(F.col("_kf_n"), F.lit(1)) == 1)
-    many = kept.where(F.col("_kf_n") > 1).dropDuplicates([id_col, "_kf_own"])
-    return single.unionByName(many).drop("_kf_own", "_kf_key", "_kf_stays", "_kf_min", "_kf_n")
+    found = checkpointed(found.select(F.struct("key", "stays", "min_id", "n").alias("found")))
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), _key(F.col(text_col)).alias("key")).alias("own"), F.struct(*docs.columns).alias("row"))
+    marked = keyed.join(small_side(found, 96 * found.count()), F.col("own.key") == F.col("found.key"), "left")
+    kept = marked.where(F.col("found.stays").isNull() | (F.col("found.stays") & F.col("own.id").eqNullSafe(F.col("found.min_id"))))
+    single = kept.where(F.coalesce(F.col("found.n"), F.lit(1)) == 1)
+    many = kept.where(F.col("found.n") > 1).groupBy("own").agg(F.first("row").alias("row"))
+    return single.select("row.*").unionByName(many.select("row.*"))

@@ -94,7 +94,7 @@ def balanced(cells: DataFrame, targets: DataFrame, bound: float = BOUND, steps:
 
 
 def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, bound: float) -> DataFrame:
-    """``docs`` with a struct ``_kf`` of source, size, source_size, target, rate and copies. Only tables of sources are joined to it."""
+    """``_kf``, a struct of source, size, source_size, target, rate and copies, and ``_kf_row``, a struct of the row of ``docs``. Only tables of sources are joined to it."""
     own = F.struct(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), (F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("point"))
     cells = checkpointed(docs.select(own.alias("_kf")).groupBy("_kf.source", "_kf.size").agg(F.count(F.lit(1)).alias("n")))
     cells = cells.coalesce(1 + cells.count() // CELLS_PER_TASK)
@@ -114,7 +114,7 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, bound
     tries = rated(docs.select(own.alias("_kf"))).groupBy("_kf.source").agg(F.max("_kf_dual.target").alias("t"), *(F.sum(copies(F.lit(k / SHIFTS)) * F.col("_kf.size")).alias(f"k{k}") for k in range(SHIFTS)))
     missed = F.array(*(F.struct(F.abs(F.col(f"k{k}") - F.col("t")).alias("off"), F.lit(k / SHIFTS).alias("shift")) for k in range(SHIFTS)))
     shifts = checkpointed(tries.select(F.struct("source", F.array_min(missed)["shift"].alias("shift")).alias("_kf_shift")))
-    out = rated(docs.withColumn("_kf", own)).join(small_side(shifts, 64 * sources), F.col("_kf.source").eqNullSafe(F.col("_kf_shift.source")))
+    out = rated(docs.select(own.alias("_kf"), F.struct(*docs.columns).alias("_kf_row"))).join(small_side(shifts, 64 * sources), F.col("_kf.source").eqNullSafe(F.col("_kf_shift.source")))
     told = F.struct("_kf.source", "_kf.size", "_kf_dual.source_size", "_kf_dual.target", F.col("_kf_rate").alias("rate"), copies(F.col("_kf_shift.shift")).alias("copies"))
     return out.withColumn("_kf", told).drop("_kf_dual", "_kf_rate", "_kf_shift")
 
@@ -122,10 +122,10 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, bound
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bound: float = BOUND) -> DataFrame:
     """One row per document: id, source, size, source_size, target, rate, copies, taken."""
     out = _planned(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, bound)
-    return out.select(id_col, "_kf.*", (F.col("_kf.copies") * F.col("_kf.size")).alias("taken"))
+    return out.select(f"_kf_row.`{id_col}`", "_kf.*", (F.col("_kf.copies") * F.col("_kf.size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bound: float = BOUND) -> DataFrame:
-    """The documents that the mix takes, once each, with ``copies``: how often training repeats them."""
+    """The documents that the mix takes, once each, with ``copies``: how often training repeats them. A column of that name in ``docs`` gives way."""
     out = _planned(docs.drop("copies"), id_col, text_col, source_col, bound)
-    return out.withColumn("copies", F.col("_kf.copies")).drop("_kf").where("copies > 0")
+    return out.where("_kf.copies > 0").select("_kf_row.*", "_kf.copies")

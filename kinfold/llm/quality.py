@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._work import trimmed
 
 SAMPLE = 5_000
 BUCKET_BITS = 18
@@ -145,7 +146,7 @@ class Model:
 
 def train(rows: DataFrame) -> Model:
     """Fit on rows of id, text, y."""
-    got = rows.mapInPandas(_featured, f"id {rows.schema['id'].dataType.simpleString()}, y int, f array<int>").toPandas()
+    got = rows.mapInPandas(trimmed(_featured), f"id {rows.schema['id'].dataType.simpleString()}, y int, f array<int>").toPandas()
     got = got.sort_values("id").reset_index(drop=True)
     y = np.where(got["y"].to_numpy(np.int64) > 0, 1.0, -1.0) if len(got) else np.zeros(0)
     if len(set(y)) < 2:
@@ -181,4 +182,4 @@ def scores(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_i
                 yield pd.DataFrame({"id": part["id"].array, "held_out": part["held_out"].array, "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return own.mapInPandas(scored, f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return own.mapInPandas(trimmed(scored), f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)

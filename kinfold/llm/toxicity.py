@@ -45,12 +45,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._work import checkpointed
+from ._work import checkpointed, trimmed
 
 ORDER, DECAY = 3, 0.8
 WINDOW = 16
 SAMPLE = 3_000
-LANDMARKS, COMMON, NEGATIVES, LEAST_DOCS = 512, 128, 3_000, 5  # the first is a bound for memory, far above the words that tell in 3,000 texts
+LANDMARKS, COMMON, NEGATIVES, LEAST_DOCS = 512, 96, 3_000, 5  # the first is a bound for memory, far above the words that tell in 3,000 texts
 ROUNDS, MINED = 2, 6
 SYMBOLS = 64
 LEAST = -3.0
@@ -256,21 +256,26 @@ class Landmarks:
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and intercept of the linear machine of squared hinge loss, by Newton's steps on the rows within the margin."""
-    k = x.shape[1]
-    x = np.concatenate((x, np.ones((len(x), 1), x.dtype)), axis=1)
+    """Weights and intercept of the linear machine of squared hinge loss, by Newton's steps on the rows within the margin; ``x`` is read in blocks."""
+    n, k = x.shape
     w, ridge = np.zeros(k + 1), np.append(np.ones(k), 1e-3)
-    loss = lambda v: (ridge * v * v).sum() / 2 + cost / 2 * (weight * np.maximum(0, 1 - y * (x @ v)) ** 2).sum()
+    margin = lambda v: x @ v[:-1].astype(x.dtype) + v[-1]
+    loss = lambda v: (ridge * v * v).sum() / 2 + cost / 2 * (weight * np.maximum(0, 1 - y * margin(v)) ** 2).sum()
     for _ in range(40):
-        gap = 1 - y * (x @ w)
-        on = gap > 0
-        g = ridge * w - cost * (x[on].T @ (weight * y * gap)[on])
-        step = np.linalg.solve(np.diag(ridge) + cost * (x[on].T * weight[on]) @ x[on], g)
+        gap = 1 - y * margin(w)
+        push = np.where(gap > 0, weight, 0.0)
+        g, hess = ridge * w, np.diag(ridge)
+        for i in range(0, n, 2048):
+            on = i + np.flatnonzero(push[i : i + 2048])
+            some = np.column_stack((x[on], np.ones(len(on)))).astype(np.float64)
+            g = g - cost * (some.T @ (push * y * gap)[on])
+            hess += cost * (some.T * push[on]) @ some
+        step = np.linalg.solve(hess, g)
         t, now = 1.0, loss(w)
         while t > 1e-4 and loss(w - t * step) > now - 1e-4 * t * (g @ step):
             t /= 2
         w = w - t * step
-        if np.abs(t * step).max() < 1e-6:
+        if np.abs(t * step).max() < 1e-5:
             break
     return w[:-1], float(w[-1])
 
@@ -314,7 +319,7 @@ def _worst(rows: DataFrame, weights: np.ndarray, bias: float) -> pd.DataFrame:
                 yield pd.DataFrame(out, columns=["id", "y", "margin", "word"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(read, f"id {kind}, y int, margin float, word binary").toPandas()  # at most (1 + MINED) * SAMPLE words
+    return rows.mapInPandas(trimmed(read), f"id {kind}, y int, margin float, word binary").toPandas()  # at most (1 + MINED) * SAMPLE words
 
 
 def train(rows: DataFrame) -> Model:
@@ -337,17 +342,21 @@ def train(rows: DataFrame) -> Model:
     for w, n in telling:
         bad[_spelling(w)] = bad.get(_spelling(w), 0) + n
     good = dict.fromkeys((w for w in clean if len(w) >= ORDER), 1.0)
-    mapped: dict[bytes, np.ndarray] = {}
+    row: dict[bytes, int] = {}
+    x = np.zeros((0, len(marks.words)), np.float32)
     for turn in range(ROUNDS + 1):
-        words = [*sorted(bad), *sorted(good)]
-        new = [w for w in words if w not in mapped]
-        mapped.update(zip(new, marks.kernel(new) @ marks.root.astype(np.float32), strict=True))
-        x = np.stack([mapped[w] for w in words])
-        y = np.concatenate((np.ones(len(bad)), -np.ones(len(good))))
-        weight = np.array([float(bad.get(w, 0)) if one > 0 else good[w] for w, one in zip(words, y, strict=True)])
+        new = [w for w in (*sorted(bad), *sorted(good)) if w not in row]
+        row.update(zip(new, range(len(row), len(row) + len(new)), strict=True))
+        x = np.concatenate((x, marks.kernel(new) @ marks.root.astype(np.float32)))
+        # Rows of words that a later round no longer takes weigh nothing.
+        y, weight = -np.ones(len(x)), np.zeros(len(x))
+        for w, n in good.items():
+            weight[row[w]] = n
+        for w, n in bad.items():
+            y[row[w]], weight[row[w]] = 1.0, n
         # Both sides weigh as many as there are words of clean texts.
         weight = np.where(y > 0, weight * len(good) / max(weight[y > 0].sum(), 1e-9), weight)
-        w, bias = fit(x.astype(np.float64), y, weight)
+        w, bias = fit(x, y, weight)
         weights = marks.folded(w)
         if turn == ROUNDS:
             break
@@ -370,7 +379,7 @@ def _seen(rows: DataFrame, model: Model) -> pd.DataFrame:
                 part = b.iloc[first : first + len(held)]
                 yield pd.DataFrame({"id": part["id"].array, "y": part["y"].array, "seen": list(model.seen(held).astype(np.float32))})
 
-    return rows.mapInPandas(read, f"id {rows.schema['id'].dataType.simpleString()}, y int, seen array<float>").toPandas()  # at most 2 * SAMPLE rows
+    return rows.mapInPandas(trimmed(read), f"id {rows.schema['id'].dataType.simpleString()}, y int, seen array<float>").toPandas()  # at most 2 * SAMPLE rows
 
 
 def scores(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -384,7 +393,7 @@ def scores(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_i
                 yield pd.DataFrame({"id": part["id"].array, "held_out": part["held_out"].array, "score": p, "predicted": (p >= 0.5).astype(np.int32)})
 
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return own.mapInPandas(scored, f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return own.mapInPandas(trimmed(scored), f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -392,7 +401,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     @F.pandas_udf("int")
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
+        for b in trimmed(iter)(batches):
             got = [model.score(model.seen(held)) >= 0.5 for _, held in _text.chunks(b.tolist())]
             yield pd.Series(np.concatenate(got).astype(np.int32) if got else np.zeros(0, np.int32))
 
