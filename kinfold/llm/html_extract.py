@@ -33,13 +33,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._work import trimmed
+
 # HTML elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+# How sites name readers' comments.
+COMMENTS = "comment comments cmt cmts reply replies discussion responses disqus reactions feedback thread ugc".split()
+
+# A quote opens a value only right after the equals sign; an opened value that never ends is read as if it had no quote.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^=>]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+)(?:>|\Z)""", re.S)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORD = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -97,10 +103,10 @@ def blocks(page: str) -> list[Block]:
         if m.start() > at:
             add(page[at : m.start()])
         at = pos = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        closing = (m[1] or m[4]) == "/"
+        closing = m[1] == "/"
         if tag == "a":
             link = 0 if closing else 1
         if tag in RAW:
@@ -125,7 +131,7 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
             elif stack and stack[-1][0] == "p":
                 stack.pop()
-            stack.append((tag, _names(tag, m[3] or m[6] or "")))
+            stack.append((tag, _names(tag, m[3] or "")))
     if at < len(page):
         add(page[at:])
     return [b for b in out if b.text]
@@ -279,8 +285,11 @@ def training_pages(count: int = 120, seed: int = 5) -> list[tuple[str, list[int]
             box = r.choice(("<aside>", '<div class="sidebar">', '<div id="sidebar">', '<aside class="widget">', '<div class="related">'))
             parts += [(box, -1), *((f"<p>{paragraph()}</p>", 0) for _ in range(r.randint(1, 3))), (f"</{box[1:].split()[0].rstrip('>')}>", -1)]
         if r.random() < 0.4:
-            box = r.choice(('<section class="comments">', '<div id="comments">', '<div class="comment-list">', '<div class="discussion comments">', '<section id="responses" class="comment">'))
-            parts += [(box, -1), *((f'<div class="comment"><p>{paragraph()}</p></div>', 0) for _ in range(r.randint(1, 4))), (f"</{box[1:].split()[0]}>", -1)]
+            name, one = r.choice(COMMENTS), r.choice(COMMENTS)
+            box = r.choice((f'<section class="{name}">', f'<div id="{name}">', f'<div class="{name}-list">', f'<ol class="{name}">', f'<section id="{name}" class="{one}">'))
+            inner = r.choice((f'<div class="{one}"><p>%s</p></div>', f'<div class="{one}-body">%s</div>', f'<article class="{one}"><p>%s</p></article>', f'<li class="{one}">%s</li>'))
+            lone = r.random() < 0.25
+            parts += [(inner.replace("%s", paragraph()), 0)] if lone else [(box, -1), *((inner.replace("%s", paragraph()), 0) for _ in range(r.randint(1, 4))), (f"</{box[1:].split()[0]}>", -1)]
         if r.random() < 0.3:
             parts += [(f'<form action="/s"><label>{words(2)}</label><input name="q"><button>{words(1)}</button></form>', 0)]
         if r.random() < 0.9:
@@ -314,4 +323,4 @@ def extract(pages: DataFrame, model: Crf, id_col: str = "page_id", url_col: str
 
     kind = lambda c: pages.schema[c].dataType.simpleString()
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return own.mapInPandas(run, f"id {kind(id_col)}, url {kind(url_col)}, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
+    return own.mapInPandas(trimmed(run), f"id {kind(id_col)}, url {kind(url_col)}, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

@@ -35,9 +35,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import checkpointed, new_path, small_side
+from ._work import checkpointed, new_path, small_side, trimmed
 
-RECORDS_PER_FILE = 20_000
+FILE_BYTES, MOST_RECORDS = 64 << 20, 20_000
 READ = "path string, kind string, at long, length long, reason string, record_id string, record_type string, uri string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -95,16 +95,19 @@ STEP = 64
 
 def _member_at(data: bytes, at: int) -> tuple[bytes, int, str, list[tuple[int, int]]]:
     """Decompressed bytes, end, what is wrong with the member, and for a damaged one how many bytes were out at which place."""
-    gz = zlib.decompressobj(31)
+    # In growing pieces, as what is left over of a piece is copied.
+    gz, parts, view, pos, step = zlib.decompressobj(31), [], memoryview(data), at, 1 << 12
     try:
-        out = gz.decompress(memoryview(data)[at:])
+        while pos < len(data) and not gz.eof:
+            parts.append(gz.decompress(view[pos : pos + step]))
+            pos, step = min(pos + step, len(data)), min(2 * step, 1 << 20)
         if gz.eof:
-            return out, len(data) - len(gz.unused_data), "", []
+            return b"".join(parts), pos - len(gz.unused_data), "", []
         why = "member is cut off"
     except zlib.error as e:
         why = str(e)[:80]
     # Once more in small steps, and the step that fails byte by byte.
-    gz, parts, n, places, view = zlib.decompressobj(31), [], 0, [(0, at)], memoryview(data)
+    gz, parts, n, places = zlib.decompressobj(31), [], 0, [(0, at)]
     pos, step = at, STEP
     before = gz.copy()
     while pos < len(data) and not gz.eof:
@@ -150,6 +153,16 @@ def _inside(inner: bytes, whole: bool) -> list[tuple[int, int, str, dict[str, st
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, str, dict[str, str], bytes]]:
     """kind (record or gap), offset, length, reason, header fields, block; in order and covering all bytes. All of a member have its offset and length."""
     at, bad, why = 0, None, ""
+    ahead = {b"\x1f\x8b\x08": -1, b"WARC/1.": -1}
+
+    def following(start: int) -> int:
+        """Where the next member or version line may begin. Each place is looked for once."""
+        for mark, place in ahead.items():
+            if place < start:
+                found = data.find(mark, start)
+                ahead[mark] = len(data) if found < 0 else found
+        return min(ahead.values())
+
     while at < len(data):
         damaged = ""
         found: list[tuple[int, int, str, dict[str, str], bytes]] = []
@@ -172,8 +185,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, str, dict[str, str], b
         if failed:
             if bad is None:
                 bad, why = at, failed
-            after = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
-            at = min(after, default=len(data))
+            at = following(at + 1)
             continue
         if bad is not None:
             yield "gap", bad, at - bad, why, {}, b""
@@ -183,8 +195,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, str, dict[str, str], b
         at = stop
         if damaged and at < len(data):
             bad, why = at, damaged
-            after = [x for x in (data.find(b"\x1f\x8b\x08", at), data.find(b"WARC/1.", at)) if x >= 0]
-            at = min(after, default=len(data))
+            at = following(at)
             bad = bad if at > bad else None
     if bad is not None:
         yield "gap", bad, len(data) - bad, why, {}, b""
@@ -200,9 +211,15 @@ def with_revisits(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     return marked.drop("_kf_sha").withColumn("_kf_first", F.when(~F.col(id_col).eqNullSafe(F.col("_kf_first")), F.col("_kf_first")))
 
 
-def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", records_per_file: int = RECORDS_PER_FILE) -> str:
-    """Write a record per row below ``path`` (a new folder in the shared one by default) and return the path."""
+def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", records_per_file: int | None = None) -> str:
+    """Write a record per row below ``path`` (a new folder in the shared one by default) and return the path.
+
+    An archive holds ``records_per_file`` records at most; by default so many that their payloads, at the table's mean size, have ``FILE_BYTES``.
+    """
     path = path or new_path(pages.sparkSession, "warc")
+    if records_per_file is None:
+        mean = pages.agg(F.avg(F.octet_length(F.coalesce(F.col(payload_col), F.lit(""))))).first()[0] or 0
+        records_per_file = int(max(1, min(MOST_RECORDS, FILE_BYTES // (mean + 1024))))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -211,7 +228,7 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
 
     rows = with_revisits(pages.select(id_col, uri_col, payload_col), id_col, payload_col)
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(uri_col).alias("uri"), F.col(payload_col).alias("payload"), F.col("_kf_first").cast("string").alias("first"))
-    members = rows.mapInPandas(packed, "value binary").select(F.col("value").cast("string").alias("value"))
+    members = rows.mapInPandas(trimmed(packed), "value binary").select(F.col("value").cast("string").alias("value"))
     members.write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
     return path
 
@@ -239,7 +256,7 @@ def read_warc(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
                     yield _frame(out, names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).load(path)
-    return files.select("path", "content").mapInPandas(rows, READ)
+    return files.select("path", "content").mapInPandas(trimmed(rows), READ)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:

@@ -286,7 +286,7 @@ def split_by_hand(text):
 
 
 def removed_by_hand(rows):
-    """Of each row the sentences covered by a run of any length that occurs earlier."""
+    """Of each row the sentences covered by a run of any length that a smaller id has, or the text before."""
     order = sorted({(i is None, i or 0, t or "") for i, t in rows}, key=lambda x: x[:2])
     where = collections.defaultdict(list)
     for d, (_, _, t) in enumerate(order):
@@ -297,8 +297,9 @@ def removed_by_hand(rows):
                     where[tuple(parts[a : b + 1])].append((d, a, b))
     gone = collections.defaultdict(set)
     for found in where.values():
-        for d, a, b in found[1:]:
-            gone[order[d]] |= set(range(a, b + 1))
+        for k, (d, a, b) in enumerate(found):
+            if order[d][:2] > order[found[0][0]][:2] or any(e == d for e, *_ in found[:k]):
+                gone[order[d]] |= set(range(a, b + 1))
     return {(None if none else i, t): len(gone[none, i, t]) for none, i, t in order}
 
 

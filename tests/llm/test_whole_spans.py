@@ -7,18 +7,18 @@ from kinfold.llm import sentence_spans
 
 
 def every(text):
-    parts = [tuple(text[a:b].lower().split()) for a, b in sentence_spans.sentences(text)]
+    parts = [tuple(x.lower().split()) for x in text.split(". ")]
+    parts = [tuple(w.rstrip(".") for w in p) for p in parts]
     for i in range(len(parts)):
-        for j in range(i, len(parts)):
-            n = sum(map(len, parts[i : j + 1]))
-            if n >= (sentence_spans.LONG_WORDS if i == j else sentence_spans.MIN_WORDS):
+        for j in range(i + 1, len(parts)):
+            if sum(map(len, parts[i : j + 1])) >= 20:
                 yield tuple(parts[i : j + 1]), i, j
 
 
 def covered(rows, runs):
     seen, gone = {}, collections.defaultdict(set)
     for i, t in rows:
-        for h, a, b in sorted(runs(t), key=lambda x: x[1]):
+        for h, a, b, *_ in sorted(runs(t), key=lambda x: x[1]):
             if seen.setdefault(h, (i, a)) != (i, a):
                 gone[i] |= set(range(a, b + 1))
     return {i: s for i, s in gone.items() if s}
@@ -29,7 +29,7 @@ def test_all_runs(spark):
     sentence = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)).capitalize() + "."
     pool = [sentence(r.choice((1, 3, 5, 8, 11, 25, 30, 34))) for _ in range(30)]
     rows = [(1, " ".join([sentence(9), a := sentence(30), b := sentence(25), sentence(20)])), (2, " ".join([sentence(9), a, b, sentence(20)]))]
-    rows += [(3, " ".join([sentence(9), *(c := [sentence(5), sentence(8), sentence(3)]), sentence(20)])), (4, " ".join([sentence(9), *c, sentence(20)]))]
+    rows += [(3, " ".join([sentence(9), *(c := [sentence(9), sentence(12), sentence(3)]), sentence(20)])), (4, " ".join([sentence(9), *c, sentence(20)]))]
     for k in range(5, 45):
         at = r.randrange(25)
         rows.append((k, " ".join([sentence(r.choice((2, 7, 31))), *pool[at : at + r.randint(1, 6)], sentence(4), *r.sample(pool, 3)])))
