@@ -53,10 +53,11 @@ def calibrated(pairs: DataFrame, base: Thresholds, date: str, min_precision: flo
 
 
 def split_hash(pairs: DataFrame) -> str:
-    """SHA-256 of the labelled pairs in order."""
-    row = F.concat_ws("|", "a", "b", "true", F.col("perceptual").cast("string"), F.col("semantic").cast("string"))
-    rows = pairs.agg(F.sort_array(F.collect_list(F.struct("pos", row.alias("row")))).alias("rows"))
-    return rows.select(F.sha2(F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), 256)).first()[0]
+    """A digest of the labelled pairs and their places: SHA-256 over the number of rows and the sums of the parts of each row's SHA-256, so that no task holds all rows."""
+    row = F.sha2(F.concat_ws("|", F.col("pos").cast("string"), "a", "b", "true", F.col("perceptual").cast("string"), F.col("semantic").cast("string")), 256)
+    part = lambda k: F.conv(F.substring(row, 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")
+    sums = pairs.agg(F.count(F.lit(1)).cast("string").alias("n"), *(F.coalesce(F.sum(part(k)), F.lit(0)).cast("string").alias(f"s{k}") for k in range(8)))
+    return sums.select(F.sha2(F.concat_ws("|", "n", *(f"s{k}" for k in range(8))), 256)).first()[0]
 
 
 def operating_points(scored: DataFrame) -> DataFrame:

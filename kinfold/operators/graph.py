@@ -11,33 +11,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ._store import cut
 
-DEPTH = 64
-
-
-def reachable(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """edges: src, dst. All (src, dst) with a path of up to ``depth`` edges, by repeated squaring of the relation."""
-    known = edges.select("src", "dst").distinct()
-    steps = 1
-    while steps < depth:
+def reachable(edges: DataFrame) -> DataFrame:
+    """edges: src, dst. All (src, dst) with a path of any length: the relation is squared until nothing is new."""
+    known = cut(edges.select("src", "dst").distinct())
+    n = known.count()
+    while True:
         hop = known.alias("x").join(known.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"))
-        grown = known.union(hop).distinct().cache()
-        if grown.count() == known.count():
-            return grown
-        known, steps = grown, steps * 2
-    return known
-
-
-def cycles(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Nodes that reach themselves."""
-    return reachable(edges, depth).where("src = dst").select(F.col("src").alias("node")).distinct()
-
-
-def closure_gaps(exact: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """exact: a, b. Pairs of one component that are not listed."""
-    both = exact.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(exact.select("b", "a"))
-    pairs = reachable(both, depth).where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return pairs.join(exact.select(*S.pair_key("a", "b")), ["a", "b"], "left_anti")
+        known = cut(known.union(hop).distinct())
+        now = known.count()
+        if now == n:
+            return known
+        n = now
+
+
+def core(edges: DataFrame) -> DataFrame:
+    """Edges that may lie on a cycle: those whose ends nothing enters or leaves go, until nothing changes or hardly anything does."""
+    left = cut(edges.select("src", "dst").distinct())
+    n = left.count()
+    while n:
+        inner = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        left = cut(inner.select("src", "dst"))
+        now = left.count()
+        if now > 0.9 * n:
+            break
+        n = now
+    return left
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves, however long the way."""
+    return reachable(core(edges)).where("src = dst").select(F.col("src").alias("node")).distinct()
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """pairs: a, b. node, comp (the least node of its component): least neighbours and pointer jumping."""
+    both = cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("comp")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
+        stepped = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
+        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+        moved = cut(stepped.join(up, "comp").select("node", "old", F.least("comp", "up").alias("comp")))
+        labels = moved.select("node", "comp")
+        if moved.where("comp <> old").isEmpty():
+            return labels
+
+
+def closure_gaps(exact: DataFrame) -> DataFrame:
+    """exact: a, b. Pairs of one component that are not listed. Only components with fewer pairs than they should have are looked into."""
+    listed = exact.select(*S.pair_key("a", "b")).where("a <> b").distinct()
+    comps = components(listed)
+    size = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("k"))
+    have = listed.join(comps.select(F.col("node").alias("a"), "comp"), "a").groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
+    short = comps.join(size.join(have, "comp").where("m < k * (k - 1) / 2").select("comp"), "comp", "left_semi")
+    pairs = short.select("comp", F.col("node").alias("a")).join(short.select("comp", F.col("node").alias("b")), "comp").where("a < b").select("a", "b")
+    return pairs.join(listed, ["a", "b"], "left_anti")
 
 
 def repeated_pairs(relations: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,31 +29,45 @@ def aggregate_points(points: DataFrame, values: Sequence[str], group: Sequence[s
 
 
 def bootstrap_ci(points: DataFrame, value: str, group: Sequence[str], samples: int = 2000, seed: int = 0) -> DataFrame:
-    """Percentile bootstrap of the mean per group; the groups' generators are told apart by their keys.
+    """Percentile bootstrap of the mean per group: n, mean, lo, hi.
 
-    A group is bounded by the seeds of a study; the values are first counted, so
-    that equal values are one row.
+    Equal values are one row with their number k, whose weight in a sample is a
+    Poisson draw of mean k, seeded by the group and the value; tasks sum
+    weights and weighted values over what they read, so that a group of any
+    size leaves a task as two numbers a sample, and reruns agree.
     """
-    counted = points.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("k"))
     names = list(group)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(value)
-        x, k = pdf[value].to_numpy(float), pdf["k"].to_numpy(np.int64)
-        n = int(k.sum())
-        rng = np.random.default_rng([seed, *"|".join(map(str, key)).encode()])
-        means = np.sort(rng.multinomial(n, k / n, size=samples) @ x / n)
-        return pd.DataFrame([[*key, n, float(x @ k / n), means[int(0.025 * (samples - 1))], means[int(0.975 * (samples - 1))]]], columns=[*names, "n", "mean", "lo", "hi"])
+    counted = points.where(F.col(value).isNotNull()).groupBy(*names, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_k"))
+    keyed = counted.withColumn("_seed", F.pmod(F.xxhash64(*names, "_x", F.lit(seed)), F.lit(1 << 62)))
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for key, x, k, s in zip(b[names].itertuples(index=False, name=None), b["_x"], b["_k"], b["_seed"], strict=True):
+                weight = np.random.default_rng(int(s)).poisson(k, samples)
+                total = sums.setdefault(key, np.zeros((2, samples)))
+                total[0] += weight
+                total[1] += weight * x
+        rows = [[*key, i, w, v] for key, (ws, vs) in sums.items() for i, (w, v) in enumerate(zip(ws, vs, strict=True))]
+        yield pd.DataFrame(rows, columns=[*names, "_i", "_w", "_v"])
 
     kinds = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in names)
-    return counted.groupBy(*names).applyInPandas(run, f"{kinds}, n long, mean double, lo double, hi double")
+    each = keyed.mapInPandas(drawn, f"{kinds}, _i int, _w double, _v double").groupBy(*names, "_i").agg(F.try_divide(F.sum("_v"), F.sum("_w")).alias("_m"))
+    rank = lambda q: F.get(F.array_sort(F.collect_list("_m")), int(q * (samples - 1)))  # noqa: E731  of at most ``samples`` means
+    bounds = each.groupBy(*names).agg(rank(0.025).alias("lo"), rank(0.975).alias("hi"))
+    whole = counted.groupBy(*names).agg(F.sum("_k").alias("n"), (F.sum(F.col("_x") * F.col("_k")) / F.sum("_k")).alias("mean"))
+    same = F.lit(True)
+    for c in names:
+        same = same & whole[c].eqNullSafe(bounds[c])
+    return whole.join(bounds, same).select(*(whole[c] for c in names), "n", "mean", "lo", "hi")
 
 
 def pareto_front(points: DataFrame, best: Sequence[str], least: Sequence[str] = ()) -> DataFrame:
-    """Rows that no other row dominates: at least as good everywhere and better somewhere. Equal rows all stay.
+    """Rows that no other row dominates: at least as good everywhere and better somewhere. Equal rows all stay; of three goals and more, rows with a null go.
 
     For two goals this is a sort and a running maximum over distinct goal
-    pairs; for more, distinct goal vectors are compared with each other.
+    pairs. For more, each task first leaves out what its own rows dominate, in
+    order of the goals' sum, and only these local fronts are compared.
     """
     goals = [F.col(c).cast("double") for c in best] + [-F.col(c).cast("double") for c in least]
     named = points.withColumns({f"_g{i}": g for i, g in enumerate(goals)})
@@ -64,12 +78,21 @@ def pareto_front(points: DataFrame, best: Sequence[str], least: Sequence[str] =
         higher = Window.orderBy(F.col("_g0").desc()).rowsBetween(Window.unboundedPreceding, -1)
         front = tops.withColumn("m", F.max("_g1").over(higher)).where("m is null or _g1 > m").select(*keys)
     else:
-        a, b = distinct.alias("a"), distinct.alias("b")
-        no_worse = F.lit(True)
-        better = F.lit(False)
-        for k in keys:
-            no_worse, better = no_worse & (F.col(f"b.{k}") >= F.col(f"a.{k}")), better | (F.col(f"b.{k}") > F.col(f"a.{k}"))
-        front = a.join(b, no_worse & better, "left_anti")
+        kinds = ", ".join(f"{k} double" for k in keys)
+
+        def undominated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kept = np.zeros((0, len(keys)))
+            for b in batches:
+                x = np.concatenate((kept, b[keys].to_numpy(float)))
+                x = x[np.argsort(-x.sum(axis=1), kind="stable")]
+                kept = np.zeros((0, len(keys)))
+                for row in x:  # what dominates a row has a larger sum
+                    if not ((kept >= row).all(axis=1) & (kept > row).any(axis=1)).any():
+                        kept = np.vstack((kept, row))
+            yield pd.DataFrame(kept, columns=keys)
+
+        complete = distinct.dropna()
+        front = complete.mapInPandas(undominated, kinds).coalesce(1).mapInPandas(undominated, kinds)
     return named.join(front, keys, "left_semi").drop(*keys)
 
 

@@ -15,16 +15,18 @@ from ..functions.images import Skill
 from ..operators.execute import IMAGE, canonical, content_hash, is_mask, l_inf, pack, unpack
 from ..operators.planning import derive_seed
 
-# Split, instruction, steps (id, parameters), predicates (kind, height, width).
+# Tasks: split, instruction, steps (id, parameters), predicates (kind, height, width). No function is in both splits.
 TEMPLATES: tuple[tuple, ...] = (
-    ("dev", "Make the image grayscale.", (("grayscale_bt601_v1", {}),), (("channels_equal", None, None),)),
-    ("dev", "Resize the image to 64 by 48 pixels.", (("resize_fixed_v1", {"width": 64, "height": 48}),), (("exact_shape", 48, 64),)),
-    ("dev", "Threshold the luma into a binary mask.", (("threshold_binary_v1", {"thresh": 128}),), (("binary_mask", None, None),)),
-    ("dev", "Rotate by 90 degrees counter-clockwise.", (("rotate_90_v1", {}),), (("exact_shape", None, None),)),
-    ("test", "Invert the image into a negative.", (("invert_v1", {}),), (("changed_from_input", None, None),)),
-    ("test", "Use the luma as alpha of an RGBA image.", (("mask_to_rgba_v1", {"thresh": 128}),), (("rgba", None, None),)),
-    ("test", "Smooth the image with a Gaussian blur.", (("blur_gaussian_v1", {"ksize": 5, "sigma": 0.0}),), (("changed_from_input", None, None),)),
-    ("test", "Detect edges with the Canny detector.", (("edges_canny_v1", {"low": 80, "high": 180}),), (("binary_mask", None, None),)),
+    ("dev", "Turn the picture upside down.", (("flip_vertical_v1", {}),), (("changed_from_input", None, None),)),
+    ("dev", "Square the frame with black bars, then shrink it to a 32 pixel icon.", (("pad_to_square_v1", {"value": 0}), ("resize_fixed_v1", {"width": 32, "height": 32})), (("exact_shape", 32, 32),)),
+    ("dev", "Keep a quarter of the scene around its middle.", (("crop_center_percentage_v1", {"percent": 25.0}),), (("exact_shape", None, None),)),
+    ("dev", "Give an old photo look: sepia with a dark rim.", (("sepia_tone_v1", {}), ("vignette_v1", {"strength": 0.8})), (("changed_from_input", None, None),)),
+    ("dev", "Clean the speckle with a median of three.", (("blur_median_v1", {"ksize": 3}),), (("changed_from_input", None, None),)),
+    ("test", "Show only what stands out in green.", (("channel_isolate_v1", {"channel": "green"}),), (("changed_from_input", None, None),)),
+    ("test", "Lay it out as two by two tiles.", (("tile_2x2_v1", {}),), (("exact_shape", None, None),)),
+    ("test", "Split ink from paper by Otsu's cut and thicken the strokes.", (("threshold_otsu_v1", {}), ("morphology_dilate_v1", {"ksize": 3})), (("binary_mask", None, None),)),
+    ("test", "Drop to four levels of tone.", (("quantize_uniform_v1", {"levels": 4}),), (("changed_from_input", None, None),)),
+    ("test", "Make it monochrome with the weights for high definition.", (("grayscale_bt709_v1", {}),), (("channels_equal", None, None),)),
 )
 STEP = "array<struct<skill_id:string,params:string>>"
 QUERY = f"query_id string, pos int, split string, instruction string, steps {STEP}, predicates array<struct<kind:string,height:int,width:int>>, input_sha string, reference_sha string, image {IMAGE}, reference {IMAGE}"

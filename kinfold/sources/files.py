@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from dataclasses import asdict, fields
+from dataclasses import asdict, fields, replace
 from pathlib import Path
 from typing import Any
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.images import Skill
+from ..functions.images import Param, Skill
 from ..operators.compare import Thresholds
 
 REQUIRED = ("rho", "downstream_success", "compression", "action_cost", "intrinsic_score")
@@ -35,7 +35,7 @@ def load_thresholds(path: str | None = None) -> Thresholds:
 
 
 def study_points(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, or JSON: a list or an object with ``points``. Blank is 0 where a number is required and null where it may be absent."""
+    """CSV with a header, or JSON: a list or an object with ``points``. Blank is 0 where a number is required and null where it may be absent; a point without method or composition is an error when it is read."""
     if path.endswith(".csv"):
         raw = spark.read.option("header", True).csv(path)
     else:
@@ -48,7 +48,8 @@ def study_points(spark: SparkSession, path: str) -> DataFrame:
             raw = raw.withColumn(name, F.lit(None).cast("string"))
     text = lambda c: F.col(c).cast("string")
     out = raw.select("method", F.coalesce("gate", F.lit("")).alias("gate"), "composition", S.required_double(text("seed")).cast("int").alias("seed"), F.coalesce("mode", F.lit("single")).alias("mode"), *(S.required_double(text(c)).alias(c) for c in REQUIRED), S.optional_double(text("action_f1")).alias("action_f1"), F.col("metadata"))
-    return out.where((F.col("method") != "") & (F.col("composition") != ""))
+    named = lambda c: F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.raise_error(F.lit(f"a study point has no {c}"))).otherwise(F.col(c)).alias(c)
+    return out.select(*(named(c) if c in ("method", "composition") else F.col(c) for c in out.columns))
 
 
 def review_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -76,14 +77,20 @@ def save_registry(skills: list[Skill], path: str) -> None:
 
 
 def load_registry(path: str, resolver: dict[str, Skill]) -> list[Skill]:
-    """Functions by id, with their code from ``resolver``; ids must be unique and the version 1."""
+    """Functions by id, with their code from ``resolver`` and everything else as it was saved; ids must be unique and the version 1."""
     data = json.loads(Path(path).read_text())
     if data.get("schema_version") != "1":
         raise ValueError("schema_version must be '1'")
     ids = [r["id"] for r in data["skills"]]
     if len(ids) != len(set(ids)):
         raise ValueError("ids repeat")
-    return [resolver[i] for i in ids]
+    out = []
+    for r in data["skills"]:
+        params = tuple(Param(**{**p, "choices": tuple(p.get("choices") or ())}) for p in r.get("params", []))
+        if len({p.name for p in params}) != len(params):
+            raise ValueError(f"{r['id']}: parameter names repeat")
+        out.append(replace(resolver[r["id"]], **{k: r[k] for k in ("family", "name", "description", "stochastic", "trusted") if k in r}, params=params))
+    return out
 
 
 def write_json(path: str, data: Any) -> None:

@@ -1,6 +1,7 @@
 """Fixtures with known numbers."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -12,9 +13,10 @@ from kinfold.operators import calibrate, compare, execute, gating, graph, judges
 from kinfold.plans import curation, downstream
 from kinfold.sources import files, probes
 
-TRUTH = [("a", "b", "EXACT", False), ("c", "d", "DISTINCT", True), ("e", "f", "SEMANTIC_PRESERVING", False), ("g", "h", "DISTINCT", False)]
-TEXT = [("a", "b", "EXACT", True), ("c", "d", "EXACT", True), ("e", "f", "DISTINCT", False), ("g", "h", "DISTINCT", False)]
-OUTPUT = [("a", "b", "EXACT", True), ("c", "d", "DISTINCT", False), ("e", "f", "UNCERTAIN", False), ("g", "h", "DISTINCT", False)]
+# Ten pairs; what each table should say is worked out by hand in the tests.
+TRUTH = [(f"p{k}", f"q{k}", r, k in (6, 8)) for k, r in enumerate(("EXACT", "EXACT", "EXACT", "PERCEPTUAL", "SUBSUMPTION", "COMPLEMENTARY", "DISTINCT", "DISTINCT", "DISTINCT", "DISTINCT"))]
+TEXT = [(f"p{k}", f"q{k}", "EXACT" if k in (0, 1, 4, 6, 7) else "DISTINCT", k in (0, 1, 4, 6, 7)) for k in range(10)]
+OUTPUT = [(f"p{k}", f"q{k}", r, r in ("EXACT", "PERCEPTUAL")) for k, r in enumerate(("EXACT", "EXACT", "UNCERTAIN", "EXACT", "SUBSUMPTION", "DISTINCT", "UNCERTAIN", "DISTINCT", "DISTINCT", "PERCEPTUAL"))]
 
 
 @pytest.fixture(scope="module")
@@ -26,21 +28,23 @@ def verdicts(spark):
 def test_metrics(verdicts):
     truth, text, output = verdicts
     m = metrics.mergeable_prf(truth, text).first()
-    assert (m["tp"], m["fp"], m["fn"], m["precision"], m["recall"]) == (1, 1, 0, 0.5, 1.0)
+    assert (m["tp"], m["fp"], m["fn"], m["precision"], m["recall"]) == (2, 3, 2, 0.4, 0.5)
     safe = {r["slice"]: r for r in metrics.merge_safety(truth, text).collect()}
-    assert (safe["all"]["n"], safe["all"]["false_merges"], safe["hard"]["n"], safe["hard"]["false_merges"]) == (2, 1, 1, 1)
+    assert (safe["all"]["n"], safe["all"]["false_merges"], safe["hard"]["n"], safe["hard"]["false_merges"]) == (4, 2, 2, 1)
     rel = {r["relation"]: r for r in metrics.per_relation_prf(truth, output).collect()}
-    assert rel["EXACT"]["precision"] == 1 and rel["SEMANTIC_PRESERVING"]["recall"] == 0 and len(rel) == 6
-    assert metrics.abstention(output).first()["abstention_rate"] == 0.25
-    rows = metrics.divergence(output, text, truth).collect()
-    assert (sum(r["disagree"] for r in rows), sum(r["over_merge"] for r in rows), sum(r["under_merge"] for r in rows)) == (1, 1, 0)
+    assert rel["EXACT"]["precision"] == rel["EXACT"]["recall"] == pytest.approx(2 / 3) and rel["SUBSUMPTION"]["f1"] == 1 and rel["PERCEPTUAL"]["recall"] == 0 and len(rel) == 6
+    assert metrics.abstention(output).first()["abstention_rate"] == 0.2
+    rows = {r["true"]: r for r in metrics.divergence(output, text, truth).collect()}
+    assert {k: (r["n"], r["disagree"], r["over_merge"], r["under_merge"]) for k, r in rows.items()} == {"EXACT": (3, 0, 0, 0), "PERCEPTUAL": (1, 1, 0, 1), "SUBSUMPTION": (1, 1, 1, 0), "COMPLEMENTARY": (1, 0, 0, 0), "DISTINCT": (4, 3, 2, 1)}
 
 
 def test_kappa(spark):
-    rows = spark.createDataFrame([("E", "E"), ("E", "D"), ("D", "D"), ("S", "S")], "x string, y string")
-    assert metrics.cohen_kappa(rows).first()["kappa"] == pytest.approx(0.6363636, abs=1e-6)
-    perfect = spark.createDataFrame([(i, c) for i, c in enumerate("EDE") for _ in range(3)], "item int, category string")
-    assert metrics.fleiss_kappa(perfect).first()["kappa"] == 1
+    # 20 items: 9 and 6 agreed, 5 not. po = 0.75; pe = (11 * 12 + 9 * 8) / 400 = 0.51.
+    rows = spark.createDataFrame([("x", "x")] * 9 + [("y", "y")] * 6 + [("x", "y")] * 2 + [("y", "x")] * 3, "x string, y string")
+    assert metrics.cohen_kappa(rows).first()["kappa"] == pytest.approx(0.24 / 0.49)
+    # Two raters, four items, all split: p = 0, pe = 1/2.
+    apart = spark.createDataFrame([(i, c) for i in range(4) for c in "uv"], "item int, category string")
+    assert metrics.fleiss_kappa(apart).first()["kappa"] == pytest.approx(-1.0)
 
 
 def test_distances(spark):
@@ -52,44 +56,72 @@ def test_distances(spark):
 
 
 def test_threshold(spark):
-    rows = spark.createDataFrame([(0.01, True), (0.02, True), (0.04, True), (0.06, False), (0.20, False)], "score double, positive boolean")
+    # Seven good scores of eighths, then three bad ones mixed with one good: 9/8 is the last that is free of errors.
+    rows = spark.createDataFrame([(k / 8, True) for k in range(3, 10)] + [(10 / 8, False), (11 / 8, True), (12 / 8, False), (13 / 8, False)], "score double, positive boolean")
     r = calibrate.select_threshold(rows, 1.0, 0.5).first()
-    assert 0.04 <= r["threshold"] < 0.06 and r["precision"] == r["recall"] == 1
+    assert r["threshold"] == 9 / 8 and r["precision"] == 1 and r["recall"] == 7 / 8 and r["meets"]
+    looser = calibrate.select_threshold(rows, 0.85, 0.5).first()
+    assert looser["threshold"] == 11 / 8 and looser["recall"] == 1
     none = calibrate.select_threshold(rows.where("not positive"), 1.0, 0.5).first()
     assert none["threshold"] == -math.inf
-    pairs = spark.createDataFrame([(0, "a", "b", "EXACT", 0.01, 0.02), (1, "c", "d", "PERCEPTUAL", 0.03, 0.05), (2, "e", "f", "DISTINCT", 0.4, 0.6), (3, "g", "h", "SEMANTIC_PRESERVING", 0.3, 0.1)], "pos int, a string, b string, true string, perceptual double, semantic double")
+    kinds = {"EXACT": (0.0, 0.0), "PERCEPTUAL": (0.125, 0.25), "SEMANTIC_PRESERVING": (0.5, 0.1875), "DISTINCT": (0.75, 0.875)}
+    pairs = spark.createDataFrame([(k, f"a{k}", f"b{k}", t, p + k / 1024, q + k / 1024) for k, (t, (p, q)) in enumerate([*kinds.items()] * 3)], "pos int, a string, b string, true string, perceptual double, semantic double")
     fit = calibrate.calibrated(pairs, compare.Thresholds(), "2026-01-01")
-    assert 0.03 <= fit.perceptual < 0.3 and 0.1 <= fit.semantic < 0.6 and fit.calibrated and len(fit.split_hash) == 64
+    assert 0.125 <= fit.perceptual < 0.5 and 0.1875 <= fit.semantic < 0.875 and fit.calibrated and len(fit.split_hash) == 64
+    assert calibrate.split_hash(pairs.repartition(5)) == fit.split_hash != calibrate.split_hash(pairs.where("pos > 0"))
 
 
+# method, gate, seed, success, compression, cost, intrinsic, f1
 POINTS = [
-    ("output-gated", "output", 1, 0.90, 3.0, 5.0, 0.80, 0.80), ("output-gated", "output", 2, 0.80, 4.0, 6.0, 0.70, 0.70), ("text-gated", "text", 1, 0.60, 5.0, 4.0, 0.30, 0.40),
-    ("text-gated", "text", 2, 0.55, 5.0, 4.0, 0.20, 0.30), ("no-curation", "none", 1, 0.50, 0.0, 0.0, 0.0, None),
+    ("strict", "output", 7, 0.75, 2.0, 8.0, 0.5, 0.5), ("strict", "output", 9, 0.25, 6.0, 4.0, 0.25, 0.75), ("loose", "text", 7, 0.5, 1.0, 9.0, 0.375, 0.25),
+    ("loose", "text", 9, 0.125, 1.0, 9.0, 0.125, 0.125), ("idle", "none", 7, 0.375, 0.0, 0.0, 0.3125, None),
 ]
 
 
 def test_studies(spark):
     p = spark.createDataFrame(POINTS, "method string, gate string, seed int, success double, compression double, cost double, intrinsic double, f1 double").withColumns({"rho": F.lit(0.1), "composition": F.lit("uniform"), "mode": F.lit("single")})
     agg = {r["method"]: r for r in studies.aggregate_points(p, ["success", "f1", "compression", "cost"]).collect()}
-    assert agg["output-gated"]["success_n"] == 2 and agg["output-gated"]["success_mean"] == pytest.approx(0.85) and agg["output-gated"]["f1_mean"] == pytest.approx(0.75)
-    assert agg["no-curation"]["f1_n"] == 0 and agg["no-curation"]["f1_mean"] == 0 and agg["no-curation"]["success_lo"] == 0.5
+    assert agg["strict"]["success_n"] == 2 and agg["strict"]["success_mean"] == 0.5 and agg["strict"]["f1_mean"] == 0.625 and agg["strict"]["success_std"] == pytest.approx(0.125**0.5)
+    assert agg["idle"]["f1_n"] == 0 and agg["idle"]["f1_mean"] == 0 and agg["idle"]["success_lo"] == 0.375
+    # loose has less success, less compression and more cost than strict; idle costs nothing.
     front = {r["method"] for r in studies.pareto_front(studies.aggregate_points(p, ["success", "compression", "cost"]), ["success_mean", "compression_mean"], ["cost_mean"]).collect()}
-    assert front == {"output-gated", "text-gated", "no-curation"}
+    assert front == {"strict", "idle"}
     c = studies.construct_validity(p, "intrinsic", "success").first()
-    assert c["pearson"] == pytest.approx(0.987, abs=1e-3) and c["spearman"] == pytest.approx(1.0)
+    assert c["pearson"] == pytest.approx(np.corrcoef([0.5, 0.25, 0.375, 0.125, 0.3125], [0.75, 0.25, 0.5, 0.125, 0.375])[0, 1]) and c["spearman"] == pytest.approx(1.0)
     flat = studies.construct_validity(p.withColumn("one", F.lit(1.0)), "one", "success").first()
     assert flat["pearson"] is None
-    d = studies.ablation(p, ["success"]).collect()
-    assert len(d) == 2 and np.mean([r["delta_success"] for r in d]) == pytest.approx(0.275)
+    d = {r["seed"]: r["delta_success"] for r in studies.ablation(p, ["success"]).collect()}
+    assert d == {7: 0.25, 9: 0.125}
+
+
+def test_pareto_of_three_goals(spark):
+    r = np.random.default_rng(5)
+    x = np.round(r.random((400, 3)), 2)
+    want = sorted(tuple(v) for v in x if not ((x >= v).all(axis=1) & (x > v).any(axis=1)).any())
+    rows = spark.createDataFrame([tuple(map(float, v)) for v in x], "a double, b double, c double").repartition(5)
+    assert sorted(tuple(v) for v in studies.pareto_front(rows, ["a", "b", "c"]).collect()) == want
+
+
+def test_bootstrap(spark):
+    r = np.random.default_rng(6)
+    rows = [("u", float(v)) for v in r.normal(10, 2, 300)] + [("v", 1.0)] * 50 + [(None, 3.0), (None, None)]
+    table = spark.createDataFrame(rows, "g string, x double")
+    got = {b["g"]: b for b in studies.bootstrap_ci(table.repartition(3), "x", ["g"], samples=800).collect()}
+    mean, half = np.mean([x for g, x in rows if g == "u"]), 1.96 * np.std([x for g, x in rows if g == "u"]) / 300**0.5
+    assert got["u"]["n"] == 300 and got["u"]["mean"] == pytest.approx(mean) and got["u"]["lo"] == pytest.approx(mean - half, abs=0.06) and got["u"]["hi"] == pytest.approx(mean + half, abs=0.06)
+    assert got["v"]["lo"] == got["v"]["hi"] == 1 and got[None]["n"] == 1
+    again = {b["g"]: b for b in studies.bootstrap_ci(table.repartition(7), "x", ["g"], samples=800).collect()}
+    assert again["u"]["lo"] == pytest.approx(got["u"]["lo"], abs=1e-12)
 
 
 def test_actions(spark):
-    ideal = spark.createDataFrame([("merge", "dup_v1", "base_v1"), ("modify", "meta_v1", ""), ("remove", "dead_v1", "")], "kind string, primary string, secondary string")
-    log = spark.createDataFrame([("merge", "applied", "dup_v1", "base_v1"), ("modify", "applied", "meta_v1", None), ("remove", "rejected", "dead_v1", None), ("remove", "applied", "unrelated_v1", None), ("end", "noop", None, None)], "kind string, status string, primary string, secondary string")
+    ideal = spark.createDataFrame([("merge", "m", "n"), ("merge", "m", "n"), ("remove", "r", ""), ("modify", "s", ""), ("parameterize", "t", "u")], "kind string, primary string, secondary string")
+    log = spark.createDataFrame([("merge", "applied", "m", "n"), ("merge", "applied", "n", "m"), ("remove", "applied", "r", "x"), ("modify", "blocked", "s", None), ("parameterize", "applied", "t", "u"), ("parameterize", "applied", "t", "u"), ("end", "noop", None, None)], "kind string, status string, primary string, secondary string")
     s = studies.score_actions(log, ideal)
     r = s.first()
-    assert (r["tp"], r["fp"], r["fn"]) == (2, 1, 1) and r["f1"] == pytest.approx(2 / 3)
-    assert studies.intrinsic_score(s, studies.action_cost(log)).first()["intrinsic"] == pytest.approx(2 / 3 * 0.875)
+    # Right: one of two merges, the removal (its second operand doesn't count), one parameterization.
+    assert (r["tp"], r["fp"], r["fn"]) == (3, 2, 2) and r["f1"] == pytest.approx(0.6)
+    assert studies.intrinsic_score(s, studies.action_cost(log)).first()["intrinsic"] == pytest.approx(0.6 * (1 - 0.5 / 6))
 
 
 def test_planning(spark):
@@ -114,7 +146,11 @@ def test_graph(spark):
     edges = lambda *p: spark.createDataFrame(p, "src string, dst string")
     assert graph.cycles(edges(("a", "b"), ("b", "c"))).isEmpty()
     assert {r["node"] for r in graph.cycles(edges(("a", "b"), ("b", "c"), ("c", "a"))).collect()} == {"a", "b", "c"}
+    ring, tail = [(f"r{k}", f"r{(k + 1) % 100}") for k in range(100)], [("r0", "t0"), *((f"t{k}", f"t{k + 1}") for k in range(30)), ("t30", "z"), ("z", "z")]
+    assert {r["node"] for r in graph.cycles(edges(*ring, *tail)).collect()} == {f"r{k}" for k in range(100)} | {"z"}
+    assert graph.cycles(edges(*tail[:-1])).isEmpty()
     assert [tuple(r) for r in graph.closure_gaps(pairs(("a", "b"), ("b", "c"))).collect()] == [("a", "c")]
+    assert graph.closure_gaps(pairs(*((f"c{k:02d}", f"c{k + 1:02d}") for k in range(40)), ("x", "y"))).count() == 41 * 40 // 2 - 40
     assert graph.repeated_pairs(pairs(("a", "b"), ("b", "a"))).count() == 1
     assert graph.unknown_ids(pairs(("a", "b")), spark.createDataFrame([("a",)], "id string")).first()["id"] == "b"
 
@@ -194,7 +230,7 @@ def test_execution(spark):
 def test_downstream(spark):
     q = downstream.build_queries(spark)
     ok = downstream.evaluate(q, downstream.expected_plans(q)).collect()
-    assert len(ok) == 8 and all(r["success"] for r in ok)
+    assert len(ok) == len(downstream.TEMPLATES) and all(r["success"] for r in ok)
     assert graph.in_two_splits(q.select("split", F.explode(F.transform("steps", lambda s: s["skill_id"])).alias("id")), "id").isEmpty()
     assert not any(r["success"] for r in downstream.evaluate(q, downstream.no_plans(q)).where("query_id = 'q0000'").collect())
 
@@ -210,8 +246,13 @@ def test_files(spark, tmp_path):
     (tmp_path / "p.csv").write_text("method,gate,rho,composition,seed,mode,downstream_success,compression,action_cost,intrinsic_score,action_f1,metadata\nm,output,0.1,uniform,1,single,0.9,,5,0.8,,\n")
     r = files.study_points(spark, str(tmp_path / "p.csv")).first()
     assert r["compression"] == 0 and r["action_f1"] is None and r["downstream_success"] == 0.9
-    files.save_registry(list(images.LIBRARY.values()), str(tmp_path / "r.json"))
-    assert len(files.load_registry(str(tmp_path / "r.json"), images.LIBRARY)) == 100
+    (tmp_path / "bad.csv").write_text("method,composition,seed,rho,downstream_success,compression,action_cost,intrinsic_score\n,uniform,1,0,0,0,0,0\n")
+    with pytest.raises(Exception, match="no method"):
+        files.study_points(spark, str(tmp_path / "bad.csv")).collect()
+    edited = replace(images.LIBRARY["blur_box_v1"], trusted=False, description="edited", params=(images.Param("ksize", "int", 9, 1, 31),))
+    files.save_registry([edited, *(s for s in images.LIBRARY.values() if s.id != edited.id)], str(tmp_path / "r.json"))
+    back = files.load_registry(str(tmp_path / "r.json"), images.LIBRARY)
+    assert len(back) == 100 and not back[0].trusted and back[0].description == "edited" and back[0].defaults() == {"ksize": 9}
     (tmp_path / "g.yaml").write_text("subsumption:\n- {spec: b, gen: a}\nexact:\n- [c, d]\nhard_negatives:\n- [e, f]\n")
     rel = {(x["a"], x["b"]): x for x in files.relation_graph(spark, str(tmp_path / "g.yaml")).collect()}
     assert rel["a", "b"]["spec"] == "b" and rel["e", "f"]["hard"] and rel["e", "f"]["relation"] == "DISTINCT"
