@@ -31,6 +31,25 @@ def oracle_freeze(spark: SparkSession, d: str) -> DataFrame:
     return execute.freeze_oracle(_grey_probes(spark, d).repartition(8))
 
 
+_AT = {"flip_horizontal_v1": "8 * r + 7 - c", "flip_vertical_v1": "8 * (7 - r) + c", "rotate_90_v1": "8 * c + 7 - r", "rotate_180_v1": "63 - 8 * r - c", "rotate_270_v1": "8 * (7 - c) + r", "transpose_v1": "8 * c + r"}
+_MOVED = ", ".join(f"('{s}', [{', '.join(str(eval(at, {'r': i // 8, 'c': i % 8})) for i in range(64))}])" for s, at in _AT.items())  # noqa: S307  the fixed expressions above
+
+
+@query("geometric_functions", f"""WITH {inputs.PROBES_SQL}, f AS (SELECT * FROM (VALUES {_MOVED}) v(skill_id, moved))
+    SELECT CAST(probe_id AS VARCHAR) AS probe_id, skill_id, sha256(list_aggregate(list_transform(moved, lambda i: CAST(px[i + 1] AS VARCHAR)), 'string_agg', ',')) AS sha FROM probes, f""")
+def geometric_functions(spark: SparkSession, d: str) -> DataFrame:
+    """What the library's own geometric functions make of every probe, value by value."""
+    rows = execute.run_bindings(_grey_probes(spark, d), [(s, None, 0) for s in _AT])
+
+    @F.pandas_udf("string")
+    def listed(image):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series([",".join(map(str, execute.unpack(r).reshape(-1).tolist())) for r in image.to_dict("records")])
+
+    return rows.where("status = 'ok'").select("probe_id", "skill_id", F.sha2(listed("image"), 256).alias("sha"))
+
+
 @query("function_library_status")
 def function_library_status(spark: SparkSession, d: str) -> DataFrame:
     """All 100 functions on a synthetic battery: outcomes and distinct contents per function."""

@@ -77,6 +77,46 @@ def subsumption_division(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+_LEVELS = """SELECT o_orderkey, CAST(o_orderkey % 7 > 0 AS INT) * (o_orderkey % 11) AS n_probes, o_orderkey % 13 = 0 AS identical, (o_custkey % 100) / 1000.0 AS l_inf, (o_custkey % 64) / 640.0 AS perceptual,
+    (o_custkey % 80) / 320.0 AS semantic_q, (o_orderkey % 40) / 200.0 AS semantic_mean, o_custkey % 2 = 0 AS complementary,
+    CASE o_orderkey % 6 WHEN 1 THEN 'MUTUAL_EXACT' WHEN 2 THEN 'MUTUAL' WHEN 3 THEN 'A_SUBSUMES_B' WHEN 4 THEN 'B_SUBSUMES_A' WHEN 5 THEN 'NONE' END AS direction FROM orders"""
+
+
+@query("classify_all_branches", f"""WITH m AS ({_LEVELS}) SELECT o_orderkey, CASE WHEN n_probes = 0 THEN 'DISTINCT' WHEN direction IS NULL AND (identical OR l_inf <= 1 / 255.0) THEN 'EXACT' WHEN direction IS NULL AND perceptual <= 0.045 THEN 'PERCEPTUAL'
+    WHEN direction IS NULL AND perceptual <= 0.055 THEN 'UNCERTAIN' WHEN direction = 'MUTUAL_EXACT' THEN 'EXACT' WHEN direction = 'MUTUAL' THEN 'PERCEPTUAL' WHEN direction IN ('A_SUBSUMES_B', 'B_SUBSUMES_A') THEN 'SUBSUMPTION'
+    WHEN semantic_q <= 0.135 AND semantic_mean <= 0.15 THEN 'SEMANTIC_PRESERVING' WHEN semantic_q <= 0.165 THEN 'UNCERTAIN' WHEN complementary THEN 'COMPLEMENTARY' ELSE 'DISTINCT' END AS relation FROM m""")
+def classify_all_branches(spark: SparkSession, d: str) -> DataFrame:
+    """The ordered rule over measured rows of every kind, those of parameterised and complementary pairs too."""
+    table(spark, d, "orders").createOrReplaceTempView("_kinfold_orders")
+    rows = spark.sql(_LEVELS.replace("FROM orders", "FROM _kinfold_orders").replace("1000.0", "1000.0D").replace("640.0", "640.0D").replace("320.0", "320.0D").replace("200.0", "200.0D"))
+    return rows.select("o_orderkey", compare.relation(complementary=F.col("complementary"), direction=F.col("direction")).alias("relation"))
+
+
+def _grid_sql(name: str, values: str) -> str:
+    return f"{name} AS (SELECT probe_id, k, {_BRIGHT.format('k')} AS px FROM probes, (SELECT unnest([{values}]) AS k))"
+
+
+def _division_sql(spec: str, gen: str) -> str:
+    ok = f"SELECT s.k AS sk, g.k AS gk, bool_and(list_max(list_transform(range(1, 65), lambda i: abs(s.px[i] - g.px[i]))) / 255.0 <= 1 / 255.0) AS ok FROM {spec} s JOIN {gen} g USING (probe_id) GROUP BY 1, 2"
+    return f"(SELECT bool_and(ok) FROM (SELECT sk, bool_or(ok) AS ok FROM ({ok}) GROUP BY 1))"
+
+
+@query("subsumption_directions", f"""WITH {I.PROBES_SQL}, {_grid_sql('few', '10, 20')}, {_grid_sql('many', '0, 5, 10, 15, 20, 30')}, {_grid_sql('other', '7, 90')}, {_grid_sql('same', '20, 10')},
+    d AS (SELECT 'few' AS a, 'many' AS b, {_division_sql('few', 'many')} AS into_b, {_division_sql('many', 'few')} AS into_a UNION ALL SELECT 'few', 'other', {_division_sql('few', 'other')}, {_division_sql('other', 'few')} UNION ALL SELECT 'few', 'same', {_division_sql('few', 'same')}, {_division_sql('same', 'few')})
+    SELECT a, b, CASE WHEN into_a AND into_b THEN 'MUTUAL' WHEN into_a THEN 'A_SUBSUMES_B' WHEN into_b THEN 'B_SUBSUMES_A' ELSE 'NONE' END AS direction FROM d""")
+def subsumption_directions(spark: SparkSession, d: str) -> DataFrame:
+    """Both ways between one grid of brightenings and three others."""
+    battery = I.battery(spark, d)
+
+    def grid(name: str, values: list[int]) -> DataFrame:
+        rows = battery.select("probe_id", "px", F.explode(F.array(*map(F.lit, values))).alias("binding"))
+        return rows.select("probe_id", F.lit(name).alias("skill"), "binding", F.transform("px", lambda v: F.least(v + F.col("binding"), F.lit(255))).alias("px"))
+
+    few = grid("few", [10, 20])
+    rest = grid("many", [0, 5, 10, 15, 20, 30]).unionByName(grid("other", [7, 90])).unionByName(grid("same", [20, 10]))
+    return compare.directions(compare.subsumption(few, rest).unionByName(compare.subsumption(rest, few)))
+
+
 def _commute_sql() -> str:
     f = {s: I.SKILL_SQL[s] for s in ("flip_vertical", "invert", "posterize_4", "rotate_180", "threshold_128")}
     rows = []
@@ -446,10 +486,14 @@ def dag_check(spark: SparkSession, d: str) -> DataFrame:
     return graph.cycles(n.union(spark.createDataFrame([(3, 15)], "src long, dst long")))
 
 
-@query("exact_closure", "WITH e AS (SELECT n_nationkey AS a, n_nationkey + 5 AS b FROM nation WHERE n_nationkey < 10) SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_nationkey + 10 AS BIGINT) AS b FROM nation WHERE n_nationkey < 5")
+@query("exact_closure", """WITH l AS (SELECT n_nationkey AS a, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS b FROM nation)
+    SELECT CAST(x.n_nationkey AS BIGINT) AS a, CAST(y.n_nationkey AS BIGINT) AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey
+    WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.a = x.n_nationkey AND l.b = y.n_nationkey)""")
 def exact_closure(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").cast("long").alias("a"), (F.col("n_nationkey") + 5).cast("long").alias("b"))
-    return graph.closure_gaps(n)
+    """Each nation is listed with the next of its region: what the closure lacks."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("a"), "n_regionkey")
+    after = n.select(F.col("a").alias("b"), "n_regionkey")
+    return graph.closure_gaps(n.join(after, "n_regionkey").where("b > a").groupBy("a").agg(F.min("b").alias("b")))
 
 
 @query("coverage_check", "SELECT v.value, count(d.doc_id) AS n, v.needed FROM (VALUES ('en', 1000000), ('fr', 10), ('xx', 1)) v(value, needed) LEFT JOIN documents d ON d.lang = v.value GROUP BY 1, 3 HAVING count(d.doc_id) < v.needed")
