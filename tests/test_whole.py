@@ -1,11 +1,7 @@
 """Operators do the whole job: nothing is left out by a block, a cap or a stop."""
 
-import random
-
 import numpy as np
-from pyspark.sql import functions as F
 
-from kinfold.llm import toxicity
 from kinfold.operators import candidates
 
 
@@ -22,30 +18,3 @@ def test_nearest_is_whole(spark, monkeypatch):
     want = {(i, j, n + 1) for i in range(len(vec)) for n, j in enumerate(sorted((j for j in range(len(vec)) if j != i), key=lambda j: (d[i, j], j))[:5]) if d[i, j] <= 0.9}
     assert {(x["id"], x["other"], x["rank"]) for x in candidates.nearest(rows, 5, 0.9).collect()} == want
     assert candidates.nearest(rows.limit(0), 5, 0.9).count() == 0
-
-
-def test_every_insult_is_learned(spark):
-    """60 insults, each in 1.7% of the toxic texts, none near another."""
-    r = random.Random(3)
-    name = lambda k: "".join(r.choice("jkqvwxyz") + r.choice("aeiou") for _ in range(k))
-    insults = [name(4) for _ in range(60)]
-    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(20))
-    dealt = r.sample(insults * 20, 1200)
-    rows = [(i, f"{text()} {w} {text()}.", 1) for i, w in enumerate(dealt)] + [(i, f"{text()}.", 0) for i in range(6000, 9000)]
-    table = spark.createDataFrame(rows, "id long, text string, y int")
-    model = toxicity.train(table)
-    docs = spark.createDataFrame([(k, f"{text()} {w} {text()}.") for k, w in enumerate(insults)] + [(100 + k, text()) for k in range(60)], "doc_id long, text string")
-    out = {x["doc_id"]: x["predicted"] for x in toxicity.scores(docs, model, F.lit(False)).collect()}
-    assert sum(out[k] for k in range(60)) == 60 and sum(out[100 + k] for k in range(60)) <= 1
-
-
-def test_similarities_are_the_kernel():
-    r = random.Random(8)
-    words = ["".join(r.choice("abcdeé") for _ in range(r.randint(3, 9))).encode()[: toxicity.WINDOW] for _ in range(400)]
-    marks = toxicity.Landmarks(words[:40])
-    got = marks.similar(words)
-    x = toxicity.codes(words)
-    norm = np.sqrt(toxicity.own_kernel(x))
-    for j, row in enumerate(marks.rows):
-        k = toxicity.kernel(x, row) / (norm * np.sqrt(marks.self_kernel[j]))
-        assert np.allclose(got[:, j], np.where(k >= toxicity.FLOOR, k, 0) ** toxicity.POWER, atol=1e-4)
