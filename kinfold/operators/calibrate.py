@@ -10,6 +10,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._order import running
 from .compare import Thresholds
 from .metrics import ratio
 
@@ -17,8 +18,8 @@ from .metrics import ratio
 def curve(samples: DataFrame, at_most: bool = True) -> DataFrame:
     """samples: score, positive. threshold, tp, fp, precision, recall for each distinct score, and for a threshold that takes nothing."""
     by = samples.where(F.col("score").isNotNull()).groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    order = Window.orderBy(F.col("score") if at_most else F.col("score").desc())
-    swept = by.select(F.col("score").alias("threshold"), F.sum("p").over(order).alias("tp"), F.sum("n").over(order).alias("fp"))
+    order = F.col("score") if at_most else F.col("score").desc()
+    swept = running(by, [order], {"tp": F.col("p"), "fp": F.col("n")}).select(F.col("score").alias("threshold"), "tp", "fp")
     none = samples.sparkSession.createDataFrame([(float("-inf") if at_most else float("inf"), 0, 0)], "threshold double, tp long, fp long")
     total = by.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("pos"))
     rows = swept.unionByName(none).crossJoin(F.broadcast(total))  # one row

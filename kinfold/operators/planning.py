@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._order import running
+
 # The defect types in order, and the weights of the named compositions (1 where none is given).
 TYPES = ("implementation_bug", "metadata_mislead", "duplicate", "subsumption", "param_schema_bug", "domain_scoped_bug", "dead_skill")
 ADDING = ("duplicate", "subsumption", "dead_skill")
@@ -47,8 +49,7 @@ def hamilton(weights: DataFrame, seats: DataFrame, key: str = "key") -> DataFram
 def usage_counts(mentions: DataFrame, base: int = 20, alpha: float = 1.2) -> DataFrame:
     """mentions: pos, id. n: mentions plus a Zipf bonus by rank of first mention, half to even and 1 at least."""
     by = mentions.groupBy("id").agg(F.count(F.lit(1)).alias("mentions"), F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.orderBy("first", "id"))
-    rows = by.withColumn("rank", rank)
+    rows = running(by, [F.col("first"), F.col("id")], {"rank": F.lit(1)}).withColumn("rank", F.col("rank").cast("int"))
     bonus = F.greatest(F.lit(1), F.bround(base / F.pow("rank", F.lit(alpha))).cast("int"))
     return rows.select("id", "rank", (F.col("mentions") + bonus).cast("long").alias("n"))
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._order import running
 from .metrics import prf, ratio
 
 GROUP = ("method", "gate", "rho", "composition", "mode")
@@ -75,8 +76,9 @@ def pareto_front(points: DataFrame, best: Sequence[str], least: Sequence[str] =
     distinct = named.select(*keys).distinct()
     if len(keys) == 2:
         tops = distinct.groupBy("_g0").agg(F.max("_g1").alias("_g1"))
-        higher = Window.orderBy(F.col("_g0").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        front = tops.withColumn("m", F.max("_g1").over(higher)).where("m is null or _g1 > m").select(*keys)
+        # The first row to reach a maximum is the only one of those equal to it that stays.
+        best_yet = running(tops, [F.col("_g0").desc()], {"_m": F.col("_g1")}, F.max)
+        front = best_yet.where("_g1 <=> _m").groupBy("_m").agg(F.max("_g0").alias("_g0")).select("_g0", F.col("_m").alias("_g1"))
     else:
         kinds = ", ".join(f"{k} double" for k in keys)
 
@@ -104,7 +106,7 @@ def pearson(x: str, y: str) -> Column:
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """Average rank of ties, from counts of distinct values."""
     by = df.groupBy(column).agg(F.count(F.lit(1)).alias("_k"))
-    ranked = by.withColumn(name, F.sum("_k").over(Window.orderBy(column)) - (F.col("_k") - 1) / 2.0).drop("_k")
+    ranked = running(by, [F.col(column)], {name: F.col("_k")}).withColumn(name, F.col(name) - (F.col("_k") - 1) / 2.0).drop("_k")
     return df.join(ranked, column)
 
 

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import images, kernels
 from ..functions.images import Skill
+from ..operators._order import running
 from ..operators.execute import IMAGE, canonical, content_hash, is_mask, l_inf, pack, unpack
 from ..operators.planning import derive_seed
 
@@ -145,7 +146,7 @@ def relevance(queries: DataFrame) -> DataFrame:
 def mentions(queries: DataFrame) -> DataFrame:
     """pos, id: every function that a query expects, in order, for usage counts."""
     rows = queries.select("pos", F.posexplode(F.transform("steps", lambda s: s["skill_id"])).alias("k", "id"))
-    return rows.select((F.row_number().over(Window.orderBy("pos", "k")) - 1).alias("pos"), "id")
+    return running(rows, [F.col("pos"), F.col("k")], {"at": F.lit(1)}).select((F.col("at") - 1).alias("pos"), "id")
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
