@@ -39,6 +39,21 @@ def cosine_pairs(weights: DataFrame, pairs: DataFrame, tau: float = 0.6) -> Data
     return pairs.select("a", "b").join(dots, ["a", "b"], "left").select("a", "b", score.alias("score")).withColumn("mergeable", F.col("score") >= tau)
 
 
+def similar_pairs(weights: DataFrame, least: float) -> DataFrame:
+    """weights: id, token, w of unit length. a, b: all pairs whose cosine can reach ``least``, and few others.
+
+    Tokens are ordered from the rarest on. Where what follows a token in a text
+    is shorter than ``least``, that token and the later ones can't make up the
+    cosine by themselves, so a pair that reaches it shares one before: texts
+    meet in their rare tokens only.
+    """
+    df = weights.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    onward = Window.partitionBy("id").orderBy("df", "token").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rare = weights.join(df, "token").withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(onward))).where(F.col("rest") >= least - 1e-9)
+    other = rare.select(F.col("id").alias("b"), "token")
+    return rare.select(F.col("id").alias("a"), "token").join(other, "token").where("a < b").select("a", "b").distinct()
+
+
 def keyword_retrieval(queries: DataFrame, library: DataFrame) -> DataFrame:
     """queries: query_id, text. library: pos, id, text. The row with most tokens (of two characters and more) in common; the first of equals.
 
@@ -68,9 +83,3 @@ def review_slice(truth: DataFrame, output: DataFrame, laden: tuple[str, ...] = (
     """Pairs that people should look at: truths that take judgement, and verdicts that abstain."""
     rows = truth.join(output.select("a", "b", F.col("relation").alias("verdict")), ["a", "b"], "left")
     return rows.where(F.col("relation").isin(*laden) | (F.col("verdict") == "UNCERTAIN")).withColumn("label", F.lit("")).orderBy("a", "b")
-
-
-def ranks(df: DataFrame, column: str) -> DataFrame:
-    """Average rank of ties in ``rank``."""
-    by = Window.partitionBy(column)
-    return df.withColumn("rank", F.rank().over(Window.orderBy(column)) + (F.count(F.lit(1)).over(by) - 1) / 2.0)

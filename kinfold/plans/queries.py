@@ -149,33 +149,18 @@ def average_hash(spark: SparkSession, d: str) -> DataFrame:
     return I.battery(spark, d).select("probe_id", F.array_join(S.average_hash(F.col("px")).cast("array<string>"), "").alias("bits"))
 
 
-@query("fingerprint_knn", f"WITH n AS (SELECT x.vec_id AS id, y.vec_id AS other, round({I.cosine_sql('x.embedding', 'y.embedding')}, 6) AS distance FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM n) SELECT id, other, rank FROM k WHERE rank <= 5 AND distance <= 0.9")
-def fingerprint_knn(spark: SparkSession, d: str) -> DataFrame:
-    prints = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
-    return candidates.nearest(prints, 5, 0.9, "label").select("id", "other", F.col("rank").cast("long").alias("rank"))
-
-
-@query("candidate_pairs", f"""WITH n AS (SELECT x.vec_id AS id, y.vec_id AS other, round({I.cosine_sql('x.embedding', 'y.embedding')}, 6) AS distance FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM n)
-    SELECT least(id, other) AS a, greatest(id, other) AS b FROM k WHERE rank <= 3 AND distance <= 0.9 UNION SELECT x.vec_id, y.vec_id FROM embeddings x JOIN embeddings y ON x.vec_id % 97 = y.vec_id % 97 AND x.vec_id < y.vec_id""")
-def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    prints = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
-    return candidates.candidate_pairs(e.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 97).alias("family")), prints, 3, 0.9, block="label")
+_NEAR = f"n AS (SELECT x.vec_id AS id, y.vec_id AS other, round({I.cosine_sql('x.embedding', 'y.embedding')}, 9) AS distance FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM n)"
 
 
-_NEAR_ALL = f"n AS (SELECT x.vec_id AS id, y.vec_id AS other, round({I.cosine_sql('x.embedding', 'y.embedding')}, 9) AS distance FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM n)"
-
-
-@query("fingerprint_knn_all", f"WITH {_NEAR_ALL} SELECT id, other, rank FROM k WHERE rank <= 5 AND distance <= 0.9")
-def fingerprint_knn_all(spark: SparkSession, d: str) -> DataFrame:
-    """As fingerprint_knn, among all rows instead of those with the same label."""
+@query("fingerprint_knn", f"WITH {_NEAR} SELECT id, other, rank FROM k WHERE rank <= 5 AND distance <= 0.9")
+def fingerprint_knn(spark: SparkSession, d: str) -> DataFrame:
     prints = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return candidates.nearest(prints, 5, 0.9).select("id", "other", F.col("rank").cast("long").alias("rank"))
 
 
-@query("candidate_pairs_all", f"WITH {_NEAR_ALL} SELECT least(id, other) AS a, greatest(id, other) AS b FROM k WHERE rank <= 3 AND distance <= 0.9 UNION SELECT x.vec_id, y.vec_id FROM embeddings x JOIN embeddings y ON x.vec_id % 97 = y.vec_id % 97 AND x.vec_id < y.vec_id")
-def candidate_pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    """As candidate_pairs, with the nearest among all rows."""
+@query("candidate_pairs", f"WITH {_NEAR} SELECT least(id, other) AS a, greatest(id, other) AS b FROM k WHERE rank <= 3 AND distance <= 0.9 UNION SELECT x.vec_id, y.vec_id FROM embeddings x JOIN embeddings y ON x.vec_id % 97 = y.vec_id % 97 AND x.vec_id < y.vec_id")
+def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The three nearest among all rows, and families of every 97th row."""
     e = table(spark, d, "embeddings")
     return candidates.candidate_pairs(e.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 97).alias("family")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 3, 0.9)
 
@@ -220,18 +205,18 @@ _TFIDF = """words AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text
     raw AS (SELECT id, token, tf * (ln((1 + (SELECT count(*) FROM benchmark)) / CAST(1 + df AS DOUBLE)) + 1) AS x FROM tf JOIN df USING (token)), w AS (SELECT id, token, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS w FROM raw)"""
 
 
-@query("tfidf_cosine", f"WITH {_TFIDF}, s AS (SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS dot FROM w x JOIN w y ON x.token = y.token AND x.id < y.id GROUP BY 1, 2) SELECT p.a, p.b, round(least(greatest(coalesce(dot, 0), 0), 1), 6) AS score FROM (SELECT x.item_id AS a, y.item_id AS b FROM benchmark x JOIN benchmark y ON x.item_id % 10 = y.item_id % 10 AND x.item_id < y.item_id) p LEFT JOIN s USING (a, b)")
+@query("tfidf_cosine", f"WITH {_TFIDF}, s AS (SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS dot FROM w x JOIN w y ON x.token = y.token AND x.id < y.id GROUP BY 1, 2) SELECT a, b, round(least(dot, 1), 6) AS score FROM s WHERE round(dot, 9) >= 0.1")
 def tfidf_cosine(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    weights = judges.tfidf(items)
-    pairs = items.select(F.col("id").alias("a"), (F.col("id") % 10).alias("k")).join(items.select(F.col("id").alias("b"), (F.col("id") % 10).alias("k")), "k").where("a < b").select("a", "b")
-    return r6(judges.cosine_pairs(weights, pairs).select("a", "b", "score"), "score")
+    """All pairs of items of at least 0.1."""
+    weights = judges.tfidf(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    scored = judges.cosine_pairs(weights, judges.similar_pairs(weights, 0.1))
+    return r6(scored.where(F.round("score", 9) >= 0.1).select("a", "b", "score"), "score")
 
 
 _TOK2 = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+')), lambda t: len(t) >= 2)"
 
 
-@query("keyword_retrieval", f"""WITH q AS (SELECT item_id AS query_id, unnest({_TOK2.format('text')}) AS token FROM benchmark), l AS (SELECT p_partkey AS pos, 'part' || CAST(p_partkey AS VARCHAR) AS id, unnest({_TOK2.format("p_name || ' the of and is ' || p_type")}) AS token FROM part WHERE p_partkey < 1000000),
+@query("keyword_retrieval", f"""WITH q AS (SELECT item_id AS query_id, unnest({_TOK2.format('text')}) AS token FROM benchmark), l AS (SELECT p_partkey AS pos, 'part' || CAST(p_partkey AS VARCHAR) AS id, unnest({_TOK2.format("p_name || ' the of and is ' || p_type")}) AS token FROM part),
     h AS (SELECT query_id, pos, id, count(*) AS score FROM q JOIN l USING (token) GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS r FROM h) SELECT b.item_id AS query_id, k.id, coalesce(k.score, 0) AS score FROM benchmark b LEFT JOIN k ON b.item_id = k.query_id AND r = 1""")
 def keyword_retrieval(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -333,11 +318,14 @@ def text_operating_points(spark: SparkSession, d: str) -> DataFrame:
     return r6(calibrate.operating_points(scored), "threshold", "precision", "recall", "f1", "fmr", "hard_fmr")
 
 
-@query("cluster_split", "SELECT CASE WHEN x.label <= 4 AND y.label <= 4 THEN 'calibration' ELSE 'test' END AS split, count(*) AS n FROM embeddings x JOIN embeddings y ON x.vec_id % 50 = y.vec_id % 50 AND x.vec_id < y.vec_id WHERE (x.label <= 4) = (y.label <= 4) GROUP BY 1")
+@query("cluster_split", "SELECT CASE WHEN c.c_nationkey <= 9 THEN 'calibration' ELSE 'test' END AS split, count(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey WHERE (c.c_nationkey <= 9) = (s.s_nationkey <= 9) GROUP BY 1")
 def cluster_split(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("f"), (F.col("vec_id") % 50).alias("k"))
-    pairs = e.select(F.col("vec_id").alias("a"), F.col("f").alias("family_a"), "k").join(e.select(F.col("vec_id").alias("b"), F.col("f").alias("family_b"), "k"), "k").where("a < b")
-    return calibrate.cluster_split(pairs, ["0", "1", "2", "3", "4"]).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    """Buyer and seller of every line, with their nations as families."""
+    buyers = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_custkey").alias("a"), F.col("c_nationkey").cast("string").alias("family_a"))
+    sellers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").cast("string").alias("family_b"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    pairs = lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).join(sellers, F.col("l_suppkey") == F.col("b")).select("a", "b", "family_a", "family_b")
+    return calibrate.cluster_split(pairs, [str(k) for k in range(10)]).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- studies -------------------------------------------------------------------------------------------------------
