@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,44 @@ def name_match(pairs: DataFrame, tau: float = 0.5) -> DataFrame:
     return pairs.select("a", "b", S.jaccard(ta, tb).alias("score")).withColumn("mergeable", F.col("score") >= tau)
 
 
+def name_blocks(rows: DataFrame, group: Sequence[str], tau: float = 0.5, least: int = 2048) -> DataFrame:
+    """rows: id, text, group columns. Jaccard of the tokens of all texts of a group, by pairs of blocks: side, ids_a, ids_b, score, mergeable.
+
+    A token that stands in one row of its group is in no intersection, so rows
+    with the same other tokens and as many tokens have the same scores: a block
+    is up to ``least`` of their ids, and a score is counted once for two blocks.
+    Large groups go to several tasks. ``expanded`` lists the pairs of rows. As
+    in SQL, a null text of the row with the smaller id makes the score null, and
+    one of the other row makes it 0.
+    """
+    g = list(group)
+    known = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in ("id", *g))).groupBy(*g, "id", S.tokens(F.col("text")).alias("tokens")).agg(F.count(F.lit(1)).alias("n"))
+    each = known.select("*", F.explode_outer("tokens").alias("token"))
+    common = each.groupBy(*g, "token").agg(F.sum("n").alias("_in")).where("_in > 1")
+    kept = each.join(common, [*g, "token"], "left").groupBy(*g, "id", "tokens").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("_in").isNotNull(), F.col("token")))).alias("shared"))
+    alike = kept.groupBy(*g, F.array_size("tokens").alias("size"), "shared").agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat("id", F.col("n").cast("int"))))).alias("ids"))
+    starts = F.sequence(F.lit(1), F.array_size("ids"), F.lit(least))
+    blocks = alike.select(*g, "size", "shared", F.explode(F.transform(starts, lambda i: F.struct(F.slice("ids", i, F.lit(least)).alias("ids"), i.alias("at")))).alias("b"))
+    blocks = blocks.select(*g, "shared", "b.ids", F.struct(F.get("b.ids", F.lit(0)).alias("id"), F.col("b.at").alias("at"), F.coalesce("size", F.lit(-1)).alias("size"), "shared").alias("key"), "size")
+    parts = blocks.groupBy(*g).agg(F.ceil(F.sum(F.array_size("ids")) / (2 * least)).cast("int").alias("parts"))
+    blocks = blocks.join(parts, g)
+    x = blocks.select(*g, F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), *(F.col(c).alias(f"{c}_a") for c in ("ids", "key", "size", "shared")))
+    y = blocks.select(*g, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_b") for c in ("ids", "key", "size", "shared")))
+    met = x.join(y, [*g, "part"]).where("key_a <= key_b")
+    sides = F.when(F.col("key_a") == F.col("key_b"), F.array(F.lit(-1))).when(F.isnull("size_a") != F.isnull("size_b"), F.array(F.lit(-1), F.lit(1))).otherwise(F.array(F.lit(0)))
+    met = met.select(F.explode(sides).alias("side"), "ids_a", "ids_b", "size_a", "size_b", F.array_size(F.array_intersect("shared_a", "shared_b")).alias("both"))
+    first = F.when(F.col("side") > 0, F.col("size_b")).otherwise(F.col("size_a"))
+    score = F.coalesce(F.try_divide(F.col("both").cast("double"), F.col("size_a") + F.col("size_b") - F.col("both")), F.lit(0.0))
+    return met.select("side", "ids_a", "ids_b", F.when(first.isNotNull(), score).alias("score")).withColumn("mergeable", F.col("score") >= tau)
+
+
+def expanded(blocks: DataFrame) -> DataFrame:
+    """blocks: side, ids_a, ids_b and more. The pairs of ids, the smaller one as a; side: -1 those smaller in ids_a only, 1 those smaller in ids_b only."""
+    more = [c for c in blocks.columns if c not in ("side", "ids_a", "ids_b")]
+    pairs = blocks.select("side", F.explode("ids_a").alias("p"), "ids_b", *more).select("side", "p", F.explode("ids_b").alias("q"), *more)
+    return pairs.where("p < q AND side <= 0 OR p > q AND side >= 0").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), *more)
+
+
 def tfidf(corpus: DataFrame) -> DataFrame:
     """corpus: id, text. id, token, w: raw counts times ln((1 + N) / (1 + df)) + 1, L2-normalised."""
     words = corpus.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("token"))

@@ -195,10 +195,8 @@ _TOK = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 @query("name_match_jaccard", f"""WITH p AS (SELECT x.p_partkey AS a, y.p_partkey AS b, {_TOK.format("x.p_name || ' ' || CAST(x.p_partkey AS VARCHAR)")} AS ta, {_TOK.format("y.p_name || ' ' || CAST(y.p_partkey AS VARCHAR)")} AS tb FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.p_partkey < y.p_partkey),
     s AS (SELECT a, b, len(list_intersect(ta, tb)) / CAST(len(list_distinct(list_concat(ta, tb))) AS DOUBLE) AS score FROM p) SELECT a, b, round(score, 6) AS score, score >= 0.5 AS mergeable FROM s""")
 def name_match_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    x = p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("name_a"), "p_brand", "p_size")
-    y = p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("name_b"), "p_brand", "p_size")
-    return r6(judges.name_match(x.join(y, ["p_brand", "p_size"]).where("a < b")), "score")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("text"), "p_brand", "p_size")
+    return judges.expanded(r6(judges.name_blocks(rows, ["p_brand", "p_size"]), "score"))
 
 
 _TFIDF = """words AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark), tf AS (SELECT id, token, count(*) AS tf FROM words GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
