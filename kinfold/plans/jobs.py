@@ -28,7 +28,7 @@ def _grey_probes(spark: SparkSession, d: str) -> DataFrame:
 @query("oracle_freeze")
 def oracle_freeze(spark: SparkSession, d: str) -> DataFrame:
     """Hashes of all functions of the library on every probe, each run twice."""
-    return execute.freeze_oracle(_grey_probes(spark, d).repartition(8))
+    return execute.freeze_oracle(_grey_probes(spark, d).repartition(4 * max(8, spark.sparkContext.defaultParallelism)))
 
 
 _AT = {"flip_horizontal_v1": "8 * r + 7 - c", "flip_vertical_v1": "8 * (7 - r) + c", "rotate_90_v1": "8 * c + 7 - r", "rotate_180_v1": "63 - 8 * r - c", "rotate_270_v1": "8 * (7 - c) + r", "transpose_v1": "8 * c + r"}
