@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, decontaminate, exact_dedup, html_extract, mixing, periodic_runs, quality, secrets, sentence_spans, token_alignment, toxicity, warc
+from . import bagminhash, decontaminate, exact_dedup, html_extract, mixing, periodic_runs, quality, secrets, sentence_spans, shingle_join, token_alignment, toxicity, warc
 from ._work import table
 
 
@@ -78,6 +78,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op13_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.join(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_token_alignment": op12_token_alignment,
+    "op13_shingle_join": op13_shingle_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
