@@ -1,27 +1,29 @@
 """Alignment of two tokenizers over the same bytes, built by Spark's higher-order functions.
 
-Python only tokenises: for each text it returns the ids of both tokenizers
-and, as arrays, the byte offsets at which their tokens end. All else are
-expressions. ``array_intersect`` of the two end arrays gives the offsets at
-which tokens of both end. Sorting one side's ends together with them makes
-each a neighbour of its twin, so that the places of the twins, less the number
-of twins before, say how many tokens lead up to each cut; a text of n tokens
-costs n steps, however long it is. ``transform`` over the cuts makes the
+A text is cut at single blanks between characters that are no white space.
+Neither the byte-level pattern nor any merge of the piece vocabulary (which is
+checked) reaches over such a blank, so what stands between two blanks, with
+the first of them, has the same tokens by itself as in the text, and tokens of
+both sides end where it ends. Python only cuts and tokenises: for some
+megabytes of texts it returns the distinct pieces, one after the other, as ids
+and as the byte offsets at which the tokens end, for both tokenizers, and each
+text as numbers of pieces.
+
+All else are expressions. ``array_intersect`` of the two end arrays gives the
+offsets at which tokens of both end. Sorting one side's ends together with
+them makes each a neighbour of its twin, so that the places of the twins, less
+the number of twins before, say how many tokens lead up to each cut; n tokens
+cost n steps, however long a piece is. ``transform`` over the cuts makes the
 groups, from the ``sequence`` of their tokens, and the links: the tokens just
 before a cut end together. A token has at least one byte, so that a cut has
-one link.
+one link. A text's groups and links are those of its pieces in order, and
+``aggregate`` adds up their tokens.
 
 How often a pair of ids is linked is counted over all documents; the counts
 come back by a broadcast if the table of pairs was measured to be small, else
 the few pairs that hold more than one link in ``HOT`` come by a broadcast and
 the others by a shuffle in which none of them is hot.
 
-A text is cut before it is tokenised, at single blanks between characters that
-are no white space. Neither the byte-level pattern nor any merge of the piece
-vocabulary (which is checked) reaches over such a blank, so the tokens are
-those of the whole text, and what stands between two blanks is tokenised once
-and remembered.
-
 Defined cases: null and empty texts, and texts whose joined token bytes of one
 side aren't the blank and the text, have no tokens, groups or links; their
 numbers are zero and their checksum is empty. Texts of any length are read
@@ -32,6 +34,8 @@ columns are not looked at.
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -47,11 +51,14 @@ from ._work import BROADCAST_BYTES, written
 #: Where the public vocabulary files lie; every executor reads them there.
 FILES = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-REMEMBERED = 200_000
+#: Fixed value: the pattern that cuts a text before the byte-level merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+CHUNK_BYTES, TOGETHER = 4 << 20, 64
 ID_BITS = 20
 HOT = 1024
 PAIR_BYTES = 32
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
+_LONG_BLANK = re.compile(r"\s{256}")
 
 
 def byte_level() -> dict[str, int]:
@@ -62,38 +69,44 @@ def byte_level() -> dict[str, int]:
 
 
 class Side:
-    """A tokenizer with the bytes of its tokens, which remembers the pieces that it has seen."""
+    """A tokenizer, which reads texts with a blank before each, and the bytes of its tokens."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes]) -> None:
         self.encode, self.tokens = encode, tokens
         self.lengths = np.array([len(t) for t in tokens], np.int32)
-        self.known: dict[str, bytes] = {}
-        self.lossy: set[str] = set()
-
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known, self.lossy = {}, set()
-        new = [p for p in pieces if p not in self.known]
-        for piece, ids in zip(new, self.encode(new) if new else [], strict=True):
-            self.known[piece] = np.array(ids, np.int32).tobytes()
-            if b"".join(map(self.tokens.__getitem__, ids)) != b" " + piece.encode():
-                self.lossy.add(piece)
 
-    def ids(self, pieces: list[str]) -> bytes:
-        return b"".join(map(self.known.__getitem__, pieces))
+    def pieces(self, pieces: list[str], plain: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all pieces, offsets of each piece's, and whether its bytes are lost. The first ``plain`` ones are read some at a time as one text."""
+        want = [b" " + p.encode() for p in pieces]
+        ids = list(itertools.chain.from_iterable(self.encode([" ".join(pieces[k : min(k + TOGETHER, plain)]) for k in range(0, plain, TOGETHER)] + pieces[plain:])))
+        if b"".join(map(self.tokens.__getitem__, ids)) == b"".join(want):
+            flat = np.array(ids, np.int32)
+            at = np.searchsorted(np.cumsum(self.lengths[flat]), np.cumsum([len(w) for w in want])) + 1
+            return flat, np.concatenate(([0], at)), np.zeros(len(pieces), bool)
+        each = self.encode(pieces)
+        lost = np.array([b"".join(map(self.tokens.__getitem__, i)) != w for i, w in zip(each, want, strict=True)], bool)
+        return np.array([i for e in each for i in e], np.int32), np.concatenate(([0], np.cumsum([len(e) for e in each]))), lost
 
 
 def byte_side(path: str) -> Side:
+    """The byte-level file. Its merges are those of the ids' order (which is checked), so that a faster library gives the same tokens; that one fails on long white space, which the file's own library reads."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tiktoken
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    chars, vocab = byte_level(), tok.get_vocab(with_added_tokens=False)
-    tokens = [b""] * (max(vocab.values()) + 1)
-    for token, i in vocab.items():
-        tokens[i] = bytes(chars[c] for c in token) if set(token) <= chars.keys() else token.encode()
-    return Side(lambda pieces: [e.ids for e in tok.encode_batch_fast([f" {p}" for p in pieces], add_special_tokens=False)], tokens)
+    model = json.loads(tok.to_str())["model"]
+    chars, names = byte_level(), {i: t for t, i in model["vocab"].items()}
+    if any(names[256 + k] != "".join(m.split(" ") if isinstance(m, str) else m) for k, m in enumerate(model["merges"])):
+        raise ValueError("ids aren't in the order of the merges")
+    tokens = [bytes(chars[c] for c in names[i]) if i in names and set(names[i]) <= chars.keys() else b"" for i in range(max(names) + 1)]
+    fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens[: 256 + len(model["merges"])])}, special_tokens={})
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [tok.encode_batch_fast([f" {t}"], add_special_tokens=False)[0].ids if _LONG_BLANK.search(t) else fast.encode_ordinary(f" {t}") for t in texts]
+
+    return Side(encode, tokens)
 
 
 def piece_side(path: str) -> Side:
@@ -104,13 +117,24 @@ def piece_side(path: str) -> Side:
     if any("▁" in n.lstrip("▁") for n in names):
         raise ValueError("a piece reaches over a blank, so texts can't be cut there")
     tokens = [bytes([int(n[1:-1], 16)]) if tok.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-    return Side(lambda pieces: tok.encode(pieces, num_threads=1), tokens)
-
-
-def _pieces(text: str) -> list[str]:
-    """What stands between single blanks; each piece is tokenised with a blank before it."""
-    cut = text.split(" ")
-    return cut if all(p and not p[0].isspace() and not p[-1].isspace() for p in set(cut)) else _BLANK.split(text)
+    return Side(lambda texts: tok.encode(texts, num_threads=1), tokens)
+
+
+def _cut(texts: list[str]) -> tuple[list[list[str]], list[str], int, np.ndarray]:
+    """What stands between single blanks in each text, the distinct pieces of all texts, how many of these (the first) have no white space at their ends, and which pieces follow each other."""
+    cut = [t.split(" ") if t else [] for t in texts]
+    place = dict.fromkeys(itertools.chain.from_iterable(cut))
+    odd = [p for p in place if not p or p[0].isspace() or p[-1].isspace()]
+    if odd:
+        seen = set(odd)
+        cut = [c if seen.isdisjoint(c) else _BLANK.split(t) for c, t in zip(cut, texts, strict=True)]
+        place = dict.fromkeys(itertools.chain.from_iterable(cut))
+        odd = [p for p in place if not p or p[0].isspace() or p[-1].isspace()]
+        for p in odd:  # to the end
+            del place[p]
+        place |= dict.fromkeys(odd)
+    place = dict(zip(place, range(len(place)), strict=True))
+    return cut, list(place), len(place) - len(odd), np.fromiter(map(place.__getitem__, itertools.chain.from_iterable(cut)), np.int64)
 
 
 def _tokenised(byte_path: str, piece_path: str):  # noqa: ANN202
@@ -118,58 +142,77 @@ def _tokenised(byte_path: str, piece_path: str):  # noqa: ANN202
         sides = byte_side(byte_path), piece_side(piece_path)
         for b in batches:
             own, texts = b.columns
-            for first, held in _text.chunks(texts.to_pylist(), lower=False):
-                cut = [_pieces(t.decode("utf-8", "surrogatepass")) if t else [] for t in held]
-                pieces = set().union(*cut)
-                for s in sides:
-                    s.learn(pieces)
-                lossy = sides[0].lossy | sides[1].lossy
-                if lossy:
-                    cut = [c if lossy.isdisjoint(c) else [] for c in cut]
-                columns = [own.slice(first, len(held))]
-                for s in sides:
-                    packed = [s.ids(c) for c in cut]
-                    ids = np.frombuffer(b"".join(packed), np.int32)
-                    bounds = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed])))
-                    ends = np.concatenate(([0], np.cumsum(s.lengths[ids], dtype=np.int64)))
-                    ends = (ends[1:] - np.repeat(ends[bounds[:-1]], np.diff(bounds))).astype(np.int32)
-                    at = pa.array(bounds.astype(np.int32))
-                    columns += [pa.ListArray.from_arrays(at, pa.array(ids)), pa.ListArray.from_arrays(at, pa.array(ends))]
-                yield pa.RecordBatch.from_arrays(columns, ["own", "ids_a", "ends_a", "ids_b", "ends_b"])
+            for first, held in _text.chunks(texts.to_pylist(), CHUNK_BYTES, lower=False):
+                cut, pieces, plain, codes = _cut([t.decode("utf-8", "surrogatepass") for t in held])
+                of = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+                known = [s.pieces(pieces, plain) for s in sides]
+                good = ~(known[0][2] | known[1][2])
+                if not good.all():  # texts with such a piece have no tokens
+                    whole = np.ones(len(cut), bool)
+                    whole[of[~good[codes]]] = False
+                    codes, of = (np.cumsum(good) - 1)[codes[whole[of]]], of[whole[of]]
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                columns = [one(own.slice(first, len(held)))]
+                at = np.searchsorted(of, np.arange(len(cut) + 1)).astype(np.int32)
+                columns.append(one(pa.ListArray.from_arrays(pa.array(at), pa.array(codes.astype(np.int32)))))
+                for s, (flat, bounds, _) in zip(sides, known, strict=True):
+                    n = np.diff(bounds)
+                    ids = flat[np.repeat(good, n)]
+                    ends = np.cumsum(s.lengths[ids], dtype=np.int64).astype(np.int32)
+                    columns += [one(pa.array(ids)), one(pa.array(ends))]
+                columns.append(one(pa.array(ends[np.cumsum(n[good]) - 1])))
+                yield pa.RecordBatch.from_arrays(columns, ["own", "codes", "ids_a", "ends_a", "ids_b", "ends_b", "piece_ends"])
 
     return run
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files: str = FILES) -> DataFrame:
-    """id, ids_a, ends_a, ids_b, ends_b of each document: token ids and the byte offsets where the tokens end, in a blank and the text."""
+    """A row for some texts: own (their ids), codes (the pieces of each), and of all distinct pieces in a row ids_a, ends_a, ids_b, ends_b and piece_ends: token ids and byte offsets."""
     own = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"))
     kind = own.schema["own"].dataType.simpleString()
-    ints = "ids_a array<int>, ends_a array<int>, ids_b array<int>, ends_b array<int>"
-    return own.mapInArrow(_tokenised(f"{files}/{BYTE_BPE}", f"{files}/{PIECE_BPE}"), f"own {kind}, {ints}").withColumnRenamed("own", "id")
+    ints = ", ".join(f"{c} array<int>" for c in ("ids_a", "ends_a", "ids_b", "ends_b", "piece_ends"))
+    return own.mapInArrow(_tokenised(f"{files}/{BYTE_BPE}", f"{files}/{PIECE_BPE}"), f"own array<{kind}>, codes array<array<int>>, {ints}")
 
 
 def _upto(merged: str) -> Column:
-    """How many tokens lead up to each cut, with a 0 before them: places of equal neighbours, less the equal neighbours before."""
+    """How many elements lead up to each that has a twin, with a 0 before them: places of equal neighbours, less the equal neighbours before."""
     at = F.col(merged)
     twins = F.filter(F.sequence(F.lit(1), F.size(at) - 1), lambda k: F.get(at, k) == F.get(at, k - 1))
     upto = F.concat(F.array(F.lit(0)), F.transform(twins, lambda k, g: k - g))
     return F.when(F.size(at) > 1, upto).otherwise(F.array(F.lit(0)))
 
 
-def _joined(names: Column, low: Column, high: Column) -> Column:
-    return F.when(high - low == 1, F.get(names, low)).otherwise(F.array_join(F.transform(F.sequence(low, high - 1), lambda i: F.get(names, i)), ","))
+def _joined(names: str, sign: str) -> Callable[[Column, Column], Column]:
+    many = lambda low, high: F.array_join(F.transform(F.sequence(low, high - 1), lambda i: F.get(F.col(names), i)), sign)
+    return lambda low, high: F.when(high - low == 1, F.get(F.col(names), low)).otherwise(many(low, high))
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """``tokens`` with cuts (byte offsets), upto_a, upto_b (tokens up to each cut, after a 0), groups (``a1,a2|b1``) and links (both ids packed into a number)."""
+    """One row per text of :func:`tokenised`: id, n_a, n_b, groups (``a1,a2|b1;a3|b2,b3``) and links (both ids packed into a number)."""
     cut = tokens.withColumn("cuts", F.array_intersect("ends_a", "ends_b"))
-    merged = cut.withColumns({f"merged_{s}": F.sort_array(F.concat(f"ends_{s}", "cuts")) for s in "ab"})
-    upto = merged.withColumns({f"upto_{s}": _upto(f"merged_{s}") for s in "ab"} | {f"names_{s}": F.col(f"ids_{s}").cast("array<string>") for s in "ab"})
-    at = lambda s, g: F.get(F.col(f"upto_{s}"), g)
-    group = lambda c, g: F.concat(_joined(F.col("names_a"), at("a", g), at("a", g + 1)), F.lit("|"), _joined(F.col("names_b"), at("b", g), at("b", g + 1)))
-    last = lambda s, g: F.get(F.col(f"ids_{s}"), at(s, g + 1) - 1).cast("long")
-    link = lambda c, g: F.shiftleft(last("a", g), ID_BITS).bitwiseOR(last("b", g))
-    return upto.select("*", F.transform("cuts", group).alias("groups"), F.transform("cuts", link).alias("links")).drop("merged_a", "merged_b", "names_a", "names_b")
+    pairs = {"a": ("ends_a", "cuts"), "b": ("ends_b", "cuts"), "p": ("cuts", "piece_ends")}
+    merged = cut.withColumns({f"merged_{s}": F.sort_array(F.concat(*p)) for s, p in pairs.items()})
+    upto = merged.withColumns({f"upto_{s}": _upto(f"merged_{s}") for s in pairs} | {f"names_{s}": F.col(f"ids_{s}").cast("array<string>") for s in "ab"})
+    n = {s: F.size(f"upto_{s}") - 1 for s in pairs}
+    span = upto.withColumns({f"low_{s}": F.slice(f"upto_{s}", F.lit(1), n[s]) for s in pairs} | {f"high_{s}": F.slice(f"upto_{s}", F.lit(2), n[s]) for s in pairs})
+    side = lambda s: F.zip_with(f"low_{s}", f"high_{s}", _joined(f"names_{s}", ","))
+    id_of = lambda s, at: F.get(F.col(f"ids_{s}"), at - 1).cast("long")
+    groups = F.zip_with(side("a"), side("b"), lambda x, y: F.concat(x, F.lit("|"), y))
+    links = F.zip_with("high_a", "high_b", lambda x, y: F.shiftleft(id_of("a", x), ID_BITS).bitwiseOR(id_of("b", y)))
+    cuts = span.select("own", "codes", "upto_a", "upto_b", "low_p", "high_p", groups.alias("groups"), links.alias("links"))
+    tokens_of = lambda s, low, high: (F.get(F.col(f"upto_{s}"), high) - F.get(F.col(f"upto_{s}"), low)).cast("long")
+    pieces = cuts.select(
+        "own", "codes", F.zip_with("low_p", "high_p", _joined("groups", ";")).alias("groups"),
+        F.zip_with("low_p", "high_p", lambda low, high: F.transform(F.sequence(low, high - 1), lambda i: F.get(F.col("links"), i))).alias("links"),
+        F.zip_with("low_p", "high_p", lambda low, high: F.shiftleft(tokens_of("a", low, high), 32).bitwiseOR(tokens_of("b", low, high))).alias("sizes"),
+    )
+    each = lambda codes, of: F.transform(codes, lambda c: F.get(F.col(of), c))
+    text = lambda d: F.struct(
+        d["own"].alias("id"), F.aggregate(d["codes"], F.lit(0).cast("long"), lambda total, c: total + F.get(F.col("sizes"), c)).alias("n"),
+        F.array_join(each(d["codes"], "groups"), ";").alias("groups"), F.flatten(each(d["codes"], "links")).alias("links"),
+    )
+    texts = pieces.select(F.inline(F.transform(F.arrays_zip("own", "codes"), text)))
+    return texts.select("id", F.shiftright("n", 32).alias("n_a"), F.col("n").bitwiseAND(F.lit((1 << 32) - 1)).alias("n_b"), "groups", "links")
 
 
 def pair_counts(linked: DataFrame) -> DataFrame:
@@ -201,9 +244,10 @@ def link_totals(linked: DataFrame, key: str = "key", limit: int = BROADCAST_BYTE
 def alignment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files: str = FILES, limit: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     found = aligned(tokenised(docs, id_col, text_col, files))
+    n = F.size("links").cast("long")
     told = found.select(
-        F.monotonically_increasing_id().alias("key"), "id", F.size("ids_a").cast("long").alias("n_a"), F.size("ids_b").cast("long").alias("n_b"), F.size("groups").cast("long").alias("n_groups"), F.size("links").cast("long").alias("n_links"),
-        F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("").alias("groups_sha256"), "links",
+        F.monotonically_increasing_id().alias("key"), "id", "n_a", "n_b", n.alias("n_groups"), n.alias("n_links"),
+        F.when(F.size("links") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"), "links",
     )
     told = written(told, "alignment")
     sums = link_totals(told.select("key", "links"), "key", limit)

@@ -87,10 +87,10 @@ def test_counts_of_many_pairs_come_by_a_shuffle(spark, rows):
 
 
 def test_links_and_groups_of_one_text(spark):
-    (row,) = token_alignment.aligned(token_alignment.tokenised(spark.createDataFrame([(1, "tokenisation")], "doc_id long, text string"))).collect()
-    assert row["cuts"][-1] == len(" tokenisation") and len(row["groups"]) == len(row["links"]) == len(row["cuts"])
-    assert [int(i) for g in row["groups"] for i in g.split("|")[0].split(",")] == row["ids_a"]
-    assert [x & (1 << token_alignment.ID_BITS) - 1 for x in row["links"]] == [int(g.split(",")[-1].split("|")[-1]) for g in row["groups"]]
+    (row,) = token_alignment.aligned(token_alignment.tokenised(spark.createDataFrame([(1, "tokenisation of a tokenisation")], "doc_id long, text string"))).collect()
+    groups = [[side.split(",") for side in g.split("|")] for g in row["groups"].split(";")]
+    assert len(groups) == len(row["links"]) and (row["n_a"], row["n_b"]) == tuple(sum(len(g[k]) for g in groups) for k in (0, 1))
+    assert row["links"] == [int(a[-1]) << token_alignment.ID_BITS | int(b[-1]) for a, b in groups]
 
 
 def test_long_text_and_empty_table(spark):
