@@ -9,17 +9,18 @@ of what the threshold asks for, and the sets themselves decide the rest.
 
 The groups are fine at the top and coarse below. At the root a group is a hash
 of 64 bits, so that a count is 0 or 1, and the box is far too large to be held
-anywhere: its coordinates are rows, dealt over all tasks by range, and a query
-asks only for its ``ASKED`` least coordinates, more than it may miss by
-``SPARE``. (Two sets at the threshold share so many of the least coordinates of
-both, whatever the others do.) A document whose root box, without itself, is
-above zero in too few of them links to nothing; that leaves out most. The rest
-are packed, in the order of their coordinates, into leaves of at most
+anywhere: its coordinates are rows, dealt over all tasks by range. A document
+asks it, without itself, twice. First for its ``ASKED`` least coordinates, more
+than it may miss by a share of one in ``SPARE``: two sets at the threshold have
+so many of the least coordinates of both in common, whatever the others do.
+Then the few that are left ask for all their coordinates, in the box of these
+few; those for which the minima don't add up to the threshold link to nothing.
+The rest are packed, in the order of their coordinates, into leaves of at most
 ``LEAF_SHINGLES`` and ``LEAF_POINTS``, so that sets alike mostly meet in one. A
 leaf has a box over ``BOX_GROUPS`` groups, and vectors of ``POINT_GROUPS``
-groups for its points. A query visits the leaves whose box reaches its share of
-least coordinates, then takes the leaf's whole box, its points and at last
-their sets.
+groups for its points. A query visits the leaves whose box is above zero in one
+of its rarest least coordinates, as many as leave too few others for a link;
+then it takes the leaf's whole box, its points and at last their sets.
 
 What is linked by then needs no other link: a leaf joins with itself first;
 then of each component the first document of a coordinate is compared with the
@@ -47,7 +48,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
@@ -120,9 +121,7 @@ def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for first, held in _text.chunks(b["text"].tolist(), lower=False):
             s, offsets = sets(held)
-            vectors = [s[x:y] for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-            place = np.array([v[:2] if len(v) > 1 else [v[0], 0] for v in vectors], _U).reshape(-1, 2).view(np.int64)
-            yield pd.DataFrame({"node": b["node"].iloc[first : first + len(held)].array, "vector": [v.tobytes() for v in vectors], "x": place[:, 0], "y": place[:, 1]})
+            yield pd.DataFrame({"node": b["node"].iloc[first : first + len(held)].array, "vector": [s[x:y].view(np.int64) for x, y in zip(offsets[:-1], offsets[1:], strict=True)]})
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,10 +133,10 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for b in batches:
         for node, vector in zip(b["node"], b["vector"], strict=True):
-            if held and (len(held) >= LEAF_POINTS or size + len(vector) > 8 * LEAF_SHINGLES):
+            if held and (len(held) >= LEAF_POINTS or size + len(vector) > LEAF_SHINGLES):
                 yield row()
                 leaf, held, size = leaf + 1, [], 0
-            held.append((int(node), bytes(vector)))
+            held.append((int(node), np.asarray(vector, np.int64).tobytes()))
             size += len(vector)
     if held:
         yield row()
@@ -240,20 +239,31 @@ def linked_texts(points: DataFrame, docs: DataFrame, percent: int = PERCENT) ->
     spark = points.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = F.col("n")
-    enough = F.floor(F.ceil(n * percent / 100) / SPARE) + 1
-    # The root: coordinates in order, those of one point only left out.
-    laid = points.select("node", F.explode("least").alias("coordinate")).repartitionByRange(spread, "coordinate", "node").sortWithinPartitions("coordinate")
-    shared = written(laid.mapInPandas(trimmed(_with_company), "node long, coordinate long"), "coordinates")
-    reach = shared.groupBy("node").agg(F.count(F.lit(1)).alias("reach"))
-    kept = written(points.select("node", "key", "n").join(reach, "node").where(F.col("reach") >= enough), "kept")
+    share = F.ceil(n * percent / 100)
+    enough = F.floor(share / SPARE) + 1
+
+    def reach(laid: DataFrame) -> DataFrame:
+        """How many of a point's coordinates other points have too. Coordinates in order, so that a common one is spread over partitions."""
+        ordered = laid.repartitionByRange(spread, "coordinate", "node").sortWithinPartitions("coordinate")
+        shared = ordered.mapInPandas(trimmed(_with_company), "node long, coordinate long")
+        return shared.groupBy("node").agg(F.count(F.lit(1)).alias("reach"))
+
+    # The root, by least coordinates, then by all.
+    asking = points.select("node", "key", "n").join(reach(points.select("node", F.explode("least").alias("coordinate"))), "node").where(F.col("reach") >= enough)
+    asking = written(asking.select("key", "node"), "asking")
+    texts = docs.join(small_side(asking, 120 * asking.count()), "key").groupBy("node").agg(F.first("text").alias("text"))
+    vectors = written(texts.mapInPandas(trimmed(_vectors), "node long, vector array<bigint>"), "vectors").withColumn("n", F.size("vector"))
+    reached = reach(vectors.select("node", F.explode("vector").alias("coordinate")))
+    kept = checkpointed(vectors.select("node", "n").join(reached, "node").where(F.col("reach") >= share).select("node", enough.alias("enough"), "n"))
     n_kept, n_shingles = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    coordinates = shared.join(small_side(kept.select("node", enough.alias("enough")), 48 * n_kept), "node")
     # The leaves: the points that are left, packed in the order of their coordinates.
-    texts = docs.join(small_side(kept.select("key", "node"), 120 * n_kept), "key").groupBy("node").agg(F.first("text").alias("text"))
-    vectors = texts.mapInPandas(trimmed(_vectors), "node long, vector binary, x long, y long")
+    vectors = written(vectors.drop("n").join(small_side(kept, 48 * n_kept), "node"), "points-left")
     parts = max(spread, n_shingles // (LEAF_SHINGLES * 64) + 1)
-    placed = written(vectors, "vectors").repartitionByRange(parts, "x", "y", "node").sortWithinPartitions("x", "y", "node")
-    leaves = written(placed.select("node", "vector").mapInPandas(trimmed(_packed), "leaf long, points array<struct<node:bigint,vector:binary>>"), "leaves")
+    first = [F.get("vector", 0), F.get("vector", 1), F.col("node")]
+    leaves = vectors.repartitionByRange(parts, *first).sortWithinPartitions(*first).select("node", "vector")
+    leaves = written(leaves.mapInPandas(trimmed(_packed), "leaf long, points array<struct<node:bigint,vector:binary>>"), "leaves")
+    take = F.least(n, n - share + F.floor(n / SPARE) + 1).cast("int")
+    coordinates = written(vectors.select("node", "enough", F.explode(F.slice("vector", F.lit(1), take)).alias("coordinate")), "coordinates")
     of_leaf = checkpointed(leaves.select("leaf", F.explode("points.node").alias("node")))
     each = leaves.select(F.explode("points").alias("p")).select("p.*")
     found = written(leaves.mapInPandas(trimmed(_own_links(percent)), "a long, b long"), "own-links")
@@ -273,12 +283,15 @@ def linked_texts(points: DataFrame, docs: DataFrame, percent: int = PERCENT) ->
     both = left.join(each.select(F.col("node").alias("b"), F.col("vector").alias("vector_b")), "b")
     found = written(found.unionByName(both.mapInPandas(trimmed(_verified(percent)), "a long, b long")), "star-links")
     comps = checkpointed(components(found))
-    # Visits: leaves whose box reaches enough of a query's least coordinates.
+    # Visits: leaves that have one of a query's rarest coordinates, so many that the others can't be enough.
     rows = told(comps)
+    common = rows.groupBy("coordinate").agg(F.count(F.lit(1)).alias("n_points"))
+    of_node = Window.partitionBy("node")  # a document's least coordinates
+    ranked = rows.join(common, "coordinate").withColumn("nth", F.row_number().over(of_node.orderBy("n_points", "coordinate"))).withColumn("reach", F.count(F.lit(1)).over(of_node))
+    rare = ranked.where(F.col("nth") <= F.col("reach") - F.col("enough") + 1)
     boxes = rows.select("coordinate", F.col("leaf").alias("at")).distinct()
-    visits = rows.select("coordinate", "node", "comp", "enough", "leaf").join(boxes, "coordinate").where(F.col("at") > F.col("leaf"))
-    visits = visits.groupBy("node", "at").agg(F.count(F.lit(1)).alias("reach"), F.first("comp").alias("comp"), F.first("enough").alias("enough")).where("reach >= enough")
-    visits = written(visits.select("node", "comp", "at"), "visits")
+    visits = rare.select("coordinate", "node", "comp", "leaf").join(boxes, "coordinate").where(F.col("at") > F.col("leaf"))
+    visits = written(visits.select("node", "comp", "at").distinct(), "visits")
     known = comps.join(of_leaf, "node").groupBy("leaf").agg(F.collect_list(F.struct("node", "comp")).alias("comps"))
     callers = visits.join(each, "node").withColumn("size", F.length("vector"))
     load = callers.groupBy("at").agg(F.ceil(F.greatest(F.sum("size") / (8 * LEAF_SHINGLES), F.count(F.lit(1)) / LEAF_POINTS)).alias("blocks"))
