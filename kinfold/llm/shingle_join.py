@@ -60,6 +60,7 @@ PERCENT = 80
 SPARE = 10
 LEAF_SHINGLES, LEAF_POINTS = 1 << 15, 256
 BOX_GROUPS, POINT_GROUPS = 1 << 16, 64
+CHUNK_BYTES = 1 << 18
 _U = np.uint64
 
 
@@ -87,7 +88,7 @@ def sets(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _points(percent: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, held in _text.chunks(b.column(2).to_pylist(), lower=False):
+            for first, held in _text.chunks(b.column(2).to_pylist(), CHUNK_BYTES, lower=False):
                 s, offsets = sets(held)
                 n = np.diff(offsets)
                 take = asked(n, percent)
@@ -119,7 +120,7 @@ def _with_company(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for first, held in _text.chunks(b["text"].tolist(), lower=False):
+        for first, held in _text.chunks(b["text"].tolist(), CHUNK_BYTES, lower=False):
             s, offsets = sets(held)
             yield pd.DataFrame({"node": b["node"].iloc[first : first + len(held)].array, "vector": [s[x:y].view(np.int64) for x, y in zip(offsets[:-1], offsets[1:], strict=True)]})
 
@@ -307,7 +308,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("key"), text.alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    signed = own.mapInArrow(_points(percent), f"id {kind}, key string, n long, least array<bigint>")
+    signed = own.mapInArrow(trimmed(_points(percent)), f"id {kind}, key string, n long, least array<bigint>")
     signed = written(signed.withColumn("row", F.monotonically_increasing_id()), "points")
     texts = checkpointed(signed.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.min("id").alias("id")))
     size = 120 * texts.count()

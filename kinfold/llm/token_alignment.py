@@ -46,14 +46,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._work import BROADCAST_BYTES, written
+from ._work import BROADCAST_BYTES, trimmed, written
 
 #: Where the public vocabulary files lie; every executor reads them there.
 FILES = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Fixed value: the pattern that cuts a text before the byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK_BYTES, TOGETHER = 4 << 20, 64
+CHUNK_BYTES, TOGETHER = 1 << 19, 64
 ID_BITS = 20
 HOT = 1024
 PAIR_BYTES = 32
@@ -90,21 +90,28 @@ class Side:
 
 def byte_side(path: str) -> Side:
     """The byte-level file. Its merges are those of the ids' order (which is checked), so that a faster library gives the same tokens; that one fails on long white space, which the file's own library reads."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tiktoken
-    from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    model = json.loads(tok.to_str())["model"]
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
     chars, names = byte_level(), {i: t for t, i in model["vocab"].items()}
     if any(names[256 + k] != "".join(m.split(" ") if isinstance(m, str) else m) for k, m in enumerate(model["merges"])):
         raise ValueError("ids aren't in the order of the merges")
     tokens = [bytes(chars[c] for c in names[i]) if i in names and set(names[i]) <= chars.keys() else b"" for i in range(max(names) + 1)]
     fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens[: 256 + len(model["merges"])])}, special_tokens={})
+    own = []
+
+    def slow(text: str) -> list[int]:
+        if not own:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            own.append(Tokenizer.from_file(path))
+            own[0].encode_special_tokens = True
+        return own[0].encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [tok.encode_batch_fast([f" {t}"], add_special_tokens=False)[0].ids if _LONG_BLANK.search(t) else fast.encode_ordinary(f" {t}") for t in texts]
+        return [slow(f" {t}") if _LONG_BLANK.search(t) else fast.encode_ordinary(f" {t}") for t in texts]
 
     return Side(encode, tokens)
 
@@ -137,12 +144,12 @@ def _cut(texts: list[str]) -> tuple[list[list[str]], list[str], int, np.ndarray]
     return cut, list(place), len(place) - len(odd), np.fromiter(map(place.__getitem__, itertools.chain.from_iterable(cut)), np.int64)
 
 
-def _tokenised(byte_path: str, piece_path: str):  # noqa: ANN202
+def _tokenised(byte_path: str, piece_path: str, chunk_bytes: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = byte_side(byte_path), piece_side(piece_path)
         for b in batches:
             own, texts = b.columns
-            for first, held in _text.chunks(texts.to_pylist(), CHUNK_BYTES, lower=False):
+            for first, held in _text.chunks(texts.to_pylist(), chunk_bytes, lower=False):
                 cut, pieces, plain, codes = _cut([t.decode("utf-8", "surrogatepass") for t in held])
                 of = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
                 known = [s.pieces(pieces, plain) for s in sides]
@@ -171,7 +178,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     own = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"))
     kind = own.schema["own"].dataType.simpleString()
     ints = ", ".join(f"{c} array<int>" for c in ("ids_a", "ends_a", "ids_b", "ends_b", "piece_ends"))
-    return own.mapInArrow(_tokenised(f"{files}/{BYTE_BPE}", f"{files}/{PIECE_BPE}"), f"own array<{kind}>, codes array<array<int>>, {ints}")
+    return own.mapInArrow(trimmed(_tokenised(f"{files}/{BYTE_BPE}", f"{files}/{PIECE_BPE}", CHUNK_BYTES)), f"own array<{kind}>, codes array<array<int>>, {ints}")
 
 
 def _upto(merged: str) -> Column:
