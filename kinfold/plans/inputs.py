@@ -33,7 +33,6 @@ SKILL_SQL = {
     "posterize_7": "list_transform({0}, lambda v: (v // 2) * 2)",
     "brightness_add_10": "list_transform({0}, lambda v: least(v + 10, 255))",
 }
-OUT_SQL = PROBES_SQL + ", outs AS (" + " UNION ALL ".join(f"SELECT probe_id, '{s}' AS skill, {SKILL_SQL[s].format('px')} AS px FROM probes" for s in USED) + ")"
 QUAD = "list_transform([{0}], lambda i: CAST({1}[i] AS DOUBLE))"
 _q = lambda r, c: ", ".join(str(8 * y + x + 1) for y in range(r, r + 4) for x in range(c, c + 4))
 
@@ -51,12 +50,24 @@ def cosine_sql(a: str, b: str) -> str:
 
 
 DIFF = "list_transform(range(1, 65), lambda i: abs({0}[i] - {1}[i]))"
-DIST_SQL = (
-    OUT_SQL
-    + ", feats AS (SELECT *, " + quadrants_sql("px") + " AS q FROM outs), "
-    + "dists AS (SELECT x.probe_id, x.skill AS a, y.skill AS b, list_max(" + DIFF.format("x.px", "y.px") + ") / 255.0 AS l_inf, list_sum(" + DIFF.format("x.px", "y.px") + ") / (64 * 255.0) AS perceptual, "
-    + cosine_sql("x.q", "y.q") + " AS semantic, x.px = y.px AS same FROM feats x JOIN feats y ON x.probe_id = y.probe_id AND x.skill < y.skill)"
-)
+
+
+def out_sql(skills: dict[str, str]) -> str:
+    """The tables ``probes`` and ``outs`` of functions given as expressions of ``{0}``."""
+    return PROBES_SQL + ", outs AS (" + " UNION ALL ".join(f"SELECT probe_id, '{s}' AS skill, {sql.format('px')} AS px FROM probes" for s, sql in skills.items()) + ")"
+
+
+def dist_sql(skills: dict[str, str]) -> str:
+    """Those and ``dists``, what the outputs of each pair differ by."""
+    return (
+        out_sql(skills) + ", feats AS (SELECT *, " + quadrants_sql("px") + " AS q FROM outs), "
+        + "dists AS (SELECT x.probe_id, x.skill AS a, y.skill AS b, list_max(" + DIFF.format("x.px", "y.px") + ") / 255.0 AS l_inf, list_sum(" + DIFF.format("x.px", "y.px") + ") / (64 * 255.0) AS perceptual, "
+        + cosine_sql("x.q", "y.q") + " AS semantic, x.px = y.px AS same FROM feats x JOIN feats y ON x.probe_id = y.probe_id AND x.skill < y.skill)"
+    )
+
+
+OUT_SQL = out_sql({s: SKILL_SQL[s] for s in USED})
+DIST_SQL = dist_sql({s: SKILL_SQL[s] for s in USED})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries that execute functions: rows without a DuckDB twin."""
+"""Queries that execute functions."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import execute
 from ..sources import probes
-from . import curation, downstream, inputs
+from . import downstream, inputs, live
 from .inputs import table
 from .queries import query
 
@@ -72,11 +72,55 @@ def downstream_success(spark: SparkSession, d: str) -> DataFrame:
     return expected.unionByName(keyword).select("solver", "query_id", "split", "status", "predicates_ok", "success")
 
 
-@query("curation_episodes")
+_GRID_SQL = {"posterize": "list_transform({0}, lambda v: (v // CAST(pow(2, 8 - {1}) AS INT)) * CAST(pow(2, 8 - {1}) AS INT))", "brightness_add": "list_transform({0}, lambda v: least(v + {1}, 255))"}
+_LIBRARY = (*inputs.USED, *live.GRIDS, "custom")
+_NAMES = "CASE {0} " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate((*_LIBRARY, "nowhere"))) + " END"
+_ACTIONS = f"""SELECT concat(CAST(user_id AS STRING), '-', CAST(event_id % 7 AS STRING)) AS episode, event_id AS step,
+    CASE event_type WHEN 'click' THEN 'merge' WHEN 'signup' THEN 'parameterize' WHEN 'view' THEN 'modify' WHEN 'purchase' THEN CASE WHEN value < 20 THEN 'remove' ELSE 'parameterize' END ELSE CASE WHEN value < 100 THEN 'keep' ELSE 'end' END END AS kind,
+    {_NAMES.format(f"CAST((event_id * 5 + user_id) % {len(_LIBRARY) + 1} AS INT)")} AS x_id, {_NAMES.format(f"CAST((event_id * 3 + user_id * 2) % {len(_LIBRARY) + 1} AS INT)")} AS y_id,
+    CASE WHEN event_id % 2 = 0 THEN props END AS description FROM {{0}}"""
+_BUDGET = 12
+
+
+def _episodes_sql() -> str:
+    own = {s: inputs.SKILL_SQL[s] for s in inputs.USED} | {s: _GRID_SQL[s].format("{0}", g.default) for s, g in live.GRIDS.items()}
+    bound = [f"SELECT probe_id, '{s}' AS skill, 0 AS k, CAST(NULL AS VARCHAR) AS name, true AS own, {inputs.SKILL_SQL[s].format('px')} AS px FROM probes" for s in inputs.USED]
+    bound += [f"SELECT probe_id, '{s}', {k}, '{g.param}={v}', {v == g.default}, {_GRID_SQL[s].format('px', v)} FROM probes" for s, g in live.GRIDS.items() for k, v in enumerate(g.values)]
+    grids = ", ".join(f"'{s}'" for s in live.GRIDS)
+    best = lambda side, other: f"coalesce(min_by(h.name_{side}, h.{side}) FILTER (h.ok AND h.own_{other}), max(h.name_{side}) FILTER (h.own_{side}))"
+    known = lambda x: f"(a.{x}_id <> 'nowhere' AND NOT list_contains(r.gone, a.{x}_id))"
+    return f"""WITH RECURSIVE {inputs.dist_sql(own)},
+    m AS (SELECT a, b, max(l_inf) AS l_inf, max(perceptual) AS perceptual, bool_and(same) AS identical, quantile_cont(semantic, 0.9) AS semantic_q, avg(semantic) AS semantic_mean FROM dists GROUP BY a, b),
+    bound AS ({" UNION ALL ".join(bound)}),
+    h AS (SELECT x.skill AS a, y.skill AS b, x.k AS i, y.k AS j, x.name AS name_i, y.name AS name_j, x.own AS own_i, y.own AS own_j, bool_and(list_max({inputs.DIFF.format("x.px", "y.px")}) / 255.0 <= 1 / 255.0) AS ok
+        FROM bound x JOIN bound y ON x.probe_id = y.probe_id AND x.skill < y.skill AND (x.skill IN ({grids}) OR y.skill IN ({grids})) GROUP BY ALL),
+    way AS (SELECT a, b, (SELECT bool_and(o) FROM (SELECT bool_or(ok) AS o FROM h p WHERE p.a = h.a AND p.b = h.b GROUP BY p.i)) AS a_found, (SELECT bool_and(o) FROM (SELECT bool_or(ok) AS o FROM h p WHERE p.a = h.a AND p.b = h.b GROUP BY p.j)) AS b_found,
+        {best("i", "j")} AS binding_a, {best("j", "i")} AS binding_b FROM h GROUP BY a, b),
+    judged AS (SELECT m.a, m.b, binding_a, binding_b, CASE WHEN way.a IS NULL THEN NULL WHEN a_found AND b_found THEN 'MUTUAL_EXACT' WHEN a_found THEN 'B_SUBSUMES_A' WHEN b_found THEN 'A_SUBSUMES_B' ELSE 'NONE' END AS d, m.* EXCLUDE (a, b) FROM m LEFT JOIN way ON m.a = way.a AND m.b = way.b),
+    told AS (SELECT a, b, binding_a, binding_b, d, CASE WHEN d IS NULL AND (identical OR l_inf <= 1 / 255.0) THEN 'EXACT' WHEN d IS NULL AND perceptual <= 0.045 THEN 'PERCEPTUAL' WHEN d IS NULL AND perceptual <= 0.055 THEN 'UNCERTAIN' WHEN d = 'MUTUAL_EXACT' THEN 'EXACT'
+        WHEN d IN ('A_SUBSUMES_B', 'B_SUBSUMES_A') THEN 'SUBSUMPTION' WHEN semantic_q <= 0.135 AND semantic_mean <= 0.15 THEN 'SEMANTIC_PRESERVING' WHEN semantic_q <= 0.165 THEN 'UNCERTAIN' ELSE 'DISTINCT' END AS relation FROM judged),
+    both_ways AS (SELECT a AS x, b AS y, relation, d = 'B_SUBSUMES_A' AS inside, binding_b AS binding FROM told UNION ALL SELECT b, a, relation, d = 'A_SUBSUMES_B', binding_a FROM told),
+    acts AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY step) AS nth FROM ({_ACTIONS.format("events").replace("STRING", "VARCHAR")})),
+    run AS (
+        SELECT episode, CAST(0 AS BIGINT) AS nth, CAST([] AS VARCHAR[]) AS gone, CAST(NULL AS BIGINT) AS step, CAST('' AS VARCHAR) AS kind, CAST('' AS VARCHAR) AS status, CAST('' AS VARCHAR) AS x_id, CAST('' AS VARCHAR) AS y_id, CAST(NULL AS VARCHAR) AS relation, CAST(NULL AS VARCHAR) AS binding, 0 AS size_before, 0 AS size_after FROM acts WHERE nth = 1
+        UNION ALL
+        SELECT episode, nth, CASE WHEN status = 'applied' AND kind IN ('merge', 'parameterize', 'remove') THEN list_append(gone, x_id) ELSE gone END, step, kind, status, x_id, y_id, CASE WHEN status IN ('applied', 'rejected') AND kind IN ('merge', 'parameterize') THEN relation END, CASE WHEN status = 'applied' AND kind = 'parameterize' THEN binding END,
+            CAST({len(_LIBRARY)} - len(gone) AS INT), CAST({len(_LIBRARY)} - len(gone) - CASE WHEN status = 'applied' AND kind IN ('merge', 'parameterize', 'remove') THEN 1 ELSE 0 END AS INT)
+        FROM (SELECT r.episode, a.nth, r.gone, a.step, a.kind, a.x_id, a.y_id, v.relation, v.binding, CASE
+            WHEN a.kind IN ('merge', 'parameterize') AND NOT ({known("x")} AND {known("y")} AND a.x_id <> a.y_id) THEN 'invalid'
+            WHEN a.kind IN ('merge', 'parameterize') AND 'custom' IN (a.x_id, a.y_id) THEN 'blocked'
+            WHEN a.kind = 'merge' THEN CASE WHEN v.relation IN ('EXACT', 'PERCEPTUAL') THEN 'applied' ELSE 'rejected' END
+            WHEN a.kind = 'parameterize' THEN CASE WHEN v.relation = 'SEMANTIC_PRESERVING' OR (v.relation = 'SUBSUMPTION' AND v.inside) THEN 'applied' ELSE 'rejected' END
+            WHEN a.kind IN ('remove', 'modify') AND NOT {known("x")} THEN 'invalid' WHEN a.kind = 'remove' OR (a.kind = 'modify' AND a.description IS NOT NULL) THEN 'applied' ELSE 'noop' END AS status
+            FROM run r JOIN acts a ON a.episode = r.episode AND a.nth = r.nth + 1 LEFT JOIN both_ways v ON v.x = a.x_id AND v.y = a.y_id WHERE r.kind <> 'end' AND r.nth < {_BUDGET}))
+    SELECT episode, step, kind, status, x_id AS "primary", y_id AS "secondary", relation, binding, size_before, size_after FROM run WHERE nth > 0"""
+
+
+@query("curation_episodes", _episodes_sql())
 def curation_episodes(spark: SparkSession, d: str) -> DataFrame:
-    """Every user's events as an episode against one library of six functions."""
-    skills = {f"f{i}": {"trusted": i != 5} for i in range(6)}
-    verdicts = {("f0", "f1"): ("EXACT", "NONE"), ("f2", "f3"): ("SUBSUMPTION", "B_SUBSUMES_A"), ("f0", "f4"): ("DISTINCT", "NONE")}
-    e = table(spark, d, "events")
-    actions = e.select(F.col("user_id").cast("string").alias("episode"), F.col("event_id").alias("step"), F.expr(inputs.KIND).alias("kind"), F.concat(F.lit("f"), (F.col("event_id") % 6).cast("string")).alias("primary"), F.concat(F.lit("f"), (F.col("event_id") % 5 + 1).cast("string")).alias("secondary"))
-    return curation.run_episodes(actions, skills, verdicts, 40)
+    """Users' events as episodes against a library of functions on probes, judged on all embeddings as the actions come up."""
+    table(spark, d, "events").createOrReplaceTempView("_kinfold_events")
+    acts = spark.sql(_ACTIONS.format("_kinfold_events")).withColumnsRenamed({"x_id": "primary", "y_id": "secondary"})
+    skills = {s: {"trusted": s != "custom"} for s in _LIBRARY}
+    done = live.run_rounds(acts, skills, live.probe_judge(inputs.battery(spark, d)), _BUDGET)
+    return done.log.select("episode", "step", "kind", "status", "primary", "secondary", "relation", "binding", "size_before", "size_after")
