@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was measured to hold at most this many bytes.
@@ -69,6 +69,11 @@ def small_side(df: DataFrame, size: int) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def whole_row(df: DataFrame, name: str = "row") -> Column:
+    """All columns as one struct, whatever they are called."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._work import checkpointed, small_side, trimmed, written
+from ._work import checkpointed, small_side, trimmed, whole_row, written
 
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
@@ -269,7 +269,7 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     """``docs`` with one document of each class. All columns stay as they are."""
     found = near_duplicates(docs, id_col, text_col, threshold).where("class_size > 1")
     found = checkpointed(found.select(F.struct("key", "stays", "min_id", "n").alias("found")))
-    keyed = docs.select(F.struct(F.col(id_col).alias("id"), _key(F.col(text_col)).alias("key")).alias("own"), F.struct(*docs.columns).alias("row"))
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), _key(F.col(text_col)).alias("key")).alias("own"), whole_row(docs))
     marked = keyed.join(small_side(found, 96 * found.count()), F.col("own.key") == F.col("found.key"), "left")
     kept = marked.where(F.col("found.stays").isNull() | (F.col("found.stays") & F.col("own.id").eqNullSafe(F.col("found.min_id"))))
     single = kept.where(F.coalesce(F.col("found.n"), F.lit(1)) == 1)

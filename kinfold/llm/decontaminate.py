@@ -10,12 +10,17 @@ near, each block of a window is looked up once, and so none is missed. The
 entries of an item are 1,811 at the radius of 19; of unrelated windows and
 items of one length nearly one pair in four meets and is told apart by its bits.
 
-A window can reach the threshold only if it shares a shingle with the item,
-so windows are laid where a shingle of the document is one of the item's, one
-window for each distinct alignment: fingerprints of all other windows could
-only lead to candidates that the last step refuses. Words are runs without ASCII white space,
-compared in lower case. Items of fewer than five words have one shingle of all
-their words and windows of that many words.
+Windows are laid where they can reach the threshold: a window that does must
+hold so many places whose shingle is one of the item's, in whatever order they
+stand, and moved on to the first of these it loses nothing and keeps its size.
+So a window starts at each such place that has enough others within the item's
+length; rearranged, shortened and interspersed items have theirs as well as
+verbatim ones. Places are found by a join on shingles, windows and items by
+their fingerprints. All other windows' fingerprints, which SQL functions can't
+afford to make, could only lead to candidates that the last step refuses.
+Words are runs without ASCII white space, compared in lower case. Items of
+fewer than five words have one shingle of all their words and windows of that
+many words.
 
 Defined cases: null texts count as empty; empty items match nothing; empty
 documents are clean; an empty benchmark leaves all documents clean; rows that
@@ -27,10 +32,10 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._work import checkpointed, small_side
+from ._work import checkpointed, small_side, whole_row
 
 WORDS, THRESHOLD = 5, 0.8
 BITS, RADIUS, BLOCKS = 64, 19, 5
@@ -91,14 +96,14 @@ def weighted_similarity(a: Column, b: Column) -> Column:
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """A row per found window: id, key (hash of the text), item, start, words, similarity."""
+    """A row per found window that the item's windows next to it don't better: id, key (hash of the text), item, start, words, similarity."""
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"radius must be from 0 to {RADIUS}")
     known = items.select(F.col(item_col).alias("item"), words_of(F.col(item_text)).alias("w")).where(F.size("w") > 0)
     known = known.select("item", F.size("w").alias("n_words"), shingles_of(F.col("w")).alias("item_shingles"))
     known = checkpointed(known.withColumn("item_print", simhash(F.col("item_shingles"))))
     n_items, n_shingles = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("item_shingles")), F.lit(0))).first()
-    anchors = known.select(F.posexplode_outer("item_shingles").alias("item_at", "h"), "n_words").groupBy("h").agg(F.collect_set(F.struct("item_at", "n_words")).alias("laid"))
+    anchors = known.select(F.explode_outer("item_shingles").alias("h"), "n_words").groupBy("h").agg(F.collect_set("n_words").alias("lengths"))
     words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), words_of(F.col(text_col)).alias("w"))
     few = [r[0] for r in known.where(F.col("n_words") < WORDS).select("n_words").distinct().collect()]  # four numbers at most
     shingles = words.select("id", "key", shingles_of(F.col("w")).alias("s"))
@@ -106,8 +111,12 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         shingles = shingles.union(words.select("id", "key", shingles_of(F.col("w"), size)))
     # outer: of an inner one the optimizer infers a filter that repeats the whole expression, once for each word
     placed = shingles.select("id", "key", F.posexplode_outer("s").alias("at", "h")).join(small_side(anchors, 64 * n_shingles), "h")
-    starts = placed.select("id", "key", F.explode("laid").alias("l"), "at").select("id", "key", F.greatest(F.col("at") - F.col("l.item_at"), F.lit(0)).alias("start"), F.col("l.n_words").alias("n_words")).distinct()
-    windows = starts.groupBy("id", "key").agg(F.collect_set(F.struct("start", "n_words")).alias("windows"))
+    places = placed.select("id", "key", F.explode("lengths").alias("n_words"), "at").groupBy("id", "key", "n_words").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    size = F.greatest(F.col("n_words") - WORDS + 1, F.lit(1))
+    others = F.greatest(F.ceil(size * threshold), F.lit(1)).cast("int") - 1
+    # The last of enough places lies within the window that starts at x.
+    starts = places.withColumns({"size": size, "others": others}).select("id", "key", "n_words", F.filter("at", lambda x, i: F.get("at", i + F.col("others")) < x + F.col("size")).alias("starts")).where(F.size("starts") > 0)
+    windows = starts.groupBy("id", "key").agg(F.flatten(F.collect_list(F.transform("starts", lambda x: F.struct(x.alias("start"), F.col("n_words").alias("n_words"))))).alias("windows"))
     windows = checkpointed(windows)
     n_windows = windows.agg(F.coalesce(F.sum(F.size("windows")), F.lit(0))).first()[0]
     with_text = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(text_col).alias("d_key"), F.col(text_col).alias("d_text"))
@@ -135,7 +144,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     same = F.col("met_item").eqNullSafe(F.col("item")) & (F.col("met_words") == F.col("item_words")) & (F.col("met_print") == F.col("item_print"))
     near = met.join(small_side(texts, 64 * n_items + 8 * n_shingles), same)
     found = near.withColumn("similarity", weighted_similarity(F.col("shingles"), F.col("item_shingles"))).where(F.col("similarity") >= threshold)
-    return found.select("id", "key", "item", "start", F.col("n_words").alias("words"), "similarity")
+    found = found.select("id", "key", "item", "start", F.col("n_words").alias("words"), "similarity")
+    beside = Window.partitionBy("id", "key", "item").orderBy("start")  # windows of one item in one text
+    better = lambda f: F.coalesce((f("similarity").over(beside) > F.col("similarity")) & (F.abs(f("start").over(beside) - F.col("start")) < F.col("words")), F.lit(False))
+    return found.withColumn("_less", better(F.lag) | better(F.lead)).where(~F.col("_less")).drop("_less")
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
@@ -153,6 +165,6 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """``docs`` without those that hold an item. All columns stay as they are."""
     found = leaks(docs, items, id_col, text_col, **how)
     found = checkpointed(found.select("id", "key").distinct())
-    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key")).alias("_kf"), F.struct(*docs.columns).alias("row"))
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key")).alias("_kf"), whole_row(docs))
     same = F.col("_kf.id").eqNullSafe(F.col("id")) & (F.col("_kf.key") == F.col("key"))
     return keyed.join(small_side(found, 32 * found.count()), same, "left_anti").select("row.*")

@@ -23,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._work import checkpointed, small_side, written
+from ._work import checkpointed, small_side, whole_row, written
 
 FIRST_CHARS = 48
 GROWTH = 16
@@ -48,7 +48,7 @@ def _split(docs: DataFrame, id_col: str, text_col: str, carry: Column, first_cha
     """Tables of id, ``carry``, and for members of groups keep_id, n, round and gid (its group in that round); row_no tells rows of a round apart."""
     text = F.coalesce(F.col("_kf.text"), F.lit(""))
     head = F.translate(F.substring(text, 1, first_chars), string.ascii_uppercase, string.ascii_lowercase)
-    own = docs.select(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row")).alias("_kf"))
+    own = docs.select(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text"), whole_row(docs)).alias("_kf"))
     keyed = own.select(F.col("_kf.id").alias("id"), F.octet_length(text).alias("bytes"), F.char_length(text).alias("chars"), head.alias("digit"), text.alias("text"), F.col("_kf.row").alias("row"))
     found, size, more = _groups(keyed.drop("text", "row"), ["bytes", "digit"], first_chars)
     rest = F.when(F.col("next_gid").isNotNull() & (F.col("chars") > first_chars), F.substring(normalised(F.col("text")), first_chars + 1, 1 << 30))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._work import checkpointed, small_side
+from ._work import checkpointed, small_side, whole_row
 
 BOUND = 3.0
 SHIFTS = 64
@@ -114,7 +114,7 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, bound
     tries = rated(docs.select(own.alias("_kf"))).groupBy("_kf.source").agg(F.max("_kf_dual.target").alias("t"), *(F.sum(copies(F.lit(k / SHIFTS)) * F.col("_kf.size")).alias(f"k{k}") for k in range(SHIFTS)))
     missed = F.array(*(F.struct(F.abs(F.col(f"k{k}") - F.col("t")).alias("off"), F.lit(k / SHIFTS).alias("shift")) for k in range(SHIFTS)))
     shifts = checkpointed(tries.select(F.struct("source", F.array_min(missed)["shift"].alias("shift")).alias("_kf_shift")))
-    out = rated(docs.select(own.alias("_kf"), F.struct(*docs.columns).alias("_kf_row"))).join(small_side(shifts, 64 * sources), F.col("_kf.source").eqNullSafe(F.col("_kf_shift.source")))
+    out = rated(docs.select(own.alias("_kf"), whole_row(docs, "_kf_row"))).join(small_side(shifts, 64 * sources), F.col("_kf.source").eqNullSafe(F.col("_kf_shift.source")))
     told = F.struct("_kf.source", "_kf.size", "_kf_dual.source_size", "_kf_dual.target", F.col("_kf_rate").alias("rate"), copies(F.col("_kf_shift.shift")).alias("copies"))
     return out.withColumn("_kf", told).drop("_kf_dual", "_kf_rate", "_kf_shift")
 
