@@ -53,7 +53,7 @@ FILES = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Fixed value: the pattern that cuts a text before the byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK_BYTES, TOGETHER = 1 << 19, 64
+CHUNK_BYTES, TOGETHER = 1 << 17, 64
 ID_BITS = 20
 HOT = 1024
 PAIR_BYTES = 32
