@@ -23,8 +23,8 @@ of its rarest least coordinates, as many as leave too few others for a link;
 then it takes the leaf's whole box, its points and at last their sets.
 
 What is linked by then needs no other link: a leaf joins with itself first;
-then of each component the first document of a coordinate is compared with the
-first of all; and only coordinates that still hold several components call for
+then of each component one document is compared with each hub, the document
+with most company among those of a coordinate; and only coordinates that still hold several components call for
 visits, in which documents of one component aren't compared. So a group of
 copies gives a handful of rows and comparisons, not all its pairs. Documents
 that share many least coordinates and yet stay below the threshold are
@@ -274,21 +274,23 @@ def linked_texts(points: DataFrame, docs: DataFrame, percent: int = PERCENT) ->
         """Coordinates that hold several components."""
         rows = coordinates.join(small_side(comps, 32 * n_kept), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         rows = rows.join(small_side(of_leaf, 32 * n_kept), "node")
-        several = rows.groupBy("coordinate").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("node").alias("first")).where("c0 <> c1")
-        return written(rows.join(several.select("coordinate", "first"), "coordinate"), "several")
+        several = rows.groupBy("coordinate").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n_points")).where("c0 <> c1")
+        return written(rows.join(several.select("coordinate", "n_points"), "coordinate"), "several")
 
-    # The first of each component in a coordinate against the first of all.
+    # Of each component the point that shares most coordinates with a hub, the point with most company among those of a coordinate.
     rows = told(comps)
-    star = rows.groupBy("coordinate", "comp").agg(F.min("node").alias("b"), F.min("first").alias("a")).where("a <> b").select("a", "b").distinct()
+    company = checkpointed(rows.groupBy("node").agg(F.sum("n_points").alias("company")))
+    hubs = rows.join(small_side(company, 32 * n_kept), "node").groupBy("coordinate").agg(F.max(F.struct("company", "node", "comp")).alias("hub"))
+    met = rows.join(hubs, "coordinate").where("comp <> hub.comp").groupBy("comp", "node", F.col("hub.node").alias("a")).agg(F.count(F.lit(1)).alias("k"), F.first("enough").alias("enough"))
+    star = met.where("k >= enough").groupBy("comp", "a").agg(F.max(F.struct("k", "node")).alias("b")).select("a", F.col("b.node").alias("b"))
     left = star.join(each.select(F.col("node").alias("a"), F.col("vector").alias("vector_a")), "a")
     both = left.join(each.select(F.col("node").alias("b"), F.col("vector").alias("vector_b")), "b")
     found = written(found.unionByName(both.mapInPandas(trimmed(_verified(percent)), "a long, b long")), "star-links")
     comps = checkpointed(components(found))
     # Visits: leaves that have one of a query's rarest coordinates, so many that the others can't be enough.
     rows = told(comps)
-    common = rows.groupBy("coordinate").agg(F.count(F.lit(1)).alias("n_points"))
     of_node = Window.partitionBy("node")  # a document's least coordinates
-    ranked = rows.join(common, "coordinate").withColumn("nth", F.row_number().over(of_node.orderBy("n_points", "coordinate"))).withColumn("reach", F.count(F.lit(1)).over(of_node))
+    ranked = rows.withColumn("nth", F.row_number().over(of_node.orderBy("n_points", "coordinate"))).withColumn("reach", F.count(F.lit(1)).over(of_node))
     rare = ranked.where(F.col("nth") <= F.col("reach") - F.col("enough") + 1)
     boxes = rows.select("coordinate", F.col("leaf").alias("at")).distinct()
     visits = rare.select("coordinate", "node", "comp", "leaf").join(boxes, "coordinate").where(F.col("at") > F.col("leaf"))
