@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import execute
+from ..functions import images
+from ..operators import execute, instances, planning
 from ..sources import probes
 from . import downstream, inputs, live
 from .inputs import table
@@ -72,6 +76,69 @@ def downstream_success(spark: SparkSession, d: str) -> DataFrame:
     return expected.unionByName(keyword).select("solver", "query_id", "split", "status", "predicates_ok", "success")
 
 
+def _plans(spark: SparkSession, ids: list[str], rhos: list[float], seeds: list[int]) -> DataFrame:
+    numeric = lambda x: sum(p.type in ("int", "float") for p in x.params)
+    library = pd.DataFrame([(k, len(images.LIBRARY[k].params), numeric(images.LIBRARY[k])) for k in ids], columns=["id", "n_params", "numeric_params"])
+    return planning.corruption_grid(spark, library, rhos, list(planning.COMPOSITIONS), seeds)
+
+
+@query("corruption_instances")
+def corruption_instances(spark: SparkSession, d: str) -> DataFrame:
+    """The 300 instances of the geometric functions, every defect checked on all embeddings; ``runs`` of distinct functions and probes where instances one by one ask for ``asked``."""
+    library = {k: x for k, x in images.LIBRARY.items() if x.family == "geometric"}
+    plans = _plans(spark, list(library), [round(0.1 * k, 1) for k in range(1, 11)], [0, 1, 2, 3, 4])
+    done, how = instances.generate(plans, _grey_probes(spark, d), library)
+    return instances.manifests(done, len(library)).select("*", F.lit(how["functions"]).alias("functions"), F.lit(how["runs"]).alias("runs"), F.lit(how["asked"]).alias("asked"))
+
+
+_FEW = {"rhos": [0.5, 1.0], "seeds": [3, 7]}
+
+
+def _defects_sql() -> str:
+    """The same checks value by value: moves of the 64 places, the changes that defects make, and what they come to on every probe."""
+    library = {k: images.LIBRARY[k] for k in _AT}
+    frame = pd.DataFrame([(k, 0, 0) for k in library], columns=["id", "n_params", "numeric_params"])
+    grid = [(m, c, r, n) for m in ("single", "mixed") for c in planning.COMPOSITIONS for r in _FEW["rhos"] for n in _FEW["seeds"]]
+    rows = pd.concat([instances.resolved((m, c, r, n), planning.plan_instance(frame, r, c, n, m), library) for m, c, r, n in grid])
+
+    def moved(px: str, at: str) -> str:
+        return f"list_transform([{', '.join(str(eval(at, {'r': i // 8, 'c': i % 8})) for i in range(64))}], lambda i: {px}[i + 1])"  # noqa: S307  the fixed expressions above
+
+    changes = {"roll_h": lambda px: moved(px, "8 * ((r - 1) % 8) + c"), "roll_w": lambda px: moved(px, "8 * r + (c - 1) % 8"), "invert_values": lambda px: f"list_transform({px}, lambda v: 255 - v)"}
+    changes |= {"swap_channels": changes["roll_h"], "zero_border": lambda px: f"list_transform(range(0, 64), lambda i: CASE WHEN i // 8 IN (0, 7) OR i % 8 IN (0, 7) THEN 0 ELSE {px}[i + 1] END)"}
+
+    def ctes(text: str, n: int) -> list[tuple[str, str]]:
+        base, steps, _ = json.loads(text)
+        out = [(f"f{n}_0", f"SELECT probe_id, {moved('px', _AT[base])} AS px FROM probes")]
+        for kind, detail in steps:
+            px, last = "px", out[-1][0]
+            if kind == "bug":
+                sql = changes[detail["mutator"]](px) if detail["domain"] in ("", "grayscale") else px
+            else:
+                sql = moved(px, _AT[detail]) if kind == "after" else f"list_transform(range(0, 64), lambda i: least(px[i + 1] + (i // 8 + i % 8) % 2, 255))"
+            out.append((f"f{n}_{len(out)}", f"SELECT probe_id, {sql} AS px FROM {last}"))
+        return out
+
+    texts = sorted({t for c in ("clean", "made") for t in rows[c]})
+    tables, final = [], []
+    for n, t in enumerate(texts):
+        tables += ctes(t, n)
+        final.append(f"SELECT {n} AS f, probe_id, px FROM {tables[-1][0]}")
+    place = {t: n for n, t in enumerate(texts)}
+    pairs = ", ".join(f"({a}, {b})" for a, b in sorted({(place[r["clean"]], place[r["made"]]) for r in rows.to_dict("records")}))
+    values = ", ".join(f"('{r['mode']}', '{r['composition']}', {r['rho']}, {r['seed']}, '{r['type']}', '{r['site_id']}', '{r['new_id']}', {place[r['clean']]}, {place[r['made']]})" for r in rows.to_dict("records"))
+    return f"""WITH {inputs.PROBES_SQL}, {", ".join(f"{name} AS ({sql})" for name, sql in tables)}, f AS ({" UNION ALL ".join(final)}),
+        c AS (SELECT a, b, count(*) AS n_probes, count(*) FILTER (WHERE x.px = y.px) AS n_same, count(*) FILTER (WHERE list_max({inputs.DIFF.format("x.px", "y.px")}) <= 1) AS n_near FROM (VALUES {pairs}) p(a, b) JOIN f x ON x.f = p.a JOIN f y ON y.f = p.b AND y.probe_id = x.probe_id GROUP BY a, b)
+        SELECT mode, composition, CAST(rho AS DOUBLE) AS rho, seed, type, site_id, new_id, n_probes, n_same, n_near FROM (VALUES {values}) d(mode, composition, rho, seed, type, site_id, new_id, x, y) JOIN c ON c.a = d.x AND c.b = d.y"""
+
+
+@query("corruption_defects", _defects_sql())
+def corruption_defects(spark: SparkSession, d: str) -> DataFrame:
+    """What the defects on six functions that move pixels come to on all embeddings."""
+    done, _ = instances.generate(_plans(spark, list(_AT), _FEW["rhos"], _FEW["seeds"]), _grey_probes(spark, d), images.LIBRARY)
+    return done.select("mode", "composition", "rho", "seed", "type", "site_id", "new_id", "n_probes", "n_same", "n_near")
+
+
 _GRID_SQL = {"posterize": "list_transform({0}, lambda v: (v // CAST(pow(2, 8 - {1}) AS INT)) * CAST(pow(2, 8 - {1}) AS INT))", "brightness_add": "list_transform({0}, lambda v: least(v + {1}, 255))"}
 _LIBRARY = (*inputs.USED, *live.GRIDS, "custom")
 _NAMES = "CASE {0} " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate((*_LIBRARY, "nowhere"))) + " END"
