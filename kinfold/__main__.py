@@ -13,9 +13,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import images
-from .operators import corrupt, execute, planning, studies
+from .operators import constraints, corrupt, execute, instances, planning, studies
 from .operators.alignment import Alignment, load_alignment
-from .plans import benchmark, curation, downstream
+from .plans import benchmark, curation, downstream, live
 from .sources import files, probes
 
 
@@ -66,8 +66,22 @@ def run(a: argparse.Namespace, spark: SparkSession) -> dict:
         if a.out:
             files.write_json(a.out, {"plan": plan.to_dict("records"), "ideal": made.ideal, "relations": made.relations, "checks": found})
         return {"defects": len(plan), "added": len(made.added), "checks": found}
+    if a.command == "corrupt-grid":
+        rhos, seeds = [float(x) for x in a.rhos.split(",")], [int(x) for x in a.seeds.split(",")]
+        plans = planning.corruption_grid(spark, _library(), rhos, list(planning.COMPOSITIONS), seeds)
+        done, how = instances.generate(plans, _battery(spark, a), images.LIBRARY)
+        instances.write_artifacts(done, images.LIBRARY, a.out)
+        found = instances.manifests(done, len(images.LIBRARY)).agg(F.count(F.lit(1)).alias("instances"), F.sum("n_defects").alias("defects"), F.sum("n_passed").alias("passed")).first()
+        return found.asDict() | how
     if a.command == "curate":
         actions = json.loads(open(a.actions).read())
+        if not a.truth:  # judged from executed outputs as the actions come up
+            alignment = load_alignment(a.alignment) if a.alignment else Alignment()
+            rows = [("episode", i, *(x.get(k) for k in live.ACTION)) for i, x in enumerate(actions)]
+            acts = spark.createDataFrame(rows, "episode string, step long, " + ", ".join(f"{k} string" for k in live.ACTION))
+            done = live.run_rounds(acts, {i: {} for i in images.LIBRARY}, live.skill_judge(_battery(spark, a), images.LIBRARY, alignment=alignment), a.budget)
+            log = [r.asDict() for r in done.log.orderBy("step").collect()]
+            return {"log": log, "skills": log[-1]["size_after"] if log else len(images.LIBRARY), "judged": done.verdicts.count(), "rounds": done.rounds}
         truth = files.relation_graph(spark, a.truth).collect()
         verdicts = {(r["a"], r["b"]): (r["relation"], "NONE" if r["spec"] is None else "B_SUBSUMES_A" if r["spec"] == r["a"] else "A_SUBSUMES_B") for r in truth}
         library = curation.Library({i: {} for i in images.LIBRARY}, verdicts, budget=a.budget)
@@ -89,8 +103,10 @@ def run(a: argparse.Namespace, spark: SparkSession) -> dict:
         return {name: df.count() for name, df in tables.items()}
     if a.command == "audit":
         rows = files.artifacts(spark, a.paths).collect()
-        files.write_json(a.out, {"artifacts": [r.asDict() for r in rows]})
-        return {"present": sum(r["present"] for r in rows), "asked": len(rows)}
+        tables = {t: spark.read.parquet(p) for t in ("probes", "queries", "instances", "files", "points") if (p := getattr(a, t))}
+        rules = [r.asDict() for r in constraints.audit(**tables).orderBy("table", "name").collect()] if tables else []
+        files.write_json(a.out, {"artifacts": [r.asDict() for r in rows], "rules": rules})
+        return {"present": sum(r["present"] for r in rows), "asked": len(rows), "rules": {k: sum(r["status"] == k for r in rules) for k in constraints.STATUSES}}
     raise ValueError(a.command)
 
 
@@ -114,10 +130,11 @@ def parser() -> argparse.ArgumentParser:
     add("build-queries", ("repeats", int, 1), out=True)
     add("run-benchmark", *shape, ("truth", str, None), ("alignment", str, None), ("config", str, None), ("calibrate", str, None), ("date", str, ""), out=True)
     add("corrupt", *shape, ("rho", float, 0.1), ("composition", str, "uniform"), ("mode", str, "single"))
-    add("curate", ("actions", str, None), ("truth", str, None), ("budget", int, 200), out=None)
+    add("corrupt-grid", *shape, ("rhos", str, "0.1,0.5,1.0"), ("seeds", str, "0"), out=True)
+    add("curate", *shape, ("actions", str, None), ("truth", str, None), ("alignment", str, None), ("budget", int, 200), out=None)
     add("run-downstream", ("repeats", int, 1), ("solver", str, "expected"))
     add("study", ("points", str, None), out=True)
-    add("audit", out=True)
+    add("audit", *((t, str, None) for t in ("probes", "queries", "instances", "files", "points")), out=True)
     commands.choices["audit"].add_argument("paths", nargs="*")
     return p
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import images
-from ..operators import execute, instances, planning
+from ..operators import constraints, execute, instances, planning
 from ..sources import probes
 from . import downstream, inputs, live
 from .inputs import table
@@ -191,3 +191,33 @@ def curation_episodes(spark: SparkSession, d: str) -> DataFrame:
     skills = {s: {"trusted": s != "custom"} for s in _LIBRARY}
     done = live.run_rounds(acts, skills, live.probe_judge(inputs.battery(spark, d)), _BUDGET)
     return done.log.select("episode", "step", "kind", "status", "primary", "secondary", "relation", "binding", "size_before", "size_after")
+
+
+_RULES = (
+    ("documents", "doc_id", "doc_id is there", "row", "doc_id IS NOT NULL", None), ("documents", "doc_id", "doc_id is unique", "unique", "doc_id", None), ("documents", "doc_id", "a document has text", "row", "length(trim(text)) > 0", None),
+    ("documents", "doc_id", "n_chars is right", "row", "n_chars = length(text)", None), ("documents", "doc_id", "the language is known", "row", "lang IN ('en', 'fr', 'de')", None), ("documents", "doc_id", "a document has a source", "row", "length(source) > 0", None),
+    ("documents", "doc_id", "no text is there twice", "unique", "md5(text)", None), ("documents", "doc_id", "no document is a benchmark item", "absent", "md5(trim(text))", ("benchmark", "md5(trim(text))")), ("documents", "doc_id", "a document has a label", "present", "doc_id", ("labels", "doc_id")),
+    ("labels", "doc_id", "a label has its document", "present", "doc_id", ("documents", "doc_id")), ("labels", "doc_id", "a document has one label", "unique", "doc_id", None), ("labels", "doc_id", "labels are 0 or 1", "row", "quality IN (0, 1) AND toxic IN (0, 1)", None), ("labels", "doc_id", "what is toxic isn't good", "row", "NOT (toxic = 1 AND quality = 1)", None),
+    ("pages", "page_id", "page_id is unique", "unique", "page_id", None), ("pages", "page_id", "an address is there once", "unique", "url", None), ("pages", "page_id", "an address is one", "row", "url LIKE 'http%://%'", None), ("pages", "page_id", "a page has a body", "row", "html LIKE '%<body%'", None),
+    ("benchmark", "item_id", "item_id is unique", "unique", "item_id", None), ("benchmark", "item_id", "an item has ten words", "row", "length(text) - length(replace(text, ' ', '')) >= 9", None),
+)
+
+
+def _rules_sql() -> str:
+    def bad(t: str, kind: str, what: str, other: tuple[str, str] | None) -> str:
+        if kind == "row":
+            return f"NOT coalesce(({what}), false)"
+        if kind == "unique":
+            return f"{what} IN (SELECT {what} FROM {t} GROUP BY 1 HAVING count(*) > 1)"
+        return f"{what} {'NOT ' if kind == 'present' else ''}IN (SELECT {other[1]} FROM {other[0]} WHERE {other[1]} IS NOT NULL)"
+
+    sql = lambda s: s.replace("'", "''")
+    return " UNION ALL ".join(f"""SELECT '{sql(name)}' AS name, '{t}' AS "table", '{kind}' AS kind, (SELECT count(*) FROM {t}) AS n_rows, count(*) AS n_bad, CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END AS status, min(CAST({key} AS VARCHAR)) AS least FROM {t} WHERE {bad(t, kind, what, other)}""" for t, key, name, kind, what, other in _RULES)
+
+
+@query("constraint_suite", _rules_sql())
+def constraint_suite(spark: SparkSession, d: str) -> DataFrame:
+    """Nineteen rules over four tables, each read once."""
+    rules = [constraints.Rule(name, t, kind, what, other) for t, _, name, kind, what, other in _RULES]
+    keys = {t: key for t, key, *_ in _RULES}
+    return constraints.report({t: (table(spark, d, t), key) for t, key in keys.items()}, rules).drop("sample")
