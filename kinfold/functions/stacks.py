@@ -10,7 +10,6 @@ the three channels of RGB are equal, so one is counted and repeated.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -37,9 +36,8 @@ def grey3(p: Stack) -> Stack:
 # ---- value by value, and what takes any number of channels ---------------------------------------------------------
 
 
-@lru_cache(1024)
 def _table(id: str, params: tuple, w: int) -> np.ndarray:
-    """What each value becomes in each column: matrix products round the last columns of a row in another way."""
+    """What each value becomes in each column: matrix products round the last columns of a row in another way. Asked anew for each stack and run, so that a second run is one."""
     return L.LIBRARY[id].fn(every(w), **dict(params))
 
 
@@ -329,7 +327,6 @@ def equalize(p: Stack) -> Stack:
     return np.where(first == size, p, np.rint(np.clip((upto - first) * 255.0 / np.maximum(size - first, 1), 0, 255)).astype(np.uint8))
 
 
-@lru_cache(1024)
 def _luma_rounded(w: int) -> np.ndarray:
     return np.rint(K.rgb(every(w)).astype(np.float64) @ np.array(K.BT601)).astype(np.uint8)
 

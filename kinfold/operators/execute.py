@@ -147,10 +147,17 @@ def _zero_border(a: Image) -> Image:
     return out
 
 
+def _swapped(a: Image) -> Image:
+    """The first channel and the last change places: red and blue of RGB, red and alpha of RGBA."""
+    order = list(range(a.shape[2]))
+    order[0], order[-1] = order[-1], order[0]
+    return a[:, :, order]
+
+
 MUTATORS: dict[str, Callable[[Image], Image]] = {
     "roll_h": lambda a: np.roll(a, 1, axis=0),
     "roll_w": lambda a: np.roll(a, 1, axis=1),
-    "swap_channels": lambda a: a[:, :, [2, 1, 0, *range(3, a.shape[2])]] if a.ndim == 3 and a.shape[2] >= 3 else np.roll(a, 1, axis=0),
+    "swap_channels": lambda a: _swapped(a) if a.ndim == 3 and a.shape[2] >= 2 else np.roll(a, 1, axis=0),
     "zero_border": _zero_border,
     "invert_values": lambda a: ~a if a.dtype == np.bool_ else (_top(a) - a).astype(a.dtype),
 }
