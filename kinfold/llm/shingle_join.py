@@ -292,13 +292,18 @@ def linked_texts(points: DataFrame, docs: DataFrame, percent: int = PERCENT) ->
     of_node = Window.partitionBy("node")  # a document's least coordinates
     ranked = rows.withColumn("nth", F.row_number().over(of_node.orderBy("n_points", "coordinate"))).withColumn("reach", F.count(F.lit(1)).over(of_node))
     rare = ranked.where(F.col("nth") <= F.col("reach") - F.col("enough") + 1)
-    boxes = rows.select("coordinate", F.col("leaf").alias("at")).distinct()
-    visits = rare.select("coordinate", "node", "comp", "leaf").join(boxes, "coordinate").where(F.col("at") > F.col("leaf"))
+    boxes = checkpointed(rows.select("coordinate", F.col("leaf").alias("at")).distinct())
+    # Coordinates of the same leaves (those of a common passage) lead to the same visits: one stands for all, told by count and hashes of the leaves.
+    of = ["n_leaves", "one", "two"]
+    listed = boxes.groupBy("coordinate").agg(F.count(F.lit(1)).alias("n_leaves"), F.bit_xor(F.xxhash64("at")).alias("one"), F.bit_xor(F.xxhash64("at", F.lit(1))).alias("two"))
+    stands = listed.join(listed.groupBy(of).agg(F.min("coordinate").alias("for_all")), of).select("coordinate", "for_all")
+    asked_for = rare.join(stands, "coordinate").select("node", "comp", "leaf", F.col("for_all").alias("coordinate")).distinct()
+    visits = asked_for.join(boxes, "coordinate").where(F.col("at") > F.col("leaf"))
     visits = written(visits.select("node", "comp", "at").distinct(), "visits")
     known = comps.join(of_leaf, "node").groupBy("leaf").agg(F.collect_list(F.struct("node", "comp")).alias("comps"))
-    callers = visits.join(each, "node").withColumn("size", F.length("vector"))
-    load = callers.groupBy("at").agg(F.ceil(F.greatest(F.sum("size") / (8 * LEAF_SHINGLES), F.count(F.lit(1)) / LEAF_POINTS)).alias("blocks"))
-    callers = callers.join(small_side(checkpointed(load), 32 * n_kept), "at").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    sized = visits.join(small_side(kept.select("node", "n"), 32 * n_kept), "node")
+    load = checkpointed(sized.groupBy("at").agg(F.ceil(F.greatest(F.sum("n") / LEAF_SHINGLES, F.count(F.lit(1)) / LEAF_POINTS)).alias("blocks")))
+    callers = visits.join(small_side(load, 32 * n_kept), "at").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(each, "node")
     blocks = callers.groupBy("at", "block").agg(F.collect_list(F.struct("node", "comp", "vector")).alias("queries"))
     met = blocks.join(leaves.withColumnRenamed("leaf", "at"), "at").join(known.withColumnRenamed("leaf", "at"), "at", "left").withColumn("comps", F.coalesce("comps", F.array().cast("array<struct<node:bigint,comp:bigint>>")))
     more = written(met.select("points", "comps", "queries").mapInPandas(trimmed(_visits(percent)), "a long, b long"), "visit-links")
