@@ -397,7 +397,9 @@ def scores(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_i
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the texts predicted toxic. All columns stay as they are."""
+    """``docs`` without the texts predicted toxic. All columns stay as they are. A model that has seen labels of one kind only, or none, rejects nothing."""
+    if model.weights is None:
+        return docs
 
     @F.pandas_udf("int")
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
