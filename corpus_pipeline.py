@@ -1,4 +1,16 @@
-"""The corpus pipeline: a list of stages, each of which reads what its predecessor kept."""
+"""The corpus pipeline: a list of stages, each of which reads what its predecessor kept.
+
+Every stage takes whole rows and returns them with the columns that it was
+given, whatever these are called (dots, blanks, backticks and the stage's own
+names are fine); only the last adds a column, ``copies``. Defined cases: null
+texts count as empty in every stage and stay null; empty texts are equal texts,
+so one of them is left after exact dedup; null ids pass through, and among
+equal or near texts a row with an id is preferred; rows that repeat are equal
+texts. Texts of any length are read whole, each in one task. A stage that gets
+no rows returns none; an empty benchmark leaves all documents clean, and
+without labelled rows of both kinds toxicity rejects none. A stage's result is
+written before the next begins, so a lost executor repeats tasks of one stage.
+"""
 
 from __future__ import annotations
 
