@@ -8,7 +8,7 @@ defects, each with the contents that its check compares; the distinct checks
 of all instances, which no number of instances with the same defects makes
 more, are executed on the battery in one pass, in which an output is computed
 once a probe and kept until its last check; probes of equal content are run
-once and counted as often as they occur. Counts come back to the instances by
+once and counted as often as they occur, grey ones of one shape many at a time. Counts come back to the instances by
 a join on contents.
 """
 
@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import images, stacks
 from ..functions.images import Skill
 from . import corrupt, execute
 from ._store import cut
@@ -34,6 +35,7 @@ KEY = ["mode", "composition", "rho", "seed"]
 _KEYS = "mode string, composition string, rho double, seed int"
 DEFECT = f"{_KEYS}, type string, site_id string, new_id string, detail string, ideal_kind string, primary string, secondary string, clean string, made string, domain string, several boolean, perceptual boolean"
 CHECK = "clean string, made string, domain string, n long, same boolean, near boolean, inside boolean"
+TOGETHER = 2**13  # Fixed value: pixels of probes that run together; outputs of one function are up to 8,192 times as large.
 
 
 def content(base: str, steps: Sequence[tuple[str, Any]] = (), params: Mapping[str, Any] | None = None) -> str:
@@ -106,36 +108,146 @@ def distinct_checks(rows: DataFrame) -> list[tuple[str, str, str]]:
     return sorted(tuple(r) for r in rows.select("clean", "made", "domain").distinct().collect())
 
 
-def executed(battery: DataFrame, checks: Sequence[tuple[str, str, str]], library: Mapping[str, Skill]) -> DataFrame:
-    """A row per check and distinct probe (``CHECK``); n: how many probes have that content. Outputs stay inside the probe's task."""
-    last = {k: i for i, c in enumerate(checks) for k in c[:2]}
+def _folded(text: str, library: Mapping[str, Skill]) -> tuple[tuple, ...] | None:
+    """A content as steps from the input on: the library's own function with all its parameters, then what is done to its outputs. None where only the built function tells."""
+    base, steps, params = json.loads(text)
+    own = lambda s: s in stacks.MANY and images.LIBRARY.get(s) is library.get(s)
+    if not own(base):
+        return None
+    values, given, after, free = {p.name: p.default for p in library[base].params}, dict(params or {}), [], True
+    for kind, detail in steps:
+        if kind in ("default", "fixed"):
+            more = {detail["name"]: detail["value"]} if kind == "default" else detail
+            if not free or set(more) - set(values):
+                return None
+            values, free = values | more, kind == "default"
+        elif kind == "bug":
+            after.append(("bug", detail["mutator"], detail.get("domain", "")))
+        elif kind == "jitter":
+            after.append(("jitter",))
+        elif kind == "after" and own(detail):
+            after.append(("run", detail, "{}"))
+            free = False
+        else:
+            return None
+    if given and (not free or set(given) - set(values)):
+        return None
+    return ("run", base, execute.params_key(values | given)), *after
+
+
+def _stepped(step: tuple, a: np.ndarray, library: Mapping[str, Skill]) -> np.ndarray:
+    """One step on HxWxN or HxWxCxN, what grey probes have become."""
+    if not a.size:
+        raise ValueError("told image by image")
+    if step[0] == "bug":  # the probes are grey bytes
+        return execute.mutate_many(step[1], a) if step[2] in ("", "grayscale") else a
+    if step[0] == "jitter":
+        return execute.jitter_many(a)
+    if a.ndim != 3:
+        raise ValueError("told image by image")
+    skill = library[step[1]]
+    out = stacks.MANY[skill.id](np.ascontiguousarray(a), **skill.bind(json.loads(step[2])), **({"seed": 0} if skill.stochastic else {}))
+    if out is None or out.dtype != np.uint8:
+        raise ValueError("told image by image")
+    return out
+
 
-    def outputs(image: np.ndarray, built: dict) -> Iterator[tuple[bool, bool, bool]]:
-        held: dict[str, np.ndarray | None] = {}
+def _alone(key: str, image: np.ndarray, built: Mapping[str, tuple]) -> np.ndarray | None:
+    skill, params = built[key]
+    try:
+        return skill.run(image, params)
+    except Exception:  # noqa: BLE001  a function that fails on a probe has no output there
+        return None
 
-        def out(key: str) -> np.ndarray | None:
+
+def _compared(x: np.ndarray | None, y: np.ndarray | None) -> tuple[bool, bool]:
+    both = x is not None and y is not None
+    return both and bool(x.shape == y.shape and np.array_equal(x, y)), both and execute.l_inf(x, y) <= 1 / 255 + 1e-6
+
+
+def _compared_many(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for stacks of bytes, image by image."""
+    if x is y:
+        return (np.ones(x.shape[-1], bool),) * 2
+    if x.shape[:2] != y.shape[:2]:
+        return (np.zeros(x.shape[-1], bool),) * 2
+    if x.shape != y.shape or (x.ndim == 4 and x.shape[2] not in (1, 3)):
+        told = [_compared(x[..., i], y[..., i]) for i in range(x.shape[-1])]
+        return np.array([t[0] for t in told]), np.array([t[1] for t in told])
+    gap = (np.maximum(x, y) - np.minimum(x, y)).reshape(-1, x.shape[-1]).max(axis=0, initial=0)
+    return gap == 0, gap <= 1
+
+
+def executed(battery: DataFrame, checks: Sequence[tuple[str, str, str]], library: Mapping[str, Skill]) -> DataFrame:
+    """Rows of checks and outcomes (``CHECK``); n: on how many probes a check came out like that. Outputs stay inside the task.
+
+    Grey probes of one shape run together, a row per check and outcome of each
+    such stack; contents that begin alike (the function with its parameters,
+    then each change to its outputs) share what they have in common. Other
+    probes, and contents with functions that aren't the library's own, run one
+    by one.
+    """
+    last = {k: i for i, c in enumerate(checks) for k in c[:2]}
+    folded = {k: _folded(k, library) for k in last}
+    needed: dict[tuple, int] = {}
+    for k, steps in folded.items():
+        for n in range(1, len(steps or ()) + 1):
+            needed[steps[:n]] = max(needed.get(steps[:n], 0), last[k])
+    gone: dict[int, list] = {}
+    for key, i in (*needed.items(), *last.items()):
+        gone.setdefault(i, []).append(key)
+
+    def single(image: np.ndarray, built: dict) -> Iterator[tuple[bool, bool, bool]]:
+        held: dict[Any, np.ndarray | None] = {}
+        for i, (clean, made, domain) in enumerate(checks):
+            for k in (clean, made):
+                if k not in held:
+                    held[k] = _alone(k, image, built)
+            yield *_compared(held[clean], held[made]), execute.matches_domain(image, domain)
+            for k in gone.get(i, ()):
+                held.pop(k, None)
+
+    def together(given: list[np.ndarray], built: dict) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        stack, held = np.stack(given, axis=-1), {}
+
+        def out(steps: tuple) -> np.ndarray:
+            if steps not in held:
+                held[steps] = _stepped(steps[-1], out(steps[:-1]) if len(steps) > 1 else stack, library)
+            return held[steps]
+
+        def whole(key: str) -> np.ndarray | list:
             if key not in held:
-                skill, params = built[key]
                 try:
-                    held[key] = skill.run(image, params)
-                except Exception:  # noqa: BLE001  a function that fails on a probe has no output there
-                    held[key] = None
+                    held[key] = out(folded[key] or ())
+                except Exception:  # noqa: BLE001  told image by image
+                    held[key] = [_alone(key, a, built) for a in given]
             return held[key]
 
         for i, (clean, made, domain) in enumerate(checks):
-            x, y = out(clean), out(made)
-            both = x is not None and y is not None
-            yield both and bool(x.shape == y.shape and np.array_equal(x, y)), both and execute.l_inf(x, y) <= 1 / 255 + 1e-6, execute.matches_domain(image, domain)
-            for k in {clean, made}:
-                if last[k] == i:
-                    held.pop(k, None)
+            x, y = whole(clean), whole(made)
+            if isinstance(x, list) or isinstance(y, list):
+                told = [_compared(*((v[n] if isinstance(v, list) else v[..., n]) for v in (x, y))) for n in range(len(given))]
+                same, near = (np.array([t[j] for t in told]) for j in (0, 1))
+            else:
+                same, near = _compared_many(x, y)
+            yield same, near, execute.matches_domain(given[0], domain)
+            for k in gone.get(i, ()):
+                held.pop(k, None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         built = {k: build(k, library) for k in last}
         names = [c.split()[0] for c in CHECK.split(", ")]
         for b in batches:
-            for n, packed in zip(b["n"], b["image"], strict=True):
-                yield pd.DataFrame([(*c, n, *o) for c, o in zip(checks, outputs(execute.unpack(packed), built), strict=True)], columns=names)
+            counts, given = b["n"].to_numpy(np.int64), [execute.unpack(r) for r in b["image"]]
+            for at in execute.alike(given, TOGETHER):
+                if len(at) == 1:
+                    rows = [(*c, int(counts[at[0]]), *o) for c, o in zip(checks, single(given[at[0]], built), strict=True)]
+                else:
+                    n, rows = counts[at], []
+                    for c, (same, near, inside) in zip(checks, together([given[i] for i in at], built), strict=True):
+                        kinds = 2 * same + near
+                        rows += [(*c, int(n[kinds == k].sum()), k > 1, k % 2 == 1, inside) for k in np.unique(kinds).tolist()]
+                yield pd.DataFrame(rows, columns=names)
 
     probes = battery.groupBy("image").agg(F.count(F.lit(1)).alias("n"))
     spread = 4 * max(8, battery.sparkSession.sparkContext.defaultParallelism)
