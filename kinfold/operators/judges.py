@@ -94,15 +94,26 @@ def similar_pairs(weights: DataFrame, least: float) -> DataFrame:
     return rare.select(F.col("id").alias("a"), "token").join(other, "token").where("a < b").select("a", "b").distinct()
 
 
+def stand_ins(library: DataFrame, asked: DataFrame) -> DataFrame:
+    """library: pos, id, text. asked: token. bag, t: the first row (order, id) of all that have the same of the asked tokens; rows without any are left out."""
+    rows = library.select("pos", "id", F.explode(S.tokens(F.col("text"), 2)).alias("token")).join(asked.distinct(), "token", "left_semi")
+    # Rows that share pos and id add up, so this is a bag of tokens and no set.
+    bags = rows.groupBy("pos", "id").agg(F.sort_array(F.collect_list("token")).alias("bag"))
+    return bags.groupBy("bag").agg(F.max(F.struct((-F.col("pos")).alias("order"), "id")).alias("t"))
+
+
 def keyword_retrieval(queries: DataFrame, library: DataFrame) -> DataFrame:
     """queries: query_id, text. library: pos, id, text. The row with most tokens (of two characters and more) in common; the first of equals.
 
-    Joined on tokens, so only rows that share one meet; a query without any has none.
+    Of a row only the tokens that some query has matter. Rows with the same of
+    them have the same score for every query, so the first of these stands for
+    all; the bags of tokens that are left meet queries by a join on tokens. A
+    query without a token in common has no row.
     """
     q = queries.select("query_id", F.explode(S.tokens(F.col("text"), 2)).alias("token"))
-    rows = library.select("pos", "id", F.explode(S.tokens(F.col("text"), 2)).alias("token"))
-    hits = q.join(rows, "token").groupBy("query_id", "pos", "id").agg(F.count(F.lit(1)).alias("score"))
-    top = hits.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("pos")).alias("order"), "id")).alias("t"))
+    first = stand_ins(library, q.select("token"))
+    hits = q.join(first.select("bag", "t", F.explode("bag").alias("token")), "token").groupBy("query_id", "bag").agg(F.count(F.lit(1)).alias("score"), F.first("t").alias("t"))
+    top = hits.groupBy("query_id").agg(F.max(F.struct("score", "t.order", "t.id")).alias("t"))
     return queries.select("query_id").join(top, "query_id", "left").select("query_id", F.col("t.id").alias("id"), F.coalesce("t.score", F.lit(0)).alias("score"))
 
 
