@@ -11,6 +11,7 @@ from ..functions import scalars as S
 
 
 TILE = 4096
+BLOCK = 2048  # Fixed value: ids of a family that are listed together.
 
 
 def nearest(prints: DataFrame, k: int = 5, max_distance: float = 0.5, block: str | None = None) -> DataFrame:
@@ -35,10 +36,12 @@ def _all_pairs(prints: DataFrame, k: int, max_distance: float) -> DataFrame:
     """id, other, distance of each row's ``k`` nearest in every block of the other rows."""
     kind = prints.schema["id"].dataType.simpleString()
     n = -(-prints.count() // TILE) or 1
-    tiled = prints.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(n)))
+    tiled = prints.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))  # as the other side counts tiles, or equal ones hash apart
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = tiled.select("id", "vec", F.col("tile").alias("i"), every.alias("j"))
-    right = tiled.select(F.col("id").alias("other"), "vec", every.alias("i"), F.col("tile").alias("j"))
+    # So many tasks that each sorts the rows of some four pairs of tiles, whatever their number.
+    spread = max(-(-n * n // 4), 1)
+    left = tiled.select("id", "vec", F.col("tile").alias("i"), every.alias("j")).repartition(spread, "i", "j")
+    right = tiled.select(F.col("id").alias("other"), "vec", every.alias("i"), F.col("tile").alias("j")).repartition(spread, "i", "j")
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -60,20 +63,44 @@ def _all_pairs(prints: DataFrame, k: int, max_distance: float) -> DataFrame:
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"id {kind}, other {kind}, distance double")
 
 
+def _families(views: DataFrame) -> DataFrame:
+    """id, families: those of each id in order; ids without any are left out."""
+    return views.where("id IS NOT NULL").groupBy("id").agg(F.sort_array(F.collect_set("family")).alias("families")).where(F.size("families") > 0)
+
+
 def same_family(views: DataFrame) -> DataFrame:
-    """views: id, family."""
-    other = views.select(F.col("id").alias("b"), "family")
-    return views.select(F.col("id").alias("a"), "family").join(other, "family").where("a < b").select("a", "b")
+    """views: id, family. a, b: every pair of ids that have a family in common, once.
+
+    Ids of a family are dealt into blocks and pairs are listed from two blocks
+    at a time, so no task holds pairs, and none have to be told apart: a pair
+    with several families in common is listed in the first of them.
+    """
+    each = _families(views).select(F.explode("families").alias("family"), F.struct("id", F.when(F.size("families") > 1, F.col("families")).alias("families")).alias("x"))
+    parts = each.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    blocks = each.join(parts, "family").groupBy("family", "parts", F.pmod(F.xxhash64("x.id"), "parts").cast("int").alias("i")).agg(F.collect_list("x").alias("xs"))
+    own = blocks.select("family", "i", F.col("xs").alias("ps"))
+    others = blocks.select("family", F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"), F.col("i").alias("j"), F.col("xs").alias("qs"))
+    met = own.join(others.hint("shuffle_hash"), ["family", "i"]).select("family", (F.col("i") == F.col("j")).alias("one"), F.explode("ps").alias("p"), "qs")
+    pairs = met.select("family", "one", "p", F.explode("qs").alias("q"))
+    first = F.col("p.families").isNull() | F.col("q.families").isNull() | (F.array_min(F.array_intersect("p.families", "q.families")) == F.col("family"))
+    return pairs.where((~F.col("one") | (F.col("p.id") < F.col("q.id"))) & first).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
 
 
 def candidate_pairs(views: DataFrame, prints: DataFrame, k: int = 5, max_distance: float = 0.5, hard: list[tuple[str, str]] = (), block: str | None = None) -> DataFrame:
-    """a, b: nearest fingerprints made undirected, same family, and listed pairs of known ids."""
-    pairs = nearest(prints, k, max_distance, block).select(*S.pair_key("id", "other")).union(same_family(views))
+    """a, b: nearest fingerprints made undirected, same family, and listed pairs of known ids.
+
+    Pairs of a family are each listed once by themselves; of the others, which
+    are no more than ``k`` a row, those go that are of a family.
+    """
+    pairs = nearest(prints, k, max_distance, block).select(*S.pair_key("id", "other"))
     if hard:
         listed = views.sparkSession.createDataFrame([(min(p), max(p)) for p in hard], ["a", "b"])
         known = views.select("id")
-        pairs = pairs.union(listed.join(known.toDF("a"), "a", "left_semi").join(known.toDF("b"), "b", "left_semi"))
-    return pairs.distinct()
+        pairs = pairs.union(listed.join(known.toDF("a"), "a", "left_semi").join(known.toDF("b"), "b", "left_semi").select("a", "b"))
+    of = _families(views)
+    both = pairs.distinct().join(of.toDF("a", "fa"), "a", "left").join(of.toDF("b", "fb"), "b", "left")
+    other = both.where(~F.coalesce(F.arrays_overlap("fa", "fb") & (F.col("a") < F.col("b")), F.lit(False)))
+    return other.select("a", "b").union(same_family(views))
 
 
 def fingerprints(outputs: DataFrame) -> DataFrame:
