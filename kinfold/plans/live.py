@@ -194,11 +194,12 @@ def probe_judge(battery: DataFrame, t: Thresholds = Thresholds(), grids: Mapping
         told = compare.measured(compare.distances(battery.select("probe_id", F.explode(each).alias("p")).select("probe_id", "p.*")), t)
         free = [(a, b) for a, b in pairs if a in grids or b in grids]
         if free:
-            hit = [
-                F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(i).alias("i"), F.lit(j).alias("j"), (S.max_abs_diff(out(a, px, x), out(b, px, y)) <= t.epsilon).alias("ok"))
-                for a, b in free for i, x in enumerate(bindings(a)) for j, y in enumerate(bindings(b))
-            ]
-            hits = battery.select(F.explode(F.array(*hit)).alias("h")).groupBy("h.a", "h.b", "h.i", "h.j").agg(F.bool_and("h.ok").alias("ok"))
+            made = sorted({(s, n) for p in free for s in p for n in range(len(bindings(s)))})  # each output once a probe
+            place = {m: n for n, m in enumerate(made)}
+            outs = F.array(*(out(s, px, bindings(s)[n]) for s, n in made))
+            met = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(place[a, i]).alias("x"), F.lit(place[b, j]).alias("y")) for a, b in free for i in range(len(bindings(a))) for j in range(len(bindings(b)))))
+            rows = battery.select(outs.alias("o")).select("o", F.explode(met).alias("h")).select("h.a", "h.b", "h.i", "h.j", F.get("o", F.col("h.x")).alias("pa"), F.get("o", F.col("h.y")).alias("pb"))
+            hits = rows.groupBy("a", "b", "i", "j").agg(F.bool_and(S.max_abs_diff(F.col("pa"), F.col("pb")) <= t.epsilon).alias("ok"))
             side = lambda at, best: hits.groupBy("a", "b", at).agg(F.bool_or("ok").alias("ok")).groupBy("a", "b").agg(F.bool_and("ok").alias(best))
             ways = side("i", "a_found").join(side("j", "b_found"), ["a", "b"])
             own = lambda s: grids[s].values.index(grids[s].default) if s in grids else 0
