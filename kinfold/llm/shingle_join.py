@@ -14,7 +14,9 @@ asks it, without itself, twice. First for its ``ASKED`` least coordinates, more
 than it may miss by a share of one in ``SPARE``: two sets at the threshold have
 so many of the least coordinates of both in common, whatever the others do.
 Then the few that are left ask for all their coordinates, in the box of these
-few; those for which the minima don't add up to the threshold link to nothing.
+few; those for which the minima don't add up to the threshold link to nothing, nor
+do those for which they don't add up with points of any one size: a set that
+shares 80 % of its shingles, all with sets as large as itself, needs 89 % of them.
 The rest are packed, in the order of their coordinates, into leaves of at most
 ``LEAF_SHINGLES`` and ``LEAF_POINTS``, so that sets alike mostly meet in one. A
 leaf has a box over ``BOX_GROUPS`` groups, and vectors of ``POINT_GROUPS``
@@ -24,8 +26,9 @@ then it takes the leaf's whole box, its points and at last their sets.
 
 What is linked by then needs no other link: a leaf joins with itself first;
 then of each component one document is compared with each hub, the document
-with most company among those of a coordinate; and only coordinates that still hold several components call for
-visits, in which documents of one component aren't compared. So a group of
+with most company among those of a coordinate; and only coordinates that still
+hold several components call for visits, in which documents of one component
+aren't compared and the smaller of two components visits. So a group of
 copies gives a handful of rows and comparisons, not all its pairs. Documents
 that share many least coordinates and yet stay below the threshold are
 compared, inside tasks, as often as they meet.
@@ -42,6 +45,9 @@ give empty results; other columns are not looked at.
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +66,8 @@ PERCENT = 80
 SPARE = 10
 LEAF_SHINGLES, LEAF_POINTS = 1 << 15, 256
 BOX_GROUPS, POINT_GROUPS = 1 << 16, 64
+#: Sizes of sets that differ by less than this count as one.
+BAND = 1.02
 CHUNK_BYTES = 1 << 18
 _U = np.uint64
 
@@ -235,6 +243,26 @@ def _verified(percent: int):  # noqa: ANN202
     return run
 
 
+def fitting(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Nodes that can have a link at all. ``rows``: node, n, coordinate.
+
+    Sets of a and b shingles link only if they share ``percent`` of 100 + ``percent`` parts of a + b. So a point stays if there is a size that
+    a link allows such that enough of its coordinates are also those of other points of about that size. Sizes are bands ``BAND`` wide, a bit
+    each in a coordinate's masks: those that any point has, and those that two have, so that no point counts for its own. Bands 64 apart
+    share a bit, which only keeps more.
+    """
+    banded = rows.withColumn("band", F.floor(F.log("n") / math.log(BAND)).cast("int"))
+    bit = "shiftleft(1L, pmod(band, 64))"
+    masks = banded.groupBy("coordinate", "band").agg(F.count(F.lit(1)).alias("k")).groupBy("coordinate").agg(
+        F.sum("k").alias("k"), F.expr(f"bit_or({bit})").alias("one"), F.expr(f"bit_or(if(k > 1, {bit}, 0L))").alias("two")
+    )
+    met = banded.join(masks.where("k > 1").drop("k"), "coordinate").withColumn("others", F.expr(f"one & (~{bit} | two)"))
+    reach = math.ceil(math.log(100 / percent) / math.log(BAND))
+    counted = met.groupBy("node", "n", "band").agg(*(F.expr(f"sum(shiftrightunsigned(others, pmod(band + {d}, 64)) & 1)").alias(f"k{d + reach}") for d in range(-reach, reach + 1)))
+    asks = lambda d: (F.col("n") + F.pow(F.lit(BAND), F.col("band") + d)) * (percent / (100 + percent) * (1 - 1e-9))
+    return counted.where(functools.reduce(operator.or_, (F.col(f"k{d + reach}") >= asks(d) for d in range(-reach, reach + 1)))).select("node", "n")
+
+
 def linked_texts(points: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, comp of all distinct texts with a link. ``points``: node, key, n, least; ``docs``: key, text."""
     spark = points.sparkSession
@@ -255,10 +283,13 @@ def linked_texts(points: DataFrame, docs: DataFrame, percent: int = PERCENT) ->
     texts = docs.join(small_side(asking, 120 * asking.count()), "key").groupBy("node").agg(F.first("text").alias("text"))
     vectors = written(texts.mapInPandas(trimmed(_vectors), "node long, vector array<bigint>"), "vectors").withColumn("n", F.size("vector"))
     reached = reach(vectors.select("node", F.explode("vector").alias("coordinate")))
-    kept = checkpointed(vectors.select("node", "n").join(reached, "node").where(F.col("reach") >= share).select("node", enough.alias("enough"), "n"))
-    n_kept, n_shingles = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    kept = checkpointed(vectors.select("node", "n").join(reached, "node").where(F.col("reach") >= share).select("node"))
+    left = vectors.join(small_side(kept, 48 * kept.count()), "node")
+    kept = checkpointed(fitting(left.select("node", "n", F.explode("vector").alias("coordinate")), percent).select("node", enough.alias("enough")))
+    n_kept = kept.count()
     # The leaves: the points that are left, packed in the order of their coordinates.
-    vectors = written(vectors.drop("n").join(small_side(kept, 48 * n_kept), "node"), "points-left")
+    vectors = written(vectors.join(small_side(kept, 48 * n_kept), "node"), "points-left")
+    n_shingles = vectors.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(spread, n_shingles // (LEAF_SHINGLES * 64) + 1)
     first = [F.get("vector", 0), F.get("vector", 1), F.col("node")]
     leaves = vectors.repartitionByRange(parts, *first).sortWithinPartitions(*first).select("node", "vector")
@@ -287,21 +318,23 @@ def linked_texts(points: DataFrame, docs: DataFrame, percent: int = PERCENT) ->
     both = left.join(each.select(F.col("node").alias("b"), F.col("vector").alias("vector_b")), "b")
     found = written(found.unionByName(both.mapInPandas(trimmed(_verified(percent)), "a long, b long")), "star-links")
     comps = checkpointed(components(found))
-    # Visits: leaves that have one of a query's rarest coordinates, so many that the others can't be enough.
-    rows = told(comps)
+    # Visits: leaves that have one of a query's rarest coordinates, so many that the others can't be enough. Of two components the smaller one
+    # visits, so that the many points of a large one stay where they are.
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    rows = told(comps).join(small_side(sizes, 32 * n_kept), "comp", "left").withColumn("rank", F.struct(F.coalesce("size", F.lit(1)).alias("size"), "comp")).drop("size")
     of_node = Window.partitionBy("node")  # a document's least coordinates
     ranked = rows.withColumn("nth", F.row_number().over(of_node.orderBy("n_points", "coordinate"))).withColumn("reach", F.count(F.lit(1)).over(of_node))
     rare = ranked.where(F.col("nth") <= F.col("reach") - F.col("enough") + 1)
-    boxes = checkpointed(rows.select("coordinate", F.col("leaf").alias("at")).distinct())
-    # Coordinates of the same leaves (those of a common passage) lead to the same visits: one stands for all, told by count and hashes of the leaves.
+    boxes = checkpointed(rows.groupBy("coordinate", F.col("leaf").alias("at")).agg(F.max("rank").alias("top")))
+    # Coordinates of the same leaves (those of a common passage) lead to the same visits: one stands for all, told by count and hashes of the leaves and their largest components.
     of = ["n_leaves", "one", "two"]
-    listed = boxes.groupBy("coordinate").agg(F.count(F.lit(1)).alias("n_leaves"), F.bit_xor(F.xxhash64("at")).alias("one"), F.bit_xor(F.xxhash64("at", F.lit(1))).alias("two"))
+    listed = boxes.groupBy("coordinate").agg(F.count(F.lit(1)).alias("n_leaves"), F.bit_xor(F.xxhash64("at", "top")).alias("one"), F.bit_xor(F.xxhash64("at", "top", F.lit(1))).alias("two"))
     stands = listed.join(listed.groupBy(of).agg(F.min("coordinate").alias("for_all")), of).select("coordinate", "for_all")
-    asked_for = rare.join(stands, "coordinate").select("node", "comp", "leaf", F.col("for_all").alias("coordinate")).distinct()
-    visits = asked_for.join(boxes, "coordinate").where(F.col("at") > F.col("leaf"))
+    asked_for = rare.join(stands, "coordinate").select("node", "rank", "leaf", F.col("for_all").alias("coordinate")).distinct()
+    visits = asked_for.join(boxes, "coordinate").where((F.col("at") != F.col("leaf")) & (F.col("top") > F.col("rank"))).withColumn("comp", F.col("rank.comp"))
     visits = written(visits.select("node", "comp", "at").distinct(), "visits")
     known = comps.join(of_leaf, "node").groupBy("leaf").agg(F.collect_list(F.struct("node", "comp")).alias("comps"))
-    sized = visits.join(small_side(kept.select("node", "n"), 32 * n_kept), "node")
+    sized = visits.join(small_side(vectors.select("node", "n"), 32 * n_kept), "node")
     load = checkpointed(sized.groupBy("at").agg(F.ceil(F.greatest(F.sum("n") / LEAF_SHINGLES, F.count(F.lit(1)) / LEAF_POINTS)).alias("blocks")))
     callers = visits.join(small_side(load, 32 * n_kept), "at").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(each, "node")
     blocks = callers.groupBy("at", "block").agg(F.collect_list(F.struct("node", "comp", "vector")).alias("queries"))
@@ -319,7 +352,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     signed = written(signed.withColumn("row", F.monotonically_increasing_id()), "points")
     texts = checkpointed(signed.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.min("id").alias("id")))
     size = 120 * texts.count()
-    points = signed.join(small_side(texts.select("row"), size), "row", "left_semi").withColumnRenamed("row", "node")
+    # Of equal texts one is asked about. The others are told, as they are fewer, so that the coordinates aren't shuffled to drop them.
+    copies = signed.select("key", "row").join(small_side(texts.select("key", F.col("row").alias("first")), size), "key").where("row <> first")
+    copies = checkpointed(copies.select("row"))
+    points = signed.join(small_side(copies, 40 * copies.count()), "row", "left_anti").withColumnRenamed("row", "node")
     comps = linked_texts(points, own.select("key", "text"), percent)
     named = texts.join(small_side(comps.withColumnRenamed("node", "row"), size), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
     least = checkpointed(named.groupBy("comp").agg(F.min("id").alias("component_id")))

@@ -108,3 +108,34 @@ def test_long_text(spark):
     words = [f"w{i}" for i in range(300_000)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[5_000:])), (3, " ".join(words[:100_000]))], "doc_id long, text string")
     assert sorted(map(tuple, shingle_join.join(docs).collect())) == [(1, 299_996, 1), (2, 294_996, 1), (3, 99_996, 3)]
+
+
+def test_points_that_fit_no_size_are_left_out_and_no_link_is(spark):
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 1 << 62, n).tolist() for n in (30, 90, 100, 146, 400)]
+    points = [set(rng.choice(b, int(len(b) * rng.uniform(0.7, 1)), False).tolist()) | set(rng.integers(0, 1 << 62, int(rng.integers(0, len(b) // 4))).tolist()) for b in base for _ in range(30)]
+    rows = [(i, len(p), c) for i, p in enumerate(points) for c in p]
+    left = {r["node"] for r in shingle_join.fitting(spark.createDataFrame(rows, "node long, n long, coordinate long")).collect()}
+    linked = {k for i, j in combinations(range(len(points)), 2) if 100 * len(points[i] & points[j]) >= 80 * len(points[i] | points[j]) for k in (i, j)}
+    others = [set().union(*(q for k, q in enumerate(points) if k != i)) for i in range(len(points))]
+    shared = {i for i, p in enumerate(points) if 100 * len(p & others[i]) >= 80 * len(p)}
+    assert linked and linked <= left and len(left) < len(shared)
+
+
+def test_a_group_of_near_copies_calls_for_few_visits(spark, monkeypatch):
+    """Some 100 variants link with each other, 100 with more changes with none: these aren't visited, nor do the many visit each other's leaves."""
+    monkeypatch.setattr(shingle_join, "LEAF_POINTS", 8)
+    seen, written = {}, shingle_join.written
+    monkeypatch.setattr(shingle_join, "written", lambda df, name: seen.setdefault(name, written(df, name)) if name != "several" else written(df, name))
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for k in rng.sample(range(5, 145), 1 if i % 2 else 5):
+            words[k] = f"n{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    got = sorted(map(tuple, shingle_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted(brute(rows))
+    assert sum(d != c for d, _, c in got) == 99
+    assert seen["visits"].count() <= 50
