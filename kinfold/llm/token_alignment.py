@@ -4,20 +4,20 @@ A text is cut at single blanks between characters that are no white space.
 Neither the byte-level pattern nor any merge of the piece vocabulary (which is
 checked) reaches over such a blank, so what stands between two blanks, with
 the first of them, has the same tokens by itself as in the text, and tokens of
-both sides end where it ends. Python only cuts and tokenises: for some
-megabytes of texts it returns the distinct pieces, one after the other, as ids
-and as the byte offsets at which the tokens end, for both tokenizers, and each
-text as numbers of pieces.
+both sides end where it ends. Python only cuts and tokenises, each piece once a
+task: for half a megabyte of texts it returns the distinct pieces, one after
+the other, as ids and as the byte offsets at which the tokens end, for both
+tokenizers, and each text as numbers of pieces.
 
 All else are expressions. ``array_intersect`` of the two end arrays gives the
-offsets at which tokens of both end. Sorting one side's ends together with
-them makes each a neighbour of its twin, so that the places of the twins, less
-the number of twins before, say how many tokens lead up to each cut; n tokens
-cost n steps, however long a piece is. ``transform`` over the cuts makes the
-groups, from the ``sequence`` of their tokens, and the links: the tokens just
-before a cut end together. A token has at least one byte, so that a cut has
-one link. A text's groups and links are those of its pieces in order, and
-``aggregate`` adds up their tokens.
+offsets at which tokens of both end, and ``transform`` makes marks of them,
+which are sorted among the tokens of each side and so part these into groups; n
+tokens cost a sort of n, however long a piece is. Groups are made as text for
+all pieces at once, by joining and splitting at the marks, and the links are
+read off their ends: the tokens just before a cut end together. A token has at
+least one byte, so that a cut has one link. A text, of a ``sequence`` of them,
+has the groups and links of its pieces in order, and ``aggregate`` adds up
+their tokens.
 
 How often a pair of ids is linked is counted over all documents; the counts
 come back by a broadcast if the table of pairs was measured to be small, else
@@ -38,6 +38,7 @@ import itertools
 import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,8 +54,10 @@ FILES = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Fixed value: the pattern that cuts a text before the byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK_BYTES, TOGETHER = 1 << 17, 64
+CHUNK_BYTES, TOGETHER, KEPT = 1 << 19, 64, 1 << 19
 ID_BITS = 20
+#: What stands below the ids where tokens and places are sorted together: a place where both sides end, then one where a piece ends.
+CUT, PIECE, MARKS = 0, 1, 2
 HOT = 1024
 PAIR_BYTES = 32
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
@@ -127,98 +130,142 @@ def piece_side(path: str) -> Side:
     return Side(lambda texts: tok.encode(texts, num_threads=1), tokens)
 
 
-def _cut(texts: list[str]) -> tuple[list[list[str]], list[str], int, np.ndarray]:
-    """What stands between single blanks in each text, the distinct pieces of all texts, how many of these (the first) have no white space at their ends, and which pieces follow each other."""
-    cut = [t.split(" ") if t else [] for t in texts]
-    place = dict.fromkeys(itertools.chain.from_iterable(cut))
-    odd = [p for p in place if not p or p[0].isspace() or p[-1].isspace()]
-    if odd:
-        seen = set(odd)
-        cut = [c if seen.isdisjoint(c) else _BLANK.split(t) for c, t in zip(cut, texts, strict=True)]
-        place = dict.fromkeys(itertools.chain.from_iterable(cut))
-        odd = [p for p in place if not p or p[0].isspace() or p[-1].isspace()]
-        for p in odd:  # to the end
-            del place[p]
-        place |= dict.fromkeys(odd)
-    place = dict(zip(place, range(len(place)), strict=True))
-    return cut, list(place), len(place) - len(odd), np.fromiter(map(place.__getitem__, itertools.chain.from_iterable(cut)), np.int64)
+class Pieces:
+    """What a task has found between single blanks, told by numbers, so that a piece is read once by each side; beyond ``KEPT`` of them it begins anew."""
+
+    def __init__(self, sides: tuple[Side, Side]) -> None:
+        self.sides = sides
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        self.names: list[str] = []
+        self.odd, self.good, self.read = np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, bool)
+        self.flat, self.low, self.n = [np.zeros(0, np.int32)] * 2, [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2
+
+    def _numbers(self, cut: list[list[str]]) -> np.ndarray:
+        codes = np.fromiter(map(self.place.__getitem__, itertools.chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        new = list(itertools.islice(self.place, len(self.names), None))
+        self.names += new
+        grown = lambda x: np.concatenate((x, np.zeros(len(new), x.dtype)))
+        self.odd = np.concatenate((self.odd, np.array([not p or p[0].isspace() or p[-1].isspace() for p in new], bool)))
+        self.good, self.read = grown(self.good), grown(self.read)
+        self.low, self.n = [grown(x) for x in self.low], [grown(x) for x in self.n]
+        return codes
+
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of all texts, and how many each text has. Where a blank stands beside white space, it doesn't cut."""
+        if len(self.names) > KEPT:
+            self.clear()
+        cut = [t.split(" ") if t else [] for t in texts]
+        codes, of = self._numbers(cut), np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+        if again := np.unique(of[self.odd[codes]]).tolist():
+            parts = np.split(codes, np.searchsorted(of, np.arange(1, len(cut))))
+            for i in again:
+                parts[i] = self._numbers([_BLANK.split(texts[i])])
+            return np.concatenate(parts), np.array([len(p) for p in parts])
+        return codes, np.array([len(c) for c in cut])
+
+    def known(self, used: np.ndarray) -> np.ndarray:
+        """Reads those pieces that were not read yet; which of all the sides give back whole."""
+        new = used[~self.read[used]]
+        if len(new):
+            new = new[np.argsort(self.odd[new], kind="stable")]
+            names, plain = [self.names[i] for i in new.tolist()], int((~self.odd[new]).sum())
+            self.read[new] = self.good[new] = True
+            for k, side in enumerate(self.sides):
+                flat, bounds, lost = side.pieces(names, plain)
+                self.low[k][new], self.n[k][new] = bounds[:-1] + len(self.flat[k]), np.diff(bounds)
+                self.flat[k] = np.concatenate((self.flat[k], flat))
+                self.good[new] &= ~lost
+        return self.good[used]
+
+    def tokens(self, k: int, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A side's ids of these pieces, and how many each has."""
+        n = self.n[k][used]
+        return self.flat[k][np.repeat(self.low[k][used] - np.cumsum(n) + n, n) + np.arange(n.sum())], n
 
 
 def _tokenised(byte_path: str, piece_path: str, chunk_bytes: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = byte_side(byte_path), piece_side(piece_path)
+        held_pieces = Pieces(sides)
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         for b in batches:
             own, texts = b.columns
             for first, held in _text.chunks(texts.to_pylist(), chunk_bytes, lower=False):
-                cut, pieces, plain, codes = _cut([t.decode("utf-8", "surrogatepass") for t in held])
-                of = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
-                known = [s.pieces(pieces, plain) for s in sides]
-                good = ~(known[0][2] | known[1][2])
+                codes, n_pieces = held_pieces.cut([t.decode("utf-8", "surrogatepass") for t in held])
+                here = np.zeros(len(held_pieces.names), bool)
+                here[codes] = True
+                used = np.flatnonzero(here)
+                good = held_pieces.known(used)
+                here[used] = good
+                of = np.repeat(np.arange(len(held)), n_pieces)
                 if not good.all():  # texts with such a piece have no tokens
-                    whole = np.ones(len(cut), bool)
-                    whole[of[~good[codes]]] = False
-                    codes, of = (np.cumsum(good) - 1)[codes[whole[of]]], of[whole[of]]
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                    whole = np.ones(len(held), bool)
+                    whole[of[~here[codes]]] = False
+                    codes, of, used = codes[whole[of]], of[whole[of]], used[good]
                 columns = [one(own.slice(first, len(held)))]
-                at = np.searchsorted(of, np.arange(len(cut) + 1)).astype(np.int32)
-                columns.append(one(pa.ListArray.from_arrays(pa.array(at), pa.array(codes.astype(np.int32)))))
-                for s, (flat, bounds, _) in zip(sides, known, strict=True):
-                    n = np.diff(bounds)
-                    ids = flat[np.repeat(good, n)]
-                    ends = np.cumsum(s.lengths[ids], dtype=np.int64).astype(np.int32)
-                    columns += [one(pa.array(ids)), one(pa.array(ends))]
-                columns.append(one(pa.array(ends[np.cumsum(n[good]) - 1])))
-                yield pa.RecordBatch.from_arrays(columns, ["own", "codes", "ids_a", "ends_a", "ids_b", "ends_b", "piece_ends"])
+                at = np.searchsorted(of, np.arange(len(held) + 1)).astype(np.int32)
+                columns.append(one(pa.ListArray.from_arrays(pa.array(at), pa.array((np.cumsum(here) - 1)[codes].astype(np.int32)))))
+                sizes = 0
+                for k, s in enumerate(sides):
+                    ids, n = held_pieces.tokens(k, used)
+                    ends = np.cumsum(s.lengths[ids], dtype=np.int64)
+                    columns += [one(pa.array((ends << (ID_BITS + 1)) + ids + MARKS)), one(pa.array(ends.astype(np.int32)))]
+                    sizes = (sizes << 32) + n
+                columns += [one(pa.array(ends[np.cumsum(n) - 1].astype(np.int32))), one(pa.array(sizes))]
+                yield pa.RecordBatch.from_arrays(columns, ["own", "codes", "tokens_a", "ends_a", "tokens_b", "ends_b", "piece_ends", "sizes"])
 
     return run
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files: str = FILES) -> DataFrame:
-    """A row for some texts: own (their ids), codes (the pieces of each), and of all distinct pieces in a row ids_a, ends_a, ids_b, ends_b and piece_ends: token ids and byte offsets."""
+    """A row for some texts: own (their ids), codes (the pieces of each), and of all distinct pieces in a row tokens_a, ends_a, tokens_b, ends_b, piece_ends and sizes.
+
+    Ends are byte offsets; a token is its id above ``MARKS`` and, in the bits above, twice its end; a size is the piece's tokens of both sides in a number.
+    """
     own = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"))
     kind = own.schema["own"].dataType.simpleString()
-    ints = ", ".join(f"{c} array<int>" for c in ("ids_a", "ends_a", "ids_b", "ends_b", "piece_ends"))
-    return own.mapInArrow(trimmed(_tokenised(f"{files}/{BYTE_BPE}", f"{files}/{PIECE_BPE}", CHUNK_BYTES)), f"own array<{kind}>, codes array<array<int>>, {ints}")
+    of_pieces = "tokens_a array<bigint>, ends_a array<int>, tokens_b array<bigint>, ends_b array<int>, piece_ends array<int>, sizes array<bigint>"
+    return own.mapInArrow(trimmed(_tokenised(f"{files}/{BYTE_BPE}", f"{files}/{PIECE_BPE}", CHUNK_BYTES)), f"own array<{kind}>, codes array<array<int>>, {of_pieces}")
+
 
+def _marked(ends: str, mark: int) -> Column:
+    """Marks that sort after the tokens that end there, below the ids of tokens."""
+    return F.transform(ends, lambda e: F.shiftleft(e.cast("long") * 2 + 1, ID_BITS) + mark)
 
-def _upto(merged: str) -> Column:
-    """How many elements lead up to each that has a twin, with a 0 before them: places of equal neighbours, less the equal neighbours before."""
-    at = F.col(merged)
-    twins = F.filter(F.sequence(F.lit(1), F.size(at) - 1), lambda k: F.get(at, k) == F.get(at, k - 1))
-    upto = F.concat(F.array(F.lit(0)), F.transform(twins, lambda k, g: k - g))
-    return F.when(F.size(at) > 1, upto).otherwise(F.array(F.lit(0)))
 
+def _listed(*parts: str | Column) -> Column:
+    """Tokens and marks in order, ids as text with commas; marks are negative."""
+    ids = F.transform(F.sort_array(F.concat(*parts)), lambda x: x.bitwiseAND(F.lit((1 << ID_BITS) - 1)) - MARKS)
+    return F.array_join(ids.cast("array<string>"), ",")
 
-def _joined(names: str, sign: str) -> Callable[[Column, Column], Column]:
-    many = lambda low, high: F.array_join(F.transform(F.sequence(low, high - 1), lambda i: F.get(F.col(names), i)), sign)
-    return lambda low, high: F.when(high - low == 1, F.get(F.col(names), low)).otherwise(many(low, high))
+
+def _but(text: str, end: str) -> Column:
+    return F.expr(f"left({text}, length({text}) - {len(end)})")
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
     """One row per text of :func:`tokenised`: id, n_a, n_b, groups (``a1,a2|b1;a3|b2,b3``) and links (both ids packed into a number)."""
-    cut = tokens.withColumn("cuts", F.array_intersect("ends_a", "ends_b"))
-    pairs = {"a": ("ends_a", "cuts"), "b": ("ends_b", "cuts"), "p": ("cuts", "piece_ends")}
-    merged = cut.withColumns({f"merged_{s}": F.sort_array(F.concat(*p)) for s, p in pairs.items()})
-    upto = merged.withColumns({f"upto_{s}": _upto(f"merged_{s}") for s in pairs} | {f"names_{s}": F.col(f"ids_{s}").cast("array<string>") for s in "ab"})
-    n = {s: F.size(f"upto_{s}") - 1 for s in pairs}
-    span = upto.withColumns({f"low_{s}": F.slice(f"upto_{s}", F.lit(1), n[s]) for s in pairs} | {f"high_{s}": F.slice(f"upto_{s}", F.lit(2), n[s]) for s in pairs})
-    side = lambda s: F.zip_with(f"low_{s}", f"high_{s}", _joined(f"names_{s}", ","))
-    id_of = lambda s, at: F.get(F.col(f"ids_{s}"), at - 1).cast("long")
-    groups = F.zip_with(side("a"), side("b"), lambda x, y: F.concat(x, F.lit("|"), y))
-    links = F.zip_with("high_a", "high_b", lambda x, y: F.shiftleft(id_of("a", x), ID_BITS).bitwiseOR(id_of("b", y)))
-    cuts = span.select("own", "codes", "upto_a", "upto_b", "low_p", "high_p", groups.alias("groups"), links.alias("links"))
-    tokens_of = lambda s, low, high: (F.get(F.col(f"upto_{s}"), high) - F.get(F.col(f"upto_{s}"), low)).cast("long")
-    pieces = cuts.select(
-        "own", "codes", F.zip_with("low_p", "high_p", _joined("groups", ";")).alias("groups"),
-        F.zip_with("low_p", "high_p", lambda low, high: F.transform(F.sequence(low, high - 1), lambda i: F.get(F.col("links"), i))).alias("links"),
-        F.zip_with("low_p", "high_p", lambda low, high: F.shiftleft(tokens_of("a", low, high), 32).bitwiseOR(tokens_of("b", low, high))).alias("sizes"),
-    )
+    cut, piece = f",{CUT - MARKS}", f",{PIECE - MARKS}"
+    cuts = tokens.withColumn("cuts", F.array_intersect("ends_a", "ends_b")).withColumn("marks", _marked("cuts", CUT))
+    listed = cuts.select("own", "codes", "sizes", _listed("tokens_a", "marks", _marked("piece_ends", PIECE)).alias("a"), _listed("tokens_b", "marks").alias("b"))
+    groups_of = lambda s, end: F.split(F.replace(_but(s, end), F.lit(f"{cut},"), F.lit(";")), ";")
+    groups = F.zip_with(groups_of("a", cut + piece), groups_of("b", cut), lambda x, y: F.concat(x, F.lit("|"), y))
+    # A piece begins with its mark, but for the first.
+    pieces = listed.select("own", "codes", "sizes", F.split(F.replace(F.array_join(groups, ";"), F.lit(f";{piece[1:]},"), F.lit("\n")), "\n").alias("groups"))
+    last = lambda g, side: F.substring_index(F.substring_index(g, "|", side), ",", -1).try_cast("long")
+    link = lambda g: F.shiftleft(last(g, 1), ID_BITS).bitwiseOR(last(g, -1))
+    linked = pieces.withColumn("links", F.transform("groups", lambda p: F.transform(F.split(p, ";"), link)))
     each = lambda codes, of: F.transform(codes, lambda c: F.get(F.col(of), c))
-    text = lambda d: F.struct(
-        d["own"].alias("id"), F.aggregate(d["codes"], F.lit(0).cast("long"), lambda total, c: total + F.get(F.col("sizes"), c)).alias("n"),
-        F.array_join(each(d["codes"], "groups"), ";").alias("groups"), F.flatten(each(d["codes"], "links")).alias("links"),
-    )
-    texts = pieces.select(F.inline(F.transform(F.arrays_zip("own", "codes"), text)))
+
+    def text(i: Column) -> Column:
+        codes = F.get("codes", i)
+        n = F.aggregate(codes, F.lit(0).cast("long"), lambda total, c: total + F.get(F.col("sizes"), c))
+        return F.struct(F.get("own", i).alias("id"), n.alias("n"), F.array_join(each(codes, "groups"), ";").alias("groups"), F.flatten(each(codes, "links")).alias("links"))
+
+    texts = linked.select(F.inline(F.transform(F.sequence(F.lit(0), F.size("own") - 1), text)))
     return texts.select("id", F.shiftright("n", 32).alias("n_a"), F.col("n").bitwiseAND(F.lit((1 << 32) - 1)).alias("n_b"), "groups", "links")
 
 

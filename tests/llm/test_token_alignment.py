@@ -5,6 +5,7 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from kinfold.llm import queries, token_alignment
@@ -99,3 +100,30 @@ def test_long_text_and_empty_table(spark):
     (row,) = token_alignment.alignment(docs).collect()
     assert tuple(row) == contract([(1, text)])[0]
     assert token_alignment.alignment(docs.limit(0)).count() == 0
+
+
+def test_a_piece_is_read_once_by_each_side():
+    read = []
+
+    def encode(texts):
+        read.extend(texts)
+        return [list(f" {t}".encode()) for t in texts]
+
+    side = token_alignment.Side(encode, [bytes([i]) for i in range(256)])
+    pieces = token_alignment.Pieces((side, side))
+    for texts in (["one two  two three", "", "four one"], ["one four", "five three"]):
+        codes, n = pieces.cut(texts)
+        used = np.unique(codes)
+        assert pieces.known(used).all() and n.tolist() == [len(t.replace("  ", "").split(" ")) if t else 0 for t in texts]
+        ids, sizes = pieces.tokens(1, used)
+        assert bytes(ids.tolist()).decode() == "".join(f" {pieces.names[i]}" for i in used) and sizes.sum() == len(ids)
+    assert sorted(" ".join(read).split(" ")) == sorted(["one", "two", "", "two", "three", "four", "five"] * 2)  # two blanks don't cut
+
+
+def test_a_group_ends_where_both_sides_do_and_a_piece_where_it_does(spark):
+    """Tokens and places by hand: A ends at 2, 5, 7, 9 and B at 3, 5, 9; pieces at 5 and 9."""
+    token = lambda end, i: (end << token_alignment.ID_BITS + 1) + i + token_alignment.MARKS
+    row = ([1, 2], [[1, 0], []], [token(2, 0), token(5, 7), token(7, 50256), token(9, 4)], [2, 5, 7, 9], [token(3, 0), token(5, 1), token(9, 31999)], [3, 5, 9], [5, 9], [(2 << 32) + 2, (2 << 32) + 1])
+    names = "own array<bigint>, codes array<array<int>>, tokens_a array<bigint>, ends_a array<int>, tokens_b array<bigint>, ends_b array<int>, piece_ends array<int>, sizes array<bigint>"
+    got = token_alignment.aligned(spark.createDataFrame([row], names)).collect()
+    assert [tuple(r) for r in got] == [(1, 4, 3, "50256,4|31999;0,7|0,1", [4 << 20 | 31999, 7 << 20 | 1]), (2, 0, 0, "", [])]
