@@ -21,7 +21,8 @@ The rest are packed, in the order of their coordinates, into leaves of at most
 ``LEAF_SHINGLES`` and ``LEAF_POINTS``, so that sets alike mostly meet in one. A
 leaf has a box over ``BOX_GROUPS`` groups, and vectors of ``POINT_GROUPS``
 groups for its points. A query visits the leaves whose box is above zero in one
-of its rarest least coordinates, as many as leave too few others for a link;
+of its rarest least coordinates, as many as leave too few others for a link
+(a coordinate's leaves are bits, so that it tells many in one row);
 then it takes the leaf's whole box, its points and at last their sets.
 
 What is linked by then needs no other link: a leaf joins with itself first;
@@ -68,6 +69,8 @@ LEAF_SHINGLES, LEAF_POINTS = 1 << 15, 256
 BOX_GROUPS, POINT_GROUPS = 1 << 16, 64
 #: Sizes of sets that differ by less than this count as one.
 BAND = 1.02
+#: Leaves whose bits stand in one number.
+SIDE_BY_SIDE = 64
 CHUNK_BYTES = 1 << 18
 _U = np.uint64
 
@@ -263,6 +266,16 @@ def fitting(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return counted.where(functools.reduce(operator.or_, (F.col(f"k{d + reach}") >= asks(d) for d in range(-reach, reach + 1)))).select("node", "n")
 
 
+def side_by_side(tops: DataFrame) -> DataFrame:
+    """coordinate, side, bits, top: the leaves that have a coordinate, as bits. ``tops``: coordinate, number (of a leaf), top (size and id of its largest component there).
+
+    Leaves stand in a row only with those whose component is about as large, so that its largest one tells nearly as much as each.
+    """
+    bit = F.expr(f"shiftleft(1L, cast(pmod(number, {SIDE_BY_SIDE}) as int))")
+    of = [F.floor(F.col("number") / SIDE_BY_SIDE).alias("side"), F.floor(F.log2("top.size")).alias("about")]
+    return tops.groupBy("coordinate", *of).agg(F.bit_or(bit).alias("bits"), F.max("top").alias("top")).drop("about")
+
+
 def linked_texts(points: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, comp of all distinct texts with a link. ``points``: node, key, n, least; ``docs``: key, text."""
     spark = points.sparkSession
@@ -325,14 +338,26 @@ def linked_texts(points: DataFrame, docs: DataFrame, percent: int = PERCENT) ->
     of_node = Window.partitionBy("node")  # a document's least coordinates
     ranked = rows.withColumn("nth", F.row_number().over(of_node.orderBy("n_points", "coordinate"))).withColumn("reach", F.count(F.lit(1)).over(of_node))
     rare = ranked.where(F.col("nth") <= F.col("reach") - F.col("enough") + 1)
-    boxes = checkpointed(rows.groupBy("coordinate", F.col("leaf").alias("at")).agg(F.max("rank").alias("top")))
-    # Coordinates of the same leaves (those of a common passage) lead to the same visits: one stands for all, told by count and hashes of the leaves and their largest components.
-    of = ["n_leaves", "one", "two"]
-    listed = boxes.groupBy("coordinate").agg(F.count(F.lit(1)).alias("n_leaves"), F.bit_xor(F.xxhash64("at", "top")).alias("one"), F.bit_xor(F.xxhash64("at", "top", F.lit(1))).alias("two"))
+    # A coordinate's leaves are bits, SIDE_BY_SIDE leaves a row, so that a common coordinate leads a query to few rows however many leaves hold it.
+    number = leaves.select("leaf").withColumn("part", F.shiftright("leaf", 32)).withColumn("nth", F.col("leaf").bitwiseAND(F.lit((1 << 32) - 1)))
+    ahead = number.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    ahead = ahead.withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
+    number = checkpointed(number.join(F.broadcast(ahead), "part").select("leaf", (F.col("ahead") + F.col("nth")).alias("number")))
+    tops = rows.groupBy("coordinate", "leaf").agg(F.max("rank").alias("top")).join(small_side(number, 32 * n_kept), "leaf")
+    boxes = checkpointed(side_by_side(tops))
+    # Coordinates of the same leaves (those of a common passage) lead to the same visits: one stands for all, told by count and hashes of the rows.
+    of = ["n_rows", "one", "two"]
+    told_by = ("side", "bits", "top")
+    listed = boxes.groupBy("coordinate").agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*told_by)).alias("one"), F.bit_xor(F.xxhash64(*told_by, F.lit(1))).alias("two"))
     stands = listed.join(listed.groupBy(of).agg(F.min("coordinate").alias("for_all")), of).select("coordinate", "for_all")
-    asked_for = rare.join(stands, "coordinate").select("node", "rank", "leaf", F.col("for_all").alias("coordinate")).distinct()
-    visits = asked_for.join(boxes, "coordinate").where((F.col("at") != F.col("leaf")) & (F.col("top") > F.col("rank"))).withColumn("comp", F.col("rank.comp"))
-    visits = written(visits.select("node", "comp", "at").distinct(), "visits")
+    asked_for = rare.join(stands, "coordinate").select("node", "rank", F.col("for_all").alias("coordinate")).distinct()
+    led = asked_for.join(boxes, "coordinate").where(F.col("top") > F.col("rank")).groupBy("node", "side").agg(F.first("rank").alias("rank"), F.bit_or("bits").alias("bits"))
+    # Of the leaves of a row those stay that hold a larger component, and not the query itself.
+    largest = rows.groupBy("leaf").agg(F.max("rank").alias("top")).join(small_side(number, 32 * n_kept), "leaf").select(F.col("leaf").alias("at"), "number", "top")
+    each_bit = F.expr(f"filter(sequence(0, {SIDE_BY_SIDE - 1}), b -> (shiftrightunsigned(bits, b) & 1) = 1)")
+    visits = led.select("node", "rank", "side", F.explode(each_bit).alias("b")).withColumn("number", F.col("side") * SIDE_BY_SIDE + F.col("b"))
+    visits = visits.join(small_side(largest, 64 * n_kept), "number").where(F.col("top") > F.col("rank")).join(small_side(of_leaf, 32 * n_kept), "node").where("at <> leaf")
+    visits = written(visits.select("node", F.col("rank.comp").alias("comp"), "at"), "visits")
     known = comps.join(of_leaf, "node").groupBy("leaf").agg(F.collect_list(F.struct("node", "comp")).alias("comps"))
     sized = visits.join(small_side(vectors.select("node", "n"), 32 * n_kept), "node")
     load = checkpointed(sized.groupBy("at").agg(F.ceil(F.greatest(F.sum("n") / LEAF_SHINGLES, F.count(F.lit(1)) / LEAF_POINTS)).alias("blocks")))

@@ -139,3 +139,14 @@ def test_a_group_of_near_copies_calls_for_few_visits(spark, monkeypatch):
     assert got == sorted(brute(rows))
     assert sum(d != c for d, _, c in got) == 99
     assert seen["visits"].count() <= 50
+
+
+def test_leaves_of_a_common_coordinate_are_told_in_few_rows(spark):
+    """1,000 leaves with one common coordinate: 999 single documents and a component of 500."""
+    tops = [(7, k, (500, 3) if k == 600 else (1, 10_000 - k)) for k in range(1000)] + [(8, 5, (2, 1))]
+    told = shingle_join.side_by_side(spark.createDataFrame(tops, "coordinate long, number long, top struct<size:long,comp:long>")).collect()
+    assert len(told) <= 1000 // shingle_join.SIDE_BY_SIDE + 3
+    met = [(r["coordinate"], r["side"] * shingle_join.SIDE_BY_SIDE + b, r["top"]) for r in told for b in range(64) if r["bits"] >> b & 1]
+    assert sorted(m[:2] for m in met) == [t[:2] for t in tops]
+    own = {t[:2]: t[2] for t in tops}
+    assert all(tuple(top) >= own[c, k] for c, k, top in met) and [k for _, k, top in met if top["size"] == 500] == [600]
