@@ -5,19 +5,19 @@ Neither the byte-level pattern nor any merge of the piece vocabulary (which is
 checked) reaches over such a blank, so what stands between two blanks, with
 the first of them, has the same tokens by itself as in the text, and tokens of
 both sides end where it ends. Python only cuts and tokenises, each piece once a
-task: for half a megabyte of texts it returns the distinct pieces, one after
-the other, as ids and as the byte offsets at which the tokens end, for both
-tokenizers, and each text as numbers of pieces.
-
-All else are expressions. ``array_intersect`` of the two end arrays gives the
-offsets at which tokens of both end, and ``transform`` makes marks of them,
-which are sorted among the tokens of each side and so part these into groups; n
-tokens cost a sort of n, however long a piece is. Groups are made as text for
-all pieces at once, by joining and splitting at the marks, and the links are
-read off their ends: the tokens just before a cut end together. A token has at
-least one byte, so that a cut has one link. A text, of a ``sequence`` of them,
-has the groups and links of its pieces in order, and ``aggregate`` adds up
-their tokens.
+task: for half a megabyte of texts it returns each text as numbers of distinct
+pieces, and of these pieces the byte offsets at which the tokens of both
+tokenizers end, their ids as text, and what is to be found at an offset: where
+in that text the next id begins, and the ids that end there.
+
+All else are expressions. ``array_intersect`` of the two end arrays of a piece
+gives the offsets at which tokens of both end. ``transform`` cuts the text of
+ids there, which makes the groups, and takes the ids at each offset, which are
+the links: the tokens just before a cut end together. Both look a place up by
+its offset, so that nothing is searched for or sorted and n tokens cost n,
+however long a piece is. A token has at least one byte, so that a cut has one
+link. A text, of a ``sequence`` of them, has the groups and links of its pieces
+in order, and ``aggregate`` adds up their tokens.
 
 How often a pair of ids is linked is counted over all documents; the counts
 come back by a broadcast if the table of pairs was measured to be small, else
@@ -56,8 +56,11 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK_BYTES, TOGETHER, KEPT = 1 << 19, 64, 1 << 19
 ID_BITS = 20
-#: What stands below the ids where tokens and places are sorted together: a place where both sides end, then one where a piece ends.
-CUT, PIECE, MARKS = 0, 1, 2
+#: Added to the ids of tokens that :func:`placed` takes.
+MARKS = 2
+#: Of all pieces in a row: the byte offsets at which each one's tokens end, its ids as text (``a1,a2|b1,b2``); by byte offset, where in that text
+#: the id after it begins on either side, and the ids that end there, packed into a number; how many tokens a piece has on both sides, in a number.
+PLACES = {"piece_ends_a": "array<int>", "piece_ends_b": "array<int>", "ids": "binary", "at_a": "int", "at_b": "int", "links_at": "bigint", "sizes": "bigint"}
 HOT = 1024
 PAIR_BYTES = 32
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
@@ -186,11 +189,45 @@ class Pieces:
         return self.flat[k][np.repeat(self.low[k][used] - np.cumsum(n) + n, n) + np.arange(n.sum())], n
 
 
+def _one(x: pa.Array) -> pa.ListArray:
+    """A column of one row that is an array."""
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+
+
+def _laid(ids: list[np.ndarray], n: list[np.ndarray], ends: list[np.ndarray], names: list[bytes]) -> list[pa.Array]:
+    """The columns ``PLACES`` of some pieces: of both sides the ids, each piece's number of them and the byte offsets where they end. ``names``: ids as text, with a comma."""
+    size = int(ends[0][-1]) + 1 if len(ends[0]) else 1
+    widths = np.array(list(map(len, names)), np.int32)
+    low, at, first = [], [], 1
+    for k in (0, 1):
+        bounds, places = np.concatenate(([0], np.cumsum(n[k]))), np.concatenate(([0], np.cumsum(widths[ids[k]], dtype=np.int64)))
+        dense = np.zeros(size, np.int32)
+        dense[ends[k]] = places[1:] + np.repeat(first - places[bounds[:-1]], n[k])
+        first = 1 + np.diff(places[bounds])
+        low.append((bounds, places[bounds]))
+        at.append(dense)
+    (bounds_a, text_a), (bounds_b, text_b) = low
+    both = np.empty(len(ids[0]) + len(ids[1]), np.int32)
+    both[np.arange(len(ids[0])) + np.repeat(bounds_b[:-1], n[0])] = ids[0]
+    both[np.arange(len(ids[1])) + np.repeat(bounds_a[1:], n[1])] = ids[1]
+    text = np.frombuffer(bytearray().join(map(names.__getitem__, both.tolist())), np.uint8)
+    text[text_a[1:] + text_b[:-1] - 1] = ord("|")
+    whole = np.ones(len(text), bool)
+    whole[text_a[1:] + text_b[1:] - 1] = False
+    bounds = (text_a + text_b - np.arange(len(text_a))).astype(np.int32)
+    texts = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(text[whole])])
+    found = np.zeros(size, np.int64)
+    found[ends[0]] = ids[0].astype(np.int64) << ID_BITS
+    found[ends[1]] += ids[1]
+    lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(e.astype(np.int32))) for (bounds, _), e in zip(low, ends, strict=True)]
+    return [_one(x) for x in (*lists, texts, *map(pa.array, at), pa.array(found), pa.array((n[0] << 32) + n[1]))]
+
+
 def _tokenised(byte_path: str, piece_path: str, chunk_bytes: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = byte_side(byte_path), piece_side(piece_path)
         held_pieces = Pieces(sides)
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        names = [b"%d," % i for i in range(max(len(s.tokens) for s in sides))]
         for b in batches:
             own, texts = b.columns
             for first, held in _text.chunks(texts.to_pylist(), chunk_bytes, lower=False):
@@ -205,59 +242,62 @@ def _tokenised(byte_path: str, piece_path: str, chunk_bytes: int):  # noqa: ANN2
                     whole = np.ones(len(held), bool)
                     whole[of[~here[codes]]] = False
                     codes, of, used = codes[whole[of]], of[whole[of]], used[good]
-                columns = [one(own.slice(first, len(held)))]
                 at = np.searchsorted(of, np.arange(len(held) + 1)).astype(np.int32)
-                columns.append(one(pa.ListArray.from_arrays(pa.array(at), pa.array((np.cumsum(here) - 1)[codes].astype(np.int32)))))
-                sizes = 0
-                for k, s in enumerate(sides):
-                    ids, n = held_pieces.tokens(k, used)
-                    ends = np.cumsum(s.lengths[ids], dtype=np.int64)
-                    columns += [one(pa.array((ends << (ID_BITS + 1)) + ids + MARKS)), one(pa.array(ends.astype(np.int32)))]
-                    sizes = (sizes << 32) + n
-                columns += [one(pa.array(ends[np.cumsum(n) - 1].astype(np.int32))), one(pa.array(sizes))]
-                yield pa.RecordBatch.from_arrays(columns, ["own", "codes", "tokens_a", "ends_a", "tokens_b", "ends_b", "piece_ends", "sizes"])
+                columns = [_one(own.slice(first, len(held))), _one(pa.ListArray.from_arrays(pa.array(at), pa.array((np.cumsum(here) - 1)[codes].astype(np.int32))))]
+                ids, n = zip(*(held_pieces.tokens(k, used) for k in (0, 1)), strict=True)
+                ends = [np.cumsum(s.lengths[i], dtype=np.int64) for s, i in zip(sides, ids, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns + _laid(ids, n, ends, names), ["own", "codes", *PLACES])
 
     return run
 
 
-def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files: str = FILES) -> DataFrame:
-    """A row for some texts: own (their ids), codes (the pieces of each), and of all distinct pieces in a row tokens_a, ends_a, tokens_b, ends_b, piece_ends and sizes.
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            b = batch.slice(i, 1)
+            array = lambda c: b[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+            ids, sizes = [(array(f"tokens_{k}") & ((1 << ID_BITS) - 1)) - MARKS for k in "ab"], array("sizes")
+            names = [b"%d," % i for i in range(max((int(x.max()) for x in ids if len(x)), default=0) + 1)]
+            laid = _laid(ids, [sizes >> 32, sizes & ((1 << 32) - 1)], [array("ends_a"), array("ends_b")], names)
+            yield pa.RecordBatch.from_arrays([b["own"], b["codes"], *laid], ["own", "codes", *PLACES])
 
-    Ends are byte offsets; a token is its id above ``MARKS`` and, in the bits above, twice its end; a size is the piece's tokens of both sides in a number.
-    """
-    own = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"))
-    kind = own.schema["own"].dataType.simpleString()
-    of_pieces = "tokens_a array<bigint>, ends_a array<int>, tokens_b array<bigint>, ends_b array<int>, piece_ends array<int>, sizes array<bigint>"
-    return own.mapInArrow(trimmed(_tokenised(f"{files}/{BYTE_BPE}", f"{files}/{PIECE_BPE}", CHUNK_BYTES)), f"own array<{kind}>, codes array<array<int>>, {of_pieces}")
 
+def _schema(kind: str) -> str:
+    return f"own array<{kind}>, codes array<array<int>>, " + ", ".join(f"{name} array<{of}>" for name, of in PLACES.items())
 
-def _marked(ends: str, mark: int) -> Column:
-    """Marks that sort after the tokens that end there, below the ids of tokens."""
-    return F.transform(ends, lambda e: F.shiftleft(e.cast("long") * 2 + 1, ID_BITS) + mark)
 
+def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files: str = FILES) -> DataFrame:
+    """A row for some texts: own (their ids), codes (the pieces of each), and ``PLACES`` of all distinct pieces in a row."""
+    own = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"))
+    return own.mapInArrow(trimmed(_tokenised(f"{files}/{BYTE_BPE}", f"{files}/{PIECE_BPE}", CHUNK_BYTES)), _schema(own.schema["own"].dataType.simpleString()))
 
-def _listed(*parts: str | Column) -> Column:
-    """Tokens and marks in order, ids as text with commas; marks are negative."""
-    ids = F.transform(F.sort_array(F.concat(*parts)), lambda x: x.bitwiseAND(F.lit((1 << ID_BITS) - 1)) - MARKS)
-    return F.array_join(ids.cast("array<string>"), ",")
 
+def placed(tokens: DataFrame) -> DataFrame:
+    """Rows of :func:`tokenised` from own, codes and, of all pieces in a row, tokens_a, ends_a, tokens_b, ends_b and sizes.
 
-def _but(text: str, end: str) -> Column:
-    return F.expr(f"left({text}, length({text}) - {len(end)})")
+    A token is its id above ``MARKS`` and, in the bits above, twice its end; a size is the piece's tokens of both sides in a number.
+    """
+    rows = tokens.select("own", "codes", "tokens_a", "ends_a", "tokens_b", "ends_b", "sizes")
+    return rows.mapInArrow(_placed, _schema(rows.schema["own"].dataType.elementType.simpleString()))
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """One row per text of :func:`tokenised`: id, n_a, n_b, groups (``a1,a2|b1;a3|b2,b3``) and links (both ids packed into a number)."""
-    cut, piece = f",{CUT - MARKS}", f",{PIECE - MARKS}"
-    cuts = tokens.withColumn("cuts", F.array_intersect("ends_a", "ends_b")).withColumn("marks", _marked("cuts", CUT))
-    listed = cuts.select("own", "codes", "sizes", _listed("tokens_a", "marks", _marked("piece_ends", PIECE)).alias("a"), _listed("tokens_b", "marks").alias("b"))
-    groups_of = lambda s, end: F.split(F.replace(_but(s, end), F.lit(f"{cut},"), F.lit(";")), ";")
-    groups = F.zip_with(groups_of("a", cut + piece), groups_of("b", cut), lambda x, y: F.concat(x, F.lit("|"), y))
-    # A piece begins with its mark, but for the first.
-    pieces = listed.select("own", "codes", "sizes", F.split(F.replace(F.array_join(groups, ";"), F.lit(f";{piece[1:]},"), F.lit("\n")), "\n").alias("groups"))
-    last = lambda g, side: F.substring_index(F.substring_index(g, "|", side), ",", -1).try_cast("long")
-    link = lambda g: F.shiftleft(last(g, 1), ID_BITS).bitwiseOR(last(g, -1))
-    linked = pieces.withColumn("links", F.transform("groups", lambda p: F.transform(F.split(p, ";"), link)))
+    """One row per text of :func:`tokenised`, or of what :func:`placed` takes: id, n_a, n_b, groups (``a1,a2|b1;a3|b2,b3``) and links (both ids packed into a number)."""
+    rows = tokens if set(PLACES) <= set(tokens.columns) else placed(tokens)
+    cuts = rows.withColumn("cuts", F.zip_with("piece_ends_a", "piece_ends_b", F.array_intersect))
+
+    def groups(ids: Column, at: Column) -> Column:
+        def group(c: Column, i: Column) -> Column:
+            before = F.get(at, i - 1)
+            # What A wrote begins a piece's text, B's follows where A's ends.
+            low_a, low_b = F.coalesce(F.get("at_a", before), F.lit(1)), F.coalesce(F.get("at_b", before), F.get("at_a", F.element_at(at, -1)))
+            part = lambda low, side: F.substring(ids, low, F.get(side, c) - low - 1)
+            return F.concat(part(low_a, "at_a"), F.lit("|").cast("binary"), part(low_b, "at_b")).cast("string")
+
+        return F.when(F.size(at) == 1, ids.cast("string")).otherwise(F.array_join(F.transform(at, group), ";"))
+
+    links = F.transform("cuts", lambda at: F.transform(at, lambda c: F.get("links_at", c)))
+    linked = cuts.select("own", "codes", "sizes", F.zip_with("ids", "cuts", groups).alias("groups"), links.alias("links"))
     each = lambda codes, of: F.transform(codes, lambda c: F.get(F.col(of), c))
 
     def text(i: Column) -> Column:

@@ -127,3 +127,27 @@ def test_a_group_ends_where_both_sides_do_and_a_piece_where_it_does(spark):
     names = "own array<bigint>, codes array<array<int>>, tokens_a array<bigint>, ends_a array<int>, tokens_b array<bigint>, ends_b array<int>, piece_ends array<int>, sizes array<bigint>"
     got = token_alignment.aligned(spark.createDataFrame([row], names)).collect()
     assert [tuple(r) for r in got] == [(1, 4, 3, "50256,4|31999;0,7|0,1", [4 << 20 | 31999, 7 << 20 | 1]), (2, 0, 0, "", [])]
+
+
+def test_places_of_pieces_by_hand(spark):
+    """Pieces of 5 and 4 bytes: A ends at 2, 5, 7, 9 and B at 3, 5, 9. Ids as text and places count from each piece's begin; what ends nowhere is 0."""
+    ids, ends = [np.array([0, 7, 50256, 4]), np.array([0, 1, 31999])], [np.array([2, 5, 7, 9]), np.array([3, 5, 9])]
+    laid = token_alignment._laid(ids, [np.array([2, 2]), np.array([2, 1])], ends, [b"%d," % i for i in range(50257)])
+    a, b, text, at_a, at_b, links, sizes = (x[0].as_py() for x in laid)
+    assert (a, b, text) == ([[2, 5], [7, 9]], [[3, 5], [9]], [b"0,7|0,1", b"50256,4|31999"])
+    assert (at_a, at_b) == ([0, 0, 3, 0, 0, 5, 0, 7, 0, 9], [0, 0, 0, 7, 0, 9, 0, 0, 0, 15])
+    assert links[5] == 7 << 20 | 1 and links[9] == 4 << 20 | 31999 and sizes == [2 << 32 | 2, 2 << 32 | 1]
+
+
+def test_tokens_are_not_sorted_and_ids_not_read_back_from_text(spark, rows):
+    """That was the most of what a text cost."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = token_alignment.aligned(token_alignment.tokenised(docs))._jdf.queryExecution().analyzed().toString()
+    assert "array_intersect" in plan
+    assert not any(f in plan for f in ("sort_array", "split(", "substring_index", "try_cast"))
+
+
+def test_a_long_piece_of_many_groups(spark):
+    text = "".join(f"{i}é-x" for i in range(20_000))
+    (row,) = token_alignment.alignment(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert tuple(row) == contract([(1, text)])[0] and row["n_groups"] > 20_000
