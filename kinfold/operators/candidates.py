@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-
+from ._store import cut
 
 TILE = 4096
+STEP = 256  # Rows of a tile that meet another at once.
+MEASURED = 1 << 14  # Pairs that are measured at once.
 BLOCK = 2048  # Fixed value: ids of a family that are listed together.
 
 
 def nearest(prints: DataFrame, k: int = 5, max_distance: float = 0.5, block: str | None = None) -> DataFrame:
     """prints: id, vec. id, other, distance, rank of the ``k`` nearest others within ``max_distance``.
 
-    Without ``block`` every pair is measured, in pairs of blocks of about
-    ``TILE`` rows of which only each row's best ``k`` leave the task; with it
+    Without ``block`` every pair is measured: all rows pass by each block of
+    about ``TILE`` rows, of which each row's best ``k`` are kept; with it
     only pairs that agree in that column are. Distances that agree to nine
     decimals count as equal, and ``other`` decides.
     """
@@ -33,34 +39,98 @@ def nearest(prints: DataFrame, k: int = 5, max_distance: float = 0.5, block: str
 
 
 def _all_pairs(prints: DataFrame, k: int, max_distance: float) -> DataFrame:
-    """id, other, distance of each row's ``k`` nearest in every block of the other rows."""
+    """id, other, distance of each row's ``k`` nearest among all other rows.
+
+    Rows are packed into tiles, a row each, and written once. A task holds a
+    tile and reads all tiles, one by one, from what was written: neither rows
+    nor partial results are copied for pairs of tiles, so disk grows with the
+    rows. Equal ids are in one tile.
+    """
     kind = prints.schema["id"].dataType.simpleString()
-    n = -(-prints.count() // TILE) or 1
-    tiled = prints.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))  # as the other side counts tiles, or equal ones hash apart
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # So many tasks that each sorts the rows of some four pairs of tiles, whatever their number.
-    spread = max(-(-n * n // 4), 1)
-    left = tiled.select("id", "vec", F.col("tile").alias("i"), every.alias("j")).repartition(spread, "i", "j")
-    right = tiled.select(F.col("id").alias("other"), "vec", every.alias("i"), F.col("tile").alias("j")).repartition(spread, "i", "j")
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            x, y = (np.stack(t["vec"].to_numpy()).astype(np.float64) for t in (a, b))
-            own, others = a["id"].to_numpy(), b["other"].to_numpy()
-            lengths = np.sqrt((y * y).sum(axis=1))
-            for at in range(0, len(x), 256):
-                some = x[at : at + 256]
-                norm = np.sqrt((some * some).sum(axis=1))[:, None] * lengths
-                d = np.round(np.where(norm == 0, 1.0, np.clip(1 - some @ y.T / np.where(norm == 0, 1.0, norm), 0, 2)), 9)
-                d[own[at : at + 256, None] == others] = np.inf
-                last = np.partition(d, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1 : min(k, len(y))]
-                r, c = np.nonzero((d <= last) & (d <= max_distance))
-                near = pd.DataFrame({"id": own[at + r], "other": others[c], "distance": d[r, c]})
-                out.append(near.sort_values(["id", "distance", "other"]).groupby("id").head(k))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "distance": []})
-
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"id {kind}, other {kind}, distance double")
+    rows = prints.where("id IS NOT NULL")
+    n = -(-rows.count() // TILE) or 1
+    tiled = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("i"), F.struct("id", "vec").alias("x"))
+    tiles = cut(tiled.repartitionByRange(n, "i").groupBy("i").agg(F.collect_list("x").alias("xs")))
+    others = tiles.select(F.col("i").alias("j"), F.col("xs").alias("ys")).coalesce(1)
+    met = others.crossJoin(tiles.hint("shuffle_replicate_nl"))  # the first side is read by each task of the second
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
+        for b in batches:
+            for i, j, xs, ys in zip(b["i"].to_pylist(), b["j"].to_pylist(), b["xs"], b["ys"]):
+                if i not in held:
+                    held[i] = Nearest(*_unpacked(xs.values), k, max_distance)
+                held[i].meet(*_unpacked(ys.values), i == j)
+        for tile in held.values():
+            own, near = tile.ids.take(pa.array(tile.near["row"].to_numpy(), pa.int64())), tile.near
+            yield pa.RecordBatch.from_arrays([own, pa.array(near["other"], own.type), pa.array(near["distance"], pa.float64())], ["id", "other", "distance"])
+
+    return met.mapInArrow(best, f"id {kind}, other {kind}, distance double")
+
+
+def _unpacked(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+    """Ids and vectors, one a row."""
+    ids, vecs = rows.flatten()
+    if vecs.null_count or len(pc.unique(pc.list_value_length(vecs))) > 1:
+        raise ValueError("vectors of one length are needed")
+    return ids, vecs.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+
+class Nearest:
+    """The ``k`` nearest of each row of a tile among the rows that it has met."""
+
+    def __init__(self, ids: pa.Array, vecs: np.ndarray, k: int, max_distance: float) -> None:
+        self.ids, self.own, self.k = ids, ids.to_numpy(zero_copy_only=False), k
+        self.x, self.lengths, self.units, _ = self._scaled(vecs)
+        self.near = pd.DataFrame({"row": np.empty(0, np.int64), "distance": np.empty(0), "other": self.own[:0]})
+        self.limit = np.full(len(ids), max_distance)  # of a row with k: the distance and the id of its last
+        self.full, self.last = np.zeros(len(ids), bool), self.own.copy()
+
+    @staticmethod
+    def _scaled(vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        x = vecs.astype(np.float64)
+        lengths = np.sqrt((x * x).sum(axis=1))
+        odd = ~np.isfinite(lengths)
+        scale = np.where(odd | (lengths == 0), 1.0, lengths)[:, None]
+        return x, lengths, np.where(odd[:, None], 0.0, x / scale).astype(np.float32), odd
+
+    def meet(self, ids: pa.Array, vecs: np.ndarray, same: bool) -> None:
+        """Rows of another tile, or the ``same``. Products of 32 bits, with more than their error, tell which pairs to measure."""
+        others, (y, lengths, units, odd) = ids.to_numpy(zero_copy_only=False), self._scaled(vecs)
+        error = (y.shape[1] + 8) * 2.0**-23
+        found = []
+        for at in range(0, len(self.own), STEP):
+            rows = slice(at, at + STEP)
+            s = self.units[rows] @ units.T
+            if odd.any():
+                s[:, odd] = -np.inf
+            if same:
+                s[self.own[rows, None] == others] = -np.inf
+            least = (1 - self.limit[rows, None] - error).astype(np.float32)
+            close = s >= least
+            if len(others) > self.k and np.count_nonzero(close) > 4 * self.k * len(s):
+                kth = np.partition(s, -self.k, axis=1)[:, -self.k][:, None]
+                close = s >= np.maximum(least, (kth - 2 * error).astype(np.float32))
+            r, c = np.divmod(np.flatnonzero(close), len(others))  # faster than nonzero of two axes
+            for some in range(0, len(r), MEASURED):
+                found.append(self._measured(at + r[some : some + MEASURED], c[some : some + MEASURED], y, lengths, others))
+        if found and (new := pd.concat(found)).size:
+            touched = np.zeros(len(self.own), bool)
+            touched[new["row"]] = True
+            again = touched[self.near["row"]]
+            new = pd.concat([self.near[again], new]).sort_values(["row", "distance", "other"]).groupby("row").head(self.k)
+            last = new[(new.groupby("row").cumcount() == self.k - 1).to_numpy()]
+            self.limit[last["row"]], self.last[last["row"]], self.full[last["row"]] = last["distance"], last["other"], True
+            self.near = pd.concat([self.near[~again], new], ignore_index=True)
+
+    def _measured(self, r: np.ndarray, c: np.ndarray, y: np.ndarray, lengths: np.ndarray, others: np.ndarray) -> pd.DataFrame:
+        """Of the pairs of rows ``r`` and ``c`` those that come before a row's last."""
+        norm = self.lengths[r] * lengths[c]
+        d = np.round(np.where(norm == 0, 1.0, np.clip(1 - np.einsum("ij,ij->i", self.x[r], y[c]) / np.where(norm == 0, 1.0, norm), 0, 2)), 9)
+        keep = d <= self.limit[r]
+        ties = np.nonzero(keep & self.full[r] & (d == self.limit[r]))[0]
+        keep[ties] = others[c[ties]] < self.last[r[ties]]
+        return pd.DataFrame({"row": r[keep], "distance": d[keep], "other": others[c[keep]]})
 
 
 def _families(views: DataFrame) -> DataFrame:
