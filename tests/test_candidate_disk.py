@@ -30,7 +30,19 @@ def test_shuffles_grow_with_the_rows(spark, monkeypatch):
         before = _shuffled(spark)
         assert candidates.nearest(rows, 3, 2.0).count() == 3 * n
         wrote.append(_shuffled(spark) - before)
-    assert 0 < wrote[1] < 6 * wrote[0]
+    assert 0 < wrote[1] < 6 * wrote[0], wrote
+
+
+def test_shuffles_of_pairs_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "TILE", 40)
+    vec = np.random.default_rng(7).normal(size=(1200, 8))
+    wrote = []
+    for n in (300, 1200):
+        rows = spark.createDataFrame([(i, i % 97, v.tolist()) for i, v in enumerate(vec[:n])], "id long, family long, vec array<double>")
+        before = _shuffled(spark)
+        assert candidates.candidate_pairs(rows.select("id", "family"), rows.select("id", "vec"), 3, 2.0).count() > n
+        wrote.append(_shuffled(spark) - before)
+    assert 0 < wrote[1] < 6 * wrote[0], wrote
 
 
 @pytest.mark.parametrize("name", ["fingerprint_knn", "candidate_pairs"])
